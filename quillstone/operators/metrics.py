@@ -102,7 +102,7 @@ def method_compare(by_method: DataFrame, base: str, other: str, methods: list[st
     return wide.withColumn("delta", F.col(other) - F.col(base))
 
 
-def cumulative_counts(scores: DataFrame, keys: list[str], value: str, cells: int = 1000) -> DataFrame:
+def cumulative_counts(scores: DataFrame, keys: list[str], value: str, cells: float = 1000) -> DataFrame:
     """Distinct values with their count ``n`` and the running count ``upto``, per key.
 
     Equal scores are added up before the shuffle, and the running sum goes through blocks of near values.
@@ -111,9 +111,11 @@ def cumulative_counts(scores: DataFrame, keys: list[str], value: str, cells: int
     return running(counts, keys, [value], F.floor(F.col(value) * cells), sums={"upto": F.col("n")})
 
 
-def exact_percentiles(scores: DataFrame, key: str, value: str, points: list[int]) -> DataFrame:
+def exact_percentiles(
+    scores: DataFrame, key: str, value: str, points: list[int], cells: float = 1000
+) -> DataFrame:
     """Linear-interpolation percentiles per key as columns p10, p25, ...; no group is held in one task."""
-    counted = cumulative_counts(scores, [key], value)
+    counted = cumulative_counts(scores, [key], value, cells)
     totals = scores.groupBy(key).agg(F.count(value).alias("_total"))
     ranked = counted.join(totals, key)
     columns = []

@@ -1,4 +1,13 @@
 """All registered queries."""
 
-from quillstone.plans import chunk_plans, conversation_plans, evaluation_plans, memory_plans, retrieval_plans, text_plans  # noqa: F401
+from quillstone.plans import (  # noqa: F401
+    chunk_plans,
+    conversation_plans,
+    evaluation_plans,
+    memory_plans,
+    retrieval_plans,
+    sql_plans,
+    text_plans,
+    trace_plans,
+)
 from quillstone.plans.registry import ORACLES, QUERIES  # noqa: F401
