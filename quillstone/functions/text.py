@@ -19,6 +19,10 @@ from quillstone import fixed_values as fixed
 WS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same set as plain characters.
+BLANKS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CJK_RANGES = {
     "ranges": r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}",
@@ -36,11 +40,12 @@ def has_text(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def normalize_text(c: Column | str) -> Column:
-    spaces = F.regexp_replace(_col(c), r"[ \t\x{3000}]+", " ")
+    # Single spaces, the bulk of all matches, are left alone.
+    spaces = F.regexp_replace(_col(c), r"[ \t\x{3000}]{2,}|[\t\x{3000}]", " ")
     return strip(F.regexp_replace(spaces, r"\n{3,}", "\n\n"))
 
 
@@ -62,17 +67,22 @@ def strip_url_inline_code(c: Column | str) -> Column:
 
 
 def count_cjk(c: Column | str) -> Column:
-    return F.length(F.regexp_replace(_col(c), rf"[^{CJK_RANGES['han']}]", ""))
+    runs = F.regexp_extract_all(_col(c), F.lit(rf"([{CJK_RANGES['han']}]+)"), F.lit(1))
+    return F.length(F.array_join(runs, ""))
 
 
 def latin_tokens(c: Column | str) -> Column:
     """Distinct lower-case runs of letters and digits, two characters at least."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(_col(c)), F.lit("([a-z0-9]{2,})"), F.lit(1)))
+    return F.array_distinct(_latin_runs(c))
+
+
+def _latin_runs(c: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit("([a-z0-9]{2,})"), F.lit(1))
 
 
 def cjk_ngrams(c: Column | str, form: str = "ranges") -> Column:
     """Single characters and adjacent pairs of the CJK characters, joined across gaps."""
-    kept = F.regexp_replace(F.lower(_col(c)), f"[^{CJK_RANGES[form]}]", "")
+    kept = F.array_join(F.regexp_extract_all(_col(c), F.lit(f"([{CJK_RANGES[form]}]+)"), F.lit(1)), "")
     chars = F.split(kept, "")
     pairs = F.zip_with(
         F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(a, b)
@@ -82,7 +92,7 @@ def cjk_ngrams(c: Column | str, form: str = "ranges") -> Column:
 
 
 def lexical_features(c: Column | str, form: str = "ranges") -> Column:
-    return F.array_union(latin_tokens(c), cjk_ngrams(c, form))
+    return F.array_union(_latin_runs(c), cjk_ngrams(c, form))
 
 
 def feature_overlap(query_features: Column, text_features: Column) -> Column:

@@ -103,7 +103,9 @@ def plain_text_chunks(docs: DataFrame, **sizes: int) -> DataFrame:
 
 
 def _has_heading_line(text: Column) -> Column:
-    return F.rlike(text, F.lit(rf"(?:\A|{LINE_BREAK})#{{1,6}}[{WS}]"))
+    # The pattern starts at a mark, so texts are scanned for that alone; what stands before it is looked up behind.
+    start = r"(?:\A|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
+    return F.rlike(text, F.lit(rf"#{{1,6}}(?<={start}#{{1,6}})[{WS}]"))
 
 
 def headed_lines(docs: DataFrame) -> DataFrame:

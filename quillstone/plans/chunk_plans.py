@@ -10,7 +10,7 @@ from quillstone.plans import duck
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, UPLOAD, derived, markdown_docs
 from quillstone.plans.registry import query
 from quillstone.sources import files
-from quillstone.sources.tables import table
+from quillstone.sources.tables import texts
 
 
 @query(
@@ -19,7 +19,7 @@ from quillstone.sources.tables import table
     f"{duck.slices('documents', 'doc_id', duck.normalize('text'))})",
 )
 def sliding_chunks(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder, "documents").select("doc_id", "text")
     cut = ck.sliding_chunks(docs, normalize_text("text"))
     return cut.select(
         "doc_id",
@@ -41,7 +41,7 @@ def sliding_chunks(spark, folder):
     """,
 )
 def plain_text_chunks(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("fr")).alias("title"), "text")
+    docs = texts(spark, folder, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("fr")).alias("title"), "text")
     chunks = ck.plain_text_chunks(docs, max_chars=400, overlap_chars=60, min_chars=30)
     return chunks.select(
         "chunk_id",
@@ -186,7 +186,7 @@ def chunk_stats(spark, folder):
 
 @query("page_range_chunks")
 def page_range_chunks(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     # Every blank-line or line break separated part of a document is one page here.
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return ck.page_range_chunks(pages.withColumn("page", F.col("page") + 1))
@@ -196,7 +196,7 @@ def page_range_chunks(spark, folder):
 def sink_chunks(spark, folder):
     from quillstone.session import work_dir
 
-    uploads = derived(table(spark, folder, "documents"), UPLOAD)
+    uploads = derived(texts(spark, folder, "documents"), UPLOAD)
     docs = uploads.withColumn("filetype", files.file_type(F.col("filename")))
     chunks = ck.chunk_document(docs.select("doc_id", F.col("filename").alias("title"), strip("text").alias("text")))
     path = work_dir(spark, "chunks")

@@ -10,7 +10,7 @@ from quillstone.operators.chunking import slices
 from quillstone.operators.embedding import DIM, embed_features
 from quillstone.operators.nearest import knn_topk
 from quillstone.plans import duck
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 # A chunk id is the document id and the slice number in one integer.
 SLICE_BITS = 20
@@ -26,7 +26,7 @@ def document_of(chunk: Column) -> Column:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """chunk_id, doc_id, kb_id, title, chunk_order, content of every slice of every document; no shuffle."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    docs = texts(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     cut = docs.withColumn("_s", F.explode(slices(normalize_text("text"))))
     key = chunk_id(F.col("doc_id"), F.col("_s.ix"))
     return cut.select(
@@ -61,7 +61,7 @@ def with_chunk_rows(found: DataFrame, spark: SparkSession, folder: str) -> DataF
 
     Only the documents that hold a hit are cut again, and of those only the hit slices are kept.
     """
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    docs = texts(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     keyed = found.withColumn("doc_id", document_of(F.col("chunk_id")))
     joined = keyed.join(docs, "doc_id")
     place = F.col("chunk_id").bitwiseAND((1 << SLICE_BITS) - 1).cast("int")

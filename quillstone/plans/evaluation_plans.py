@@ -17,7 +17,7 @@ from quillstone.plans.chunk_plans import DUCK_CHUNKS, SMALL
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, markdown_docs
 from quillstone.plans.registry import query
 from quillstone.plans.retrieval_plans import DUCK_CROSS, DUCK_DECIDED, DUCK_HYBRID, hybrid_decided
-from quillstone.sources.tables import table
+from quillstone.sources.tables import texts
 
 # Latin texts end their sentences with other marks and use other words than the defaults.
 ENDS = "。！？；.!?"
@@ -104,7 +104,7 @@ def build_questions(spark, folder):
 
 @query("question_template", f"SELECT doc_id, {_duck_question('text', 'doc_id', TERMS)} AS question FROM documents")
 def question_template(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return docs.select("doc_id", ev.question_text(F.col("text"), F.col("doc_id"), TERMS).alias("question"))
 
 
@@ -232,7 +232,7 @@ PAIR = {
     """,
 )
 def validate_question(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     last, first = F.substring_index("text", "\n", -1), F.substring_index("text", "\n", 1)
     source = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("lang", "source"))
     return docs.select("doc_id", ev.validate_question(last, first, source).alias("valid"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.plans import duck
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 
 def derived(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def duck_markdown(x: str) -> str:
 
 
 def markdown_docs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     title = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
     return docs.select("doc_id", title.alias("title"), markdown_text(F.col("text")).alias("text"))
 
@@ -70,7 +70,7 @@ DUCK_MARKDOWN_DOCS = (
 
 
 def plain_docs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return docs.select("doc_id", F.col("source").alias("kb_id"), F.col("lang").alias("title"), "text")
 
 

@@ -13,7 +13,7 @@ from quillstone.operators import retrieval as rt
 from quillstone.plans import corpus as cp
 from quillstone.plans import duck
 from quillstone.plans.registry import query
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 DUCK_MEANS = """
     means AS (SELECT label AS query_id, list(m ORDER BY i) AS vector FROM (
@@ -75,7 +75,7 @@ def _duck_knn(k: int, within: bool) -> str:
 def knn_topk(spark, folder):
     chunks, queries = base_vectors(spark, folder)
     found = nn.knn_topk(chunks, queries, fixed.RAW_TOP_K, within=True)
-    titles = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"))
+    titles = texts(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"))
     return found.join(titles, "chunk_id", "left").select(
         "query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank", "title"
     )
@@ -122,9 +122,9 @@ def ann_ivf(spark, folder):
     """,
 )
 def embed_with_cache(spark, folder):
-    texts = table(spark, folder, "documents").select("text")
+    texts = texts(spark, folder, "documents").select("text")
     # One language is embedded beforehand and stands for the cache of an earlier run.
-    earlier = table(spark, folder, "documents").where("lang = 'de'").select("text")
+    earlier = texts(spark, folder, "documents").where("lang = 'de'").select("text")
     out = em.embed_with_cache(texts, em.embed_with_cache(earlier))
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return out.select("key", F.round(weighted, 6).alias("check_sum"))

@@ -14,14 +14,14 @@ from quillstone.plans import duck
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, UPLOAD, derived, duck_select, markdown_docs
 from quillstone.plans.registry import query
 from quillstone.sources import files
-from quillstone.sources.tables import chunk_lines, list_table, table
+from quillstone.sources.tables import chunk_lines, list_table, table, texts
 
 DUCK_UPLOADS = duck_select(UPLOAD, "documents")
 
 
 @query("scan_table", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
 def scan_table(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    docs = texts(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
     return list_table(docs, F.col("n_chars").desc(), F.col("doc_id"))
 
 
@@ -48,7 +48,7 @@ LINE = (
     """,
 )
 def scan_jsonl(spark, folder):
-    lines = table(spark, folder, "documents").selectExpr(f"{LINE} AS value")
+    lines = texts(spark, folder, "documents").selectExpr(f"{LINE} AS value")
     return chunk_lines(lines).withColumn("heading_path", F.array_join("heading_path", ">"))
 
 
@@ -66,7 +66,7 @@ def scan_jsonl(spark, folder):
     """,
 )
 def gate_format(spark, folder):
-    uploads = derived(table(spark, folder, "documents"), UPLOAD).drop("text")
+    uploads = derived(texts(spark, folder, "documents"), UPLOAD).drop("text")
     return files.gate_format(uploads.withColumn("filetype", files.file_type(F.col("filename"))))
 
 
@@ -81,7 +81,7 @@ def gate_format(spark, folder):
     """,
 )
 def ensure_title(spark, folder):
-    uploads = derived(table(spark, folder, "documents"), UPLOAD)
+    uploads = derived(texts(spark, folder, "documents"), UPLOAD)
     return uploads.select("doc_id", F.md5(files.ensure_title(F.col("text"), F.col("filename"))).alias("markdown_md5"))
 
 
@@ -101,7 +101,7 @@ def ensure_title(spark, folder):
     """,
 )
 def conversion_status(spark, folder):
-    uploads = derived(table(spark, folder, "documents"), UPLOAD)
+    uploads = derived(texts(spark, folder, "documents"), UPLOAD)
     error = F.when(F.col("doc_id") % 7 == 0, "no text found")
     status = files.conversion_status(files.file_type(F.col("filename")), error)
     return uploads.select(
@@ -120,7 +120,7 @@ def _document_column(name: str, column: Callable[[Column], Column], sql: str, di
     @query(name, f"SELECT doc_id, {shown}({sql}) AS value FROM documents")
     def run(spark, folder):
         value = column(F.col("text"))
-        docs = table(spark, folder, "documents")
+        docs = texts(spark, folder, "documents")
         return docs.select("doc_id", (F.md5(value) if digest else value).alias("value"))
 
 
@@ -173,7 +173,7 @@ _document_column("strip_dsml", lambda t: tx.strip_dsml(_dsml(t)), duck.strip("te
     f"{duck.features('text')} AS f, {duck.features(duck.text('The reten lement und 知识 ') + ' || source || lang')} AS q FROM documents)",
 )
 def lexical_score(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     asked = F.concat(F.lit("The reten lement und 知识 "), F.col("source"), F.col("lang"))
     return docs.select("doc_id", "lang", F.round(tx.lexical_score(asked, F.col("text")), 6).alias("lexical_score"))
 
@@ -194,7 +194,7 @@ WEB_TEXT = "url || ' and `' || CAST(page_id AS STRING) || '` then https://www.si
     "SELECT page_id, md5(" + duck.sub(duck.sub("x", f"https?://[^{tx.WS}]+"), "`([^`]+)`", "\\1") + f") AS value FROM (SELECT page_id, {WEB_TEXT} AS x FROM pages)",
 )
 def strip_url_inline_code(spark, folder):
-    pages = table(spark, folder, "pages").selectExpr("page_id", f"{WEB_TEXT} AS x")
+    pages = texts(spark, folder, "pages").selectExpr("page_id", f"{WEB_TEXT} AS x")
     return pages.select("page_id", F.md5(tx.strip_url_inline_code("x")).alias("value"))
 
 
@@ -208,7 +208,7 @@ def strip_url_inline_code(spark, folder):
     """,
 )
 def extract_urls(spark, folder):
-    pages = table(spark, folder, "pages").selectExpr("page_id", f"{WEB_TEXT} AS x")
+    pages = texts(spark, folder, "pages").selectExpr("page_id", f"{WEB_TEXT} AS x")
     urls = pages.select("page_id", F.explode(tx.extract_urls("x")).alias("url"))
     return urls.groupBy("page_id", "url", tx.url_domain("url").alias("domain")).agg(F.count("*").alias("times"))
 
@@ -221,7 +221,7 @@ def extract_urls(spark, folder):
     """,
 )
 def lcs_substring_len(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     middle = F.substring(F.col("text"), F.greatest(F.lit(1), F.floor(F.length(F.col("text")) / 2).cast("int")), (F.col("doc_id") % 5 + 9).cast("int"))
     return docs.select("doc_id", tx.shares_long_substring(F.col("text"), middle, 10).alias("over_limit"))
 
@@ -232,7 +232,7 @@ FENCED = "CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) WHEN 1 THEN '``` ' EL
 @query("strip_json_fence", "SELECT doc_id, '{\"n\": ' || n_chars || '}' AS value, n_chars AS n FROM documents")
 def strip_json_fence(spark, folder):
     body = tx.strip_json_fence("x")
-    docs = table(spark, folder, "documents").selectExpr("doc_id", f"{FENCED} AS x")
+    docs = texts(spark, folder, "documents").selectExpr("doc_id", f"{FENCED} AS x")
     return docs.select("doc_id", body.alias("value"), F.from_json(body, "n bigint")["n"].alias("n"))
 
 
@@ -285,11 +285,11 @@ def normalise_agents(spark, folder):
     """,
 )
 def trust_headings_query(spark, folder):
-    uploads = derived(table(spark, folder, "documents"), UPLOAD)
+    uploads = derived(texts(spark, folder, "documents"), UPLOAD)
     flag = F.when(F.col("doc_id") % 11 == 0, True).when(F.col("doc_id") % 11 == 1, False)
     return uploads.select("doc_id", trust_headings(flag, files.file_type(F.col("filename"))).alias("trusted"))
 
 
 @query("html_to_markdown")
 def html_to_markdown(spark, folder):
-    return files.html_to_markdown(table(spark, folder, "pages"), "page_id", "html")
+    return files.html_to_markdown(texts(spark, folder, "pages"), "page_id", "html")

@@ -58,7 +58,10 @@ def converted_name(filename: Column) -> Column:
 
 
 def ingest_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder as documents: direct formats decoded, HTML converted, anything else marked unsupported."""
+    """Files below a folder as documents: direct formats decoded, HTML converted, anything else marked unsupported.
+
+    Files of length zero are left out by the file scan and do not become documents.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     filename = F.substring_index("path", "/", -1)
     files = raw.select(

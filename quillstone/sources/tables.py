@@ -12,6 +12,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# Below this many bytes per core a table is too small for its file splits to keep all cores busy.
+SMALL_SPLIT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table out to all cores, ahead of costly work on texts.
+
+    A large table has enough splits of its own and is read as it is. The size is the scan's estimate, so nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SMALL_SPLIT else df
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread when it is small."""
+    return spread(table(spark, folder, name))
+
+
 def list_table(df: DataFrame, *order: Column) -> DataFrame:
     """Every row, newest (or whatever the order says) first; a range-partitioned sort."""
     return df.orderBy(*order)
