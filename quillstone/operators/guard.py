@@ -76,12 +76,13 @@ def run_sql(
     """(columns, rows as text, note) of a guarded statement: at most ``max_rows`` rows, within the time limit."""
     frame = cell_truncate(guarded_sql(spark, sql).limit(max_rows))
     tag = f"guarded-{uuid.uuid4().hex[:12]}"
-    timer = threading.Timer(timeout_seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    context = spark.sparkContext
+    timer = threading.Timer(timeout_seconds, lambda: context.cancelJobsWithTag(tag))
+    context.addJobTag(tag)
     timer.start()
     try:
         rows = [tuple(r) for r in frame.collect()]
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     return frame.columns, rows, fixed.SQL_LIMIT_NOTE if len(rows) >= max_rows else ""

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,12 +171,15 @@ def _blocked(chunks: DataFrame, queries: DataFrame, id_type: str, make: Callable
     """The same for query tables of any size: chunk blocks meet query blocks, both bounded, in one shuffle."""
     cells = max(1, -(-chunks.count() // BLOCK_CHUNKS))
     blocks = max(1, -(-queries.count() // MAX_QUERIES))
-    left = chunks.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-    )
-    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long")
-    )
+
+    def slot(column: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(count).cast("long"))
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    left = chunks.withColumn("_cell", slot("chunk_id", cells)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_block", slot("query_id", blocks)).withColumn("_cell", every(cells))
     list_columns = [c for c in ("vector", "features") if c in chunks.columns]
 
     def pair(chunk_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:

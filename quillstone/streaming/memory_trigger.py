@@ -27,8 +27,11 @@ class _Counter(StatefulProcessor):
         before = int(self.count.get()[0]) if self.count.exists() else 0
         after = before + sum(int(batch["messages"].sum()) for batch in rows)
         self.count.update((after,))
-        due = range(before // self.interval + 1, after // self.interval + 1)
-        yield pd.DataFrame({self.key: [key[0]] * len(due), "batch_no": [n - 1 for n in due]}).astype({"batch_no": "int64"})
+        due = range(before // self.interval, after // self.interval)
+        if due:
+            # Plain object values, whatever string type pandas prefers.
+            keys = pd.Series([key[0]] * len(due), dtype="int64" if isinstance(key[0], int) else object)
+            yield pd.DataFrame({self.key: keys, "batch_no": pd.Series(list(due), dtype="int64")})
 
     def close(self) -> None:
         pass
