@@ -122,10 +122,10 @@ def ann_ivf(spark, folder):
     """,
 )
 def embed_with_cache(spark, folder):
-    texts = texts(spark, folder, "documents").select("text")
+    wanted = texts(spark, folder, "documents").select("text")
     # One language is embedded beforehand and stands for the cache of an earlier run.
     earlier = texts(spark, folder, "documents").where("lang = 'de'").select("text")
-    out = em.embed_with_cache(texts, em.embed_with_cache(earlier))
+    out = em.embed_with_cache(wanted, em.embed_with_cache(earlier))
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return out.select("key", F.round(weighted, 6).alias("check_sum"))
 
@@ -330,8 +330,8 @@ def _duck_render() -> str:
     f"WITH RECURSIVE {DUCK_DECIDED}, {_duck_render()} SELECT query_id, md5(context) AS context_md5, length(context)::INTEGER AS size FROM contexts",
 )
 def render_context(spark, folder):
-    texts = rt.render_context(hybrid_decided(spark, folder), cp.questions(spark, folder))
-    return texts.select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("size"))
+    contexts = rt.render_context(hybrid_decided(spark, folder), cp.questions(spark, folder))
+    return contexts.select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("size"))
 
 
 @query(
@@ -343,8 +343,8 @@ def render_context(spark, folder):
     """,
 )
 def parse_context(spark, folder):
-    texts = rt.render_context(hybrid_decided(spark, folder), cp.questions(spark, folder))
-    return rt.parse_context(texts).select("query_id", "rank", "chunk_id", "distance", F.md5("content").alias("content_md5"))
+    contexts = rt.render_context(hybrid_decided(spark, folder), cp.questions(spark, folder))
+    return rt.parse_context(contexts).select("query_id", "rank", "chunk_id", "distance", F.md5("content").alias("content_md5"))
 
 
 # Orders as search requests: the customer is the agent, and an agent may use the bases of two order priorities.
