@@ -59,11 +59,12 @@ def build_questions(
     terms: list[str] = fixed.CLUE_TERMS,
     prefix: str = "rag",
     ends: str = SENTENCE_ENDS,
+    block_width: int = 1 << 26,
 ) -> DataFrame:
     """Questions from answer sentences in (chunk_order, position) order, one per distinct compact answer.
 
     ``chunks`` has chunk_id, chunk_order (unique, ascending) and content. With a count the first ``count`` answers are
-    numbered, and fewer is an error; without one every distinct answer becomes a question numbered by ordinal blocks.
+    numbered, and fewer is an error; without one every distinct answer becomes a question numbered by blocks of ``block_width`` chunk orders.
     """
     found = chunks.select(
         "chunk_id", "chunk_order", F.posexplode(sentences_with_terms(F.col("content"), terms, ends=ends)).alias("pos", "answer")
@@ -81,7 +82,7 @@ def build_questions(
         message = F.lit(f"fewer than {count} questions")
         numbered = numbered.withColumn("_ok", F.when(short, F.raise_error(message)).otherwise(True)).where("_ok")
     else:
-        numbered = number_rows(ordered, ["chunk_order", "pos"], F.floor(F.col("chunk_order") / 65536))
+        numbered = number_rows(ordered, ["chunk_order", "pos"], F.floor(F.col("chunk_order") / block_width))
     digits = F.col("number").cast("string")
     padded = F.lpad(digits, 3, "0")
     return numbered.select(

@@ -22,7 +22,7 @@ from quillstone.functions.vector import vector_score
 from quillstone.session import fits
 
 MAX_QUERIES = 4096
-BLOCK_CHUNKS = 200_000
+BLOCK_CHUNKS = 50_000
 CELLS = 4_000_000
 # Distances keep this many places, so that equal distances tie on every platform and the chunk id decides.
 PLACES = 9

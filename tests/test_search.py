@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.vector import l2_distance, l2_distance_arrow
 from quillstone.operators import metrics as mt
 from quillstone.operators import nearest as nn
+from quillstone.operators import positions
 from quillstone.operators.positions import running
 
 
@@ -105,7 +106,8 @@ def test_distance_forms_agree(spark):
     assert rows[0].x == pytest.approx(first) and rows[1].x == 0.0
 
 
-def test_running_values_cross_blocks(spark):
+def test_running_values_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(positions, "BLOCK", 3)  # blocks of blocks as well
     rng = random.Random(2)
     rows = [(s, p, rng.random() < 0.3, rng.choice([None, None, p])) for s in range(3) for p in range(200 if s == 0 else 20)]
     df = spark.createDataFrame(rows, "s int, p int, flag boolean, v int").repartition(7)
