@@ -13,7 +13,7 @@ from quillstone.plans import duck
 from quillstone.plans.conversation_plans import DUCK_BATCHES, DUCK_LOG, INTERVAL, job_state, tool_log
 from quillstone.plans.inputs import derived, duck_select
 from quillstone.plans.registry import query
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 from quillstone.operators import conversation as cv
 
 # Conversation turns as memories: every turn is one memory of an agent.
@@ -211,7 +211,7 @@ DUCK_VALID = f"""
 
 
 def responses(spark, folder):
-    return derived(table(spark, folder, "orders"), RESPONSE)
+    return derived(texts(spark, folder, "orders"), RESPONSE)
 
 
 def operations(spark, folder):
