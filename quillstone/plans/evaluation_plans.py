@@ -17,7 +17,9 @@ from quillstone.plans.chunk_plans import DUCK_CHUNKS, SMALL
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, markdown_docs
 from quillstone.plans.registry import query
 from quillstone.plans.retrieval_plans import DUCK_CROSS, DUCK_DECIDED, DUCK_HYBRID, hybrid_decided
-from quillstone.sources.tables import texts
+from quillstone.session import work_dir
+from quillstone.sources import files
+from quillstone.sources.tables import read_questions, texts
 
 # Latin texts end their sentences with other marks and use other words than the defaults.
 ENDS = "。！？；.!?"
@@ -305,6 +307,21 @@ def next_id(spark, folder):
     return ev.next_id(all_questions(spark, folder), prefix="rag")
 
 
+@query(
+    "sink_eval",
+    f"""
+    WITH {DUCK_QUESTIONS}
+    SELECT 'rag-' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END AS id, md5(answer) AS answer_md5, chunk_id::VARCHAR AS relevant_chunk_id FROM built
+    """,
+)
+def sink_eval(spark, folder):
+    """The question set written as JSON lines and read back."""
+    path = work_dir(spark, "evaluation")
+    files.sink_eval(path, dataset=all_questions(spark, folder))
+    rows = read_questions(spark, f"{path}/dataset")
+    return rows.select("id", F.md5("answer").alias("answer_md5"), "relevant_chunk_id")
+
+
 # Metrics.
 
 DUCK_HIT = f"contains({duck.compact('content')}, {duck.compact('answer_source')})"

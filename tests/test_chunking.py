@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillstone.functions.table_functions import register_table_functions
 from quillstone.operators import chunking as ck
+from quillstone.operators.positions import first_per_key
+from quillstone.plans.catalog import QUERIES
 from quillstone.sources import files
 
 
@@ -127,3 +130,27 @@ def test_chunk_sink_is_partitioned(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out")).where("kb_id = 'kb1'").collect()
     assert len(back) == 1 and '"headingPath":["h"]' in back[0].metadata and '"sectionChunkIndex":1' in back[0].metadata
     assert (tmp_path / "out" / "kb_id=kb2").exists()
+
+
+def test_sql_table_function_agrees(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    docs.createOrReplaceTempView("texts_to_cut")
+    register_table_functions(spark)
+    by_sql = spark.sql("SELECT doc_id, c.* FROM texts_to_cut, LATERAL chunk_text(text, 500, 60, 40) c")
+    by_column = ck.sliding_chunks(docs, F.col("text"), max_chars=500, overlap_chars=60, min_chars=40)
+    columns = ["doc_id", "slice_ix", "char_start", "char_end", "content"]
+    assert by_sql.select(columns).exceptAll(by_column.select(columns)).isEmpty()
+    assert by_sql.count() == by_column.count()
+
+
+def test_plans_stay_narrow_or_limited(spark, folder):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    cut = plan(ck.sliding_chunks(docs.select("doc_id", "text"), F.col("text")))
+    assert "Exchange" not in cut
+    limited = plan(first_per_key(docs.select("source", "doc_id"), ["source"], [F.col("doc_id")], 3))
+    assert limited.count("WindowGroupLimit") == 2
+    searched = plan(QUERIES["knn_topk"](spark, folder))
+    assert "NestedLoop" not in searched and "Cartesian" not in searched and "WindowGroupLimit" in searched
