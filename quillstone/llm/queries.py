@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, mixing, packing, token_records
+from quillstone.llm import exact_dedup, language, mixing, packing, token_records
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,6 +82,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).drop("copies")
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_file())
