@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, language, mixing, packing, token_records
+from quillstone.llm import exact_dedup, language, mixing, near_dedup, packing, token_records
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,3 +95,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_records")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.token_records(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, folder, "documents"), shingle=3, percent=85)
