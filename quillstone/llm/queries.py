@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, language, mixing, near_dedup, packing, token_records
+from quillstone.llm import archives, exact_dedup, language, mixing, near_dedup, packing, token_records
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query("op3_arc_to_warc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archive_pages(table(spark, folder, "pages"))
+
+
 @query(
     "op4_mix_sources",
     r"""
