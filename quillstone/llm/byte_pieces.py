@@ -20,6 +20,18 @@ BLOCK_CHARS = 4 << 20
 RUN = re.compile(r"\s\s")
 WHITE = re.compile(r"\s")
 CUT = re.compile(r" (?=\S)")
+# Bytes of white space other than space and line end, and first bytes of such characters beyond ASCII.
+ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
+
+
+def single_spaced(text: str) -> bool:
+    """True where no two white-space characters touch and none stands first; plain texts need no pattern search."""
+    if text[:1] in (" ", "\n") and text:
+        return False
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data.translate(None, ODD)) == len(data):
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+    return not (RUN.search(text) or WHITE.match(text))
 
 
 class PieceEncoder:
@@ -86,20 +98,18 @@ class PieceEncoder:
     def _block(self, texts: list[str]) -> list[bytes]:
         parts, heads = [], {}
         for i, t in enumerate(texts):
-            if RUN.search(t) or WHITE.match(t):
+            if single_spaced(t):
+                p = ("\n" + t.replace("\n", " \n")).split(" ")
+            else:
                 head, *p = CUT.split(t)
                 heads[i] = head
-            else:
-                p = ("\n" + t.replace("\n", " \n")).split(" ")
             parts.append(p)
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
         before = len(self.cache)
-        new = wanted.difference(self.cache)
+        known = [list(map(self.cache.get, p)) for p in parts]
+        new = {w for p, k in zip(parts, known) for w, ids in zip(p, k) if ids is None}
         self._learn(new)
         get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        out = [b"".join(map(get, p)) if None in k else b"".join(k) for p, k in zip(parts, known)]
         first = dict(zip(heads, self.whole(list(heads.values()))))
         out = [first[i] + ids if i in first else ids[4:] for i, ids in enumerate(out)]
         if len(self.cache) > CACHED_PIECES:
@@ -115,6 +125,10 @@ class PieceEncoder:
             return self.whole(texts)
         out: list[bytes] = []
         at = size = 0
+        each = dict.fromkeys(texts)
+        if len(each) < len(texts):  # copies are encoded once
+            ids = dict(zip(each, self.encode(list(each))))
+            return [ids[t] for t in texts]
         for i, t in enumerate(texts):
             if size and size + len(t) > BLOCK_CHARS:
                 out += self._block(texts[at:i])
