@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import archives, exact_dedup, language, mixing, near_dedup, packing, token_records
+from quillstone.llm import archives, exact_dedup, language, licences, mixing, near_dedup, outliers, packing, token_records
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_licence_scan", licences.oracle())
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_scan(table(spark, folder, "documents"))
+
+
 @query(
     "op2_exact_dedup",
     """
@@ -97,6 +102,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_file())
 
 
+@query("op7_outliers")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.quality(table(spark, folder, "documents")).drop("distance")
+
+
 @query("op8_token_records")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.token_records(table(spark, folder, "documents"), tokenizer_file())
