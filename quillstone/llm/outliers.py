@@ -20,12 +20,11 @@ VALUES = ("x0", "x1", "x2", "x3")
 ACCURACY = 10_000
 
 
-def repeated_words(words: Column, hashes: Column) -> Column:
+def repeated_words(hashes: Column) -> Column:
     """Number of words in three-word windows that occur twice or more; ``hashes`` has one number per window.
 
     Windows are sorted with their places; equal neighbours are repeats. Texts without equal windows skip the sort.
     """
-    places = F.sequence(F.lit(0), F.size(hashes) - 1)
     paired = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def again(s: Column) -> Column:
@@ -37,7 +36,6 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
     # a one-element array binds the sorted windows once
     counted = F.element_at(F.transform(F.array(paired), again), 1)
-    del places
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(counted)
 
 
@@ -65,7 +63,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words"), F.col("_windows")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("_windows")).cast("long").alias("n_repeat_words"),
     )
 
 

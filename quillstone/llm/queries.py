@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import archives, exact_dedup, language, licences, mixing, near_dedup, outliers, packing, token_records
+from quillstone.llm import archives, exact_dedup, language, licences, line_join, mixing, near_dedup, outliers, packing, token_records
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -112,6 +112,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.token_records(table(spark, folder, "documents"), tokenizer_file())
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return line_join.line_dedup(table(spark, folder, "documents"))
+
+
 @query("op10_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, folder, "documents"), shingle=3, percent=85)
