@@ -1,9 +1,10 @@
-"""Token ids of whole texts with a byte-level tokenizer, through a cache of the pieces between spaces and line ends.
+"""Token ids of whole texts with a byte-level tokenizer, through a table of the pieces between spaces and line ends.
 
-With its usual pattern a byte-level tokenizer starts a new pre-token at a space before a visible character, at a line
-end between visible characters, and at punctuation after a letter. Ids of a text cut there are the ids of its cuts in
-order, so a cut that was met before needs no second encoding. Texts with runs of white space are cut before single
-spaces only. The cache holds a bounded number of cuts; it affects speed only.
+With its usual pattern a byte-level tokenizer starts a new pre-token at a single space or line end between visible
+characters, and at a comma or full stop after a letter. Ids of a text cut there are the ids of its cuts in order, so a
+cut that was met before needs no second encoding. Cuts are found, hashed and put together for a whole block of texts
+at once. Texts with runs of white space are encoded as they are. The table holds a bounded number of cuts, told apart
+by 128 bits of hash and at most LONGEST bytes long; it affects speed only.
 """
 
 from __future__ import annotations
@@ -14,24 +15,28 @@ import re
 
 import numpy as np
 
-CACHED_PIECES = 400_000
-LONGEST_CACHED = 40
+from quillstone.llm.common import mix, powers
+
+TABLE_PIECES = 1_000_000
+LONGEST = 64
 BLOCK_CHARS = 4 << 20
 RUN = re.compile(r"\s\s")
 WHITE = re.compile(r"\s")
-CUT = re.compile(r" (?=\S)")
 # Bytes of white space other than space and line end, and first bytes of such characters beyond ASCII.
 ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def single_spaced(text: str) -> bool:
-    """True where no two white-space characters touch and none stands first; plain texts need no pattern search."""
-    if text[:1] in (" ", "\n") and text:
+def single_spaced(text: str, data: bytes) -> bool:
+    """True where no two white-space characters touch and none stands first or last."""
+    if not text or text[0].isspace() or text[-1].isspace():
         return False
-    data = text.encode("utf-8", "surrogatepass")
     if len(data.translate(None, ODD)) == len(data):
-        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
-    return not (RUN.search(text) or WHITE.match(text))
+        return not (b"  " in data or b"\n\n" in data or b" \n" in data or b"\n " in data)
+    return not RUN.search(text)
 
 
 class PieceEncoder:
@@ -44,97 +49,147 @@ class PieceEncoder:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens", [])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.line_end = self.whole(["\n"])[0]
         self.cuts = (
             spec.get("normalizer") is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space", True)
             and not any(WHITE.search(t["content"]) or t.get("lstrip") or t.get("rstrip") for t in added)
-            and all(t["content"][-1:] not in ",." for t in added)
+            and not any("," in t["content"] or "." in t["content"] for t in added)
+            and len(self.line_end) == 4
         )
-        self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        self.line_end = self.whole(["\n"])[0]
-        self.cuts = self.cuts and len(self.line_end) == 4
-        self.marks = dict(zip(",.", self.whole([",", "."])))
-        # key: a piece after a space, or a line end and the piece after it
-        self.cache: dict[str, bytes] = {"\n": self.line_end}
+        self._empty()
+
+    def _empty(self) -> None:
+        # key (sorted), second hash, blocks it was met in again, and where its ids are in the pool
+        self.keys, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.met = np.empty(0, np.int64)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of pieces without white space, encoded as lines of one text and told apart by the line ends."""
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces without line ends, encoded as lines of one text and told apart by the line ends."""
         if not words:
-            return {}
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([lead + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
+            return []
+        found = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
         at = [-1, *np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0]).tolist(), len(ids)]
         if len(at) != len(words) + 1:
-            return dict(zip(words, self.whole([lead + w for w in words])))
+            return self.whole(words)
         data = ids.tobytes()
-        return {w: data[4 * a + 4 : 4 * b] for w, a, b in zip(words, at, at[1:])}
-
-    def _learn(self, new: set[str]) -> None:
-        plain, lines, odd = set(), [], []
-        marked = []
-        for w in new:
-            if w[:1] == "\n":
-                (lines if len(w) > 1 and not WHITE.search(w, 1) else odd).append(w)
-            elif not w or WHITE.search(w):
-                odd.append(w)
-            elif w[-1] in self.marks and w[-2:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in self.cache:
-                    plain.add(w[:-1])
-            else:
-                plain.add(w)
-        self.cache.update(self._each(list(plain), " "))
-        for w in marked:
-            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
-        for w, ids in self._each([w[1:] for w in lines], "").items():
-            self.cache["\n" + w] = self.line_end + ids
-        self.cache.update(zip(odd, self.whole([w if w[:1] == "\n" else " " + w for w in odd])))
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        parts, heads = [], {}
-        for i, t in enumerate(texts):
-            if single_spaced(t):
-                p = ("\n" + t.replace("\n", " \n")).split(" ")
-            else:
-                head, *p = CUT.split(t)
-                heads[i] = head
-            parts.append(p)
-        before = len(self.cache)
-        known = [list(map(self.cache.get, p)) for p in parts]
-        new = {w for p, k in zip(parts, known) for w, ids in zip(p, k) if ids is None}
-        self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) if None in k else b"".join(k) for p, k in zip(parts, known)]
-        first = dict(zip(heads, self.whole(list(heads.values()))))
-        out = [first[i] + ids if i in first else ids[4:] for i, ids in enumerate(out)]
-        if len(self.cache) > CACHED_PIECES:
-            for w in list(self.cache)[max(before, CACHED_PIECES) :]:
-                del self.cache[w]
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                self.cache.pop(w, None)
+        return [data[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:])]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: each begins with its space or line end, or is a mark."""
+        out: list[bytes] = [b""] * len(pieces)
+        spaced, lines, rest = [], [], []
+        for i, p in enumerate(pieces):
+            kind = rest if len(p) == 1 or WHITE.search(p, 1) else spaced if p[0] == " " else lines if p[0] == "\n" else rest
+            kind.append(i)
+        for i, ids in zip(spaced, self._lines([pieces[i] for i in spaced])):
+            out[i] = ids
+        for i, ids in zip(lines, self._lines([pieces[i][1:] for i in lines])):
+            out[i] = self.line_end + ids
+        for i, ids in zip(rest, self.whole([pieces[i] for i in rest])):
+            out[i] = ids
         return out
 
+    def _remember(self, keys: np.ndarray, second: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        """Adds pieces to the table; one that is full keeps what was met again, or starts anew."""
+        keys, second = np.concatenate([self.keys, keys]), np.concatenate([self.second, second])
+        met = np.concatenate([self.met, np.zeros(len(keys) - len(self.met), np.int64)])
+        at, size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        if len(keys) > TABLE_PIECES:
+            kept = met > 0
+            if kept.sum() > TABLE_PIECES * 3 // 4:
+                return self._empty()
+            keys, second, at, size = keys[kept], second[kept], at[kept], size[kept]
+            met = np.zeros(len(keys), np.int64)
+            pool, at = gather(pool, at, size), np.cumsum(size) - size
+        order = np.argsort(keys)
+        self.keys, self.second, self.met = keys[order], second[order], met[order]
+        self.at, self.size, self.pool = at[order], size[order], pool
+
+    def _block(self, data: list[bytes]) -> list[bytes]:
+        """Ids of single-spaced texts. Each gets a line end in front, whose id is taken off again."""
+        joined = b"\n" + b"\n".join(data)
+        buffer = np.frombuffer(joined, np.uint8)
+        white = (buffer == 32) | (buffer == 10)
+        after = np.concatenate([white[1:], [True]])
+        mark = ((buffer == 44) | (buffer == 46)) & after
+        mark[1:] &= LETTER[buffer[:-1]]
+        start = np.flatnonzero(white | mark)
+        end = np.concatenate([start[1:], [len(buffer)]])
+        hashes = []
+        for base in BASES:
+            sums = np.zeros(len(buffer) + 1, np.uint64)
+            np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(base, len(buffer))[: len(buffer)], out=sums[1:])
+            raw = (sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(buffer) + 1)[start]
+            hashes.append(mix(raw + (end - start).astype(np.uint64)))
+        short = np.flatnonzero(end - start <= LONGEST)
+        unique, first, inverse = np.unique(hashes[0][short], return_index=True, return_inverse=True)
+        first = short[first]
+        twin = hashes[1][first]
+        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        taken = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        hit = taken & (self.second[place] == twin) if len(self.keys) else taken
+        # pieces to encode: those not in the table, long ones, and any whose first hash is another's
+        alone = np.concatenate([np.flatnonzero(end - start > LONGEST), short[hashes[1][short] != twin[inverse]]])
+        fresh = np.concatenate([first[~hit], alone])
+        ids = self._encode_pieces([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[fresh], end[fresh])])
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        places = len(self.pool) + np.cumsum(sizes) - sizes
+        new = int((~hit).sum())
+        entry_at, entry_size = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        entry_at[hit], entry_size[hit] = self.at[place[hit]], self.size[place[hit]]
+        entry_at[~hit], entry_size[~hit] = places[:new], sizes[:new]
+        at, size = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        at[short], size[short] = entry_at[inverse], entry_size[inverse]
+        at[alone], size[alone] = places[new:], sizes[new:]
+        out = gather(pool, at, size).tobytes()
+        if len(self.keys):
+            self.met[place[hit]] += 1
+        kept = ~taken[~hit]
+        self._remember(unique[~hit][kept], twin[~hit][kept], places[:new][kept], sizes[:new][kept], pool)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        text_start = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
+        cut = edge[np.searchsorted(start, text_start)].tolist()
+        return [out[4 * a + 4 : 4 * b] for a, b in zip(cut, cut[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
-        out: list[bytes] = []
-        at = size = 0
-        each = dict.fromkeys(texts)
-        if len(each) < len(texts):  # copies are encoded once
-            ids = dict(zip(each, self.encode(list(each))))
-            return [ids[t] for t in texts]
-        for i, t in enumerate(texts):
-            if size and size + len(t) > BLOCK_CHARS:
-                out += self._block(texts[at:i])
-                at, size = i, 0
-            size += len(t)
-        return out + self._block(texts[at:])
+        each: dict[str, bytes] = dict.fromkeys(texts, b"")  # copies are encoded once
+        names, block, size = [], [], 0
+        others = []
+        for t in each:
+            data = t.encode("utf-8", "surrogatepass")
+            if not single_spaced(t, data):
+                others.append(t)
+                continue
+            names.append(t)
+            block.append(data)
+            size += len(data)
+            if size > BLOCK_CHARS:
+                each.update(zip(names, self._block(block)))
+                names, block, size = [], [], 0
+        if block:
+            each.update(zip(names, self._block(block)))
+        each.update(zip(others, self.whole(others)))
+        return [each[t] for t in texts]
+
+
+def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pool's spans (at, size) one after another."""
+    shift = np.repeat(at - (np.cumsum(size) - size), size)
+    return pool[shift + np.arange(len(shift))]
 
 
 _encoders: dict[str, PieceEncoder] = {}
