@@ -24,31 +24,31 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def bit_filter(values: DataFrame, key: Column) -> DataFrame:
-    """(_word, _bits): a bit set of fixed size over hashes of ``key``, at most FILTER_WORDS rows however many values."""
+    """(__word, __bits): a bit set of fixed size over hashes of ``key``, at most FILTER_WORDS rows however many values."""
     place = F.xxhash64(key)
     word = place.bitwiseAND(F.lit(FILTER_WORDS - 1))
     bit = F.shiftrightunsigned(place, 58)
-    return values.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("_bits"))
+    return values.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("__bits"))
 
 
-def flag_by_filter(df: DataFrame, key: Column, bits: DataFrame, name: str = "_maybe") -> DataFrame:
+def flag_by_filter(df: DataFrame, key: Column, bits: DataFrame, name: str = "__maybe") -> DataFrame:
     """Adds ``name``: false where ``key`` is surely not among the filter's values. The filter's size bounds the broadcast."""
     place = F.xxhash64(key)
     word = place.bitwiseAND(F.lit(FILTER_WORDS - 1))
     bit = F.shiftrightunsigned(place, 58)
-    there = F.call_function("shiftright", F.col("_bits"), bit.cast("int")).bitwiseAND(F.lit(1))
+    there = F.call_function("shiftright", F.col("__bits"), bit.cast("int")).bitwiseAND(F.lit(1))
     return (
-        df.withColumn("_word", word)
-        .join(F.broadcast(bits), "_word", "left")
+        df.withColumn("__word", word)
+        .join(F.broadcast(bits), "__word", "left")
         .withColumn(name, F.coalesce(there == 1, F.lit(False)))
-        .drop("_word", "_bits")
+        .drop("__word", "__bits")
     )
 
 
 def split_rows(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Rows surely outside ``ids``, and rows that may be in it; only the latter need a join."""
     flagged = flag_by_filter(df, F.col(key), bit_filter(ids, F.col(key)))
-    return flagged.where(~F.col("_maybe")).drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+    return flagged.where(~F.col("__maybe")).drop("__maybe"), flagged.where("__maybe").drop("__maybe")
 
 
 def keep_rows(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -143,7 +143,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     # The bit filter has a fixed size, so it may be broadcast; what it lets through is compared byte by byte.
     routed = flag_by_filter(fingerprints(docs, bits, with_text=True), F.col("fp"), bit_filter(again, F.col("fp")))
     groups = (
-        routed.where("_maybe")
+        routed.where("__maybe")
         .groupBy("fp", "norm")
         .agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep"))
         .where("_n > 1")

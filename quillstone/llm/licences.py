@@ -120,8 +120,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("all-rights-reserved", ["copyright", "reserved"]),
     ("all-rights-reserved", ["reserved"]),
 ]
-# Every known sentence holds one of these, so texts without any of them have no identifiers.
-ANCHORS = ["licen", "permission", "redistribution", "copyright", "warrant", "rights reserved", "free software", "gpl", "public domain", "compliance with"]
+# Every known sentence holds one of these words, so texts without any of them have no identifiers.
+ANCHORS = ["licen", "permission", "redistribution", "copyright", "warrant", "reserved", "software", "gpl", "domain", "compliance", "released"]
 # End of fixed values.
 
 

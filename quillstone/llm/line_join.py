@@ -233,7 +233,7 @@ def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = B
 
     texts = lines_of(docs).select("line").mapInArrow(keys_of, "key long, line string")
     wanted = members.select("key").distinct()
-    flagged = flag_by_filter(texts, F.col("key"), bit_filter(wanted, F.col("key"))).where("_maybe").select("key", "line")
+    flagged = flag_by_filter(texts, F.col("key"), bit_filter(wanted, F.col("key"))).where("__maybe").select("key", "line")
     # one copy of each line: equal keys are equal lines, and the group needs no text but as its key
     distinct = flagged.distinct().join(wanted, "key", "left_semi")
 
@@ -285,20 +285,20 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHOR
     """
     lines = line_classes(docs, threshold, shortest)
     gone = F.when(~F.col("kept"), F.col("pos"))
-    sums = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(gone)).alias("_gone"))
+    sums = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(gone)).alias("__gone"))
     ids = docs.select(F.col("doc_id").cast("long")).distinct()
     joined = ids.join(sums, ids.doc_id.eqNullSafe(sums.doc_id), "left").drop(sums.doc_id)
     return joined.select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join(F.transform("_gone", lambda x: x.cast("string")), " "), F.lit("")).alias("dropped"),
+        F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(F.transform("__gone", lambda x: x.cast("string")), " "), F.lit("")).alias("dropped"),
     )
 
 
 def without_lines(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts; rows without any are passed on as they are."""
-    gone = decisions.where("n_dropped > 0").select("doc_id", F.transform(F.split("dropped", " "), lambda x: x.cast("int")).alias("_gone"))
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    gone = decisions.where("n_dropped > 0").select("doc_id", F.transform(F.split("dropped", " "), lambda x: x.cast("int")).alias("__gone"))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
+    joined = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     return joined.select(docs.columns)
