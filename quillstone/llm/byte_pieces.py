@@ -17,9 +17,9 @@ import numpy as np
 
 from quillstone.llm.common import mix, powers
 
-TABLE_PIECES = 1_000_000
+TABLE_PIECES = 600_000
 LONGEST = 64
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 RUN = re.compile(r"\s\s")
 WHITE = re.compile(r"\s")
 # Bytes of white space other than space and line end, and first bytes of such characters beyond ASCII.
@@ -66,8 +66,8 @@ class PieceEncoder:
     def _empty(self) -> None:
         # key (sorted), second hash, blocks it was met in again, and where its ids are in the pool
         self.keys, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.met = np.empty(0, np.int64)
-        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met = np.empty(0, np.int32)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.pool = np.empty(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -101,20 +101,18 @@ class PieceEncoder:
         return out
 
     def _remember(self, keys: np.ndarray, second: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
-        """Adds pieces to the table; one that is full keeps what was met again, or starts anew."""
-        keys, second = np.concatenate([self.keys, keys]), np.concatenate([self.second, second])
-        met = np.concatenate([self.met, np.zeros(len(keys) - len(self.met), np.int64)])
-        at, size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        if len(keys) > TABLE_PIECES:
-            kept = met > 0
+        """Adds pieces, in order of their keys, to the table; one that is full keeps what was met again, or starts anew."""
+        spot = np.searchsorted(self.keys, keys)
+        self.keys, self.second = np.insert(self.keys, spot, keys), np.insert(self.second, spot, second)
+        self.met = np.insert(self.met, spot, 0)
+        self.at, self.size, self.pool = np.insert(self.at, spot, at), np.insert(self.size, spot, size), pool
+        if len(self.keys) > TABLE_PIECES:
+            kept = self.met > 0
             if kept.sum() > TABLE_PIECES * 3 // 4:
                 return self._empty()
-            keys, second, at, size = keys[kept], second[kept], at[kept], size[kept]
-            met = np.zeros(len(keys), np.int64)
-            pool, at = gather(pool, at, size), np.cumsum(size) - size
-        order = np.argsort(keys)
-        self.keys, self.second, self.met = keys[order], second[order], met[order]
-        self.at, self.size, self.pool = at[order], size[order], pool
+            self.keys, self.second, size = self.keys[kept], self.second[kept], self.size[kept]
+            self.pool, self.met = gather(pool, self.at[kept], size), np.zeros(len(size), np.int32)
+            self.at, self.size = (np.cumsum(size) - size).astype(np.int64), size
 
     def _block(self, data: list[bytes]) -> list[bytes]:
         """Ids of single-spaced texts. Each gets a line end in front, whose id is taken off again."""

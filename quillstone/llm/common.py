@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ FILTER_WORDS = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 WHITE_BYTE = re.compile(rb"[\x20\x09-\x0d]")
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -139,11 +140,10 @@ def folded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b.lower() if b else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def in_blocks(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def in_blocks(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Slices of a batch with a bounded volume of text; a longer text comes alone."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(text).cast(pa.large_binary()).to_pylist()]) if batch.num_rows else []
     at, volume = 0, 0
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
         if i > at and volume + size > most:
             yield batch.slice(at, i - at)
             at, volume = i, 0
