@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise, work_dir
+from quillstone.llm.common import materialise, work_dir, tidy
 from quillstone.llm.token_records import opened
 
 # Fields of an ARC header line by version, as the version block of each file names them.
@@ -186,7 +186,7 @@ def write_arc(pages: DataFrame, folder: str | None = None, most_records: int = A
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*files)], names=["path", "version"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return materialise(rows.mapInArrow(run, "path string, version string"), "arc-files")
+    return materialise(rows.mapInArrow(tidy(run), "path string, version string"), "arc-files")
 
 
 def moment(seconds: int) -> tuple[int, ...]:
@@ -213,7 +213,7 @@ def arc_records(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     shape = "path string, ordinal int, page_id long, url string, date string, digest string, length long"
-    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, shape)
+    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(tidy(run), shape)
 
 
 def revisits(records: DataFrame, least_bytes: int) -> DataFrame:
@@ -308,7 +308,7 @@ def warc_pages(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, shape)
+    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(tidy(run), shape)
 
 
 def convert_arc(files: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:

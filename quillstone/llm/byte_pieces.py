@@ -190,12 +190,7 @@ def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pool[shift + np.arange(len(shift))]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """An encoder for one task: its table goes with it, so that a worker holds no memory between tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceEncoder(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
 import numpy as np
@@ -140,6 +142,23 @@ def folded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b.lower() if b else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def tidy(run):
+    """``run`` over Arrow batches, after which the worker hands freed memory back: it stays alive between tasks, and what
+    it holds on to counts against its executor."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def in_blocks(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Slices of a batch with a bounded volume of text; a longer text comes alone."""
     at, volume = 0, 0

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bit_filter, drop_rows, flag_by_filter, folded, materialise
+from quillstone.llm.common import bit_filter, drop_rows, flag_by_filter, folded, materialise, tidy
 
 # Fingerprints that a merged block holds on average; it bounds what one merge task reads for a block.
 BLOCK_FINGERPRINTS = 1 << 17
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, bits: int = 64, with_text: bool = False) -> Da
                 out.append(pa.array([t.decode() for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), shape)
 
 
 def repeated_fingerprints(prints: DataFrame, rows: int, bits: int = 64) -> DataFrame:
@@ -125,7 +125,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int, bits: int = 64) -> DataF
         several = counts > 1
         return pa.table({"fp": pa.array(values[several].view(np.int64)), "n": pa.array(counts[several].astype(np.int64))})
 
-    filters = prints.select("fp").mapInArrow(build, "block int, filter binary")
+    filters = prints.select("fp").mapInArrow(tidy(build), "block int, filter binary")
     return filters.groupBy("block").applyInArrow(merge, "fp long, n long")
 
 

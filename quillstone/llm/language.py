@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import mix
+from quillstone.llm.common import mix, tidy
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -139,7 +139,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> list[t
                 names=["lang", "part"],
             )
 
-    parts = drawn.select("lang", "text").mapInArrow(run, "lang string, part array<double>")
+    parts = drawn.select("lang", "text").mapInArrow(tidy(run), "lang string, part array<double>")
     added = parts.select("lang", F.posexplode("part").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     model = added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     learned = [(r["lang"], np.array([p["x"] for p in r["v"]])) for r in model.orderBy("lang").toLocalIterator()]
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str
             )
 
     shape = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    done = carried.mapInArrow(run, ", ".join([*shape, "lang_pred string, score double"]))
+    done = carried.mapInArrow(tidy(run), ", ".join([*shape, "lang_pred string, score double"]))
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bit_filter, flag_by_filter, in_blocks, materialise
+from quillstone.llm.common import bit_filter, flag_by_filter, in_blocks, materialise, tidy
 from quillstone.llm.components import components
 
 THRESHOLD = 1
@@ -199,7 +199,7 @@ def keyed_lines(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
                     names=["doc_id", "pos", "key", "segs"],
                 )
 
-    return lines_of(docs).mapInArrow(run, "doc_id long, pos int, key long, segs array<long>")
+    return lines_of(docs).mapInArrow(tidy(run), "doc_id long, pos int, key long, segs array<long>")
 
 
 def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
@@ -231,7 +231,7 @@ def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = B
             lines = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([line_key(x) for x in lines], pa.int64()), batch.column(0)], names=["key", "line"])
 
-    texts = lines_of(docs).select("line").mapInArrow(keys_of, "key long, line string")
+    texts = lines_of(docs).select("line").mapInArrow(tidy(keys_of), "key long, line string")
     wanted = members.select("key").distinct()
     flagged = flag_by_filter(texts, F.col("key"), bit_filter(wanted, F.col("key"))).where("__maybe").select("key", "line")
     # one copy of each line: equal keys are equal lines, and the group needs no text but as its key
@@ -257,7 +257,7 @@ def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = B
 
     names = ["seg", "_i", "_j"]
     rows = placed.join(distinct, "key").select(*names, "key", "line")
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import drop_rows, folded, in_blocks, keep_rows, materialise, mix, shingle_sets
+from quillstone.llm.common import drop_rows, folded, in_blocks, keep_rows, materialise, mix, shingle_sets, tidy
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -68,7 +68,7 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
                 )
 
     shape = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), shape)
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -80,7 +80,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(folded(part.column(1)), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles binary")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
 
     keys = ["_band", "_key", "_i", "_j"]
     ordered = rows.select(*keys, "rep", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def candidate_groups(reps: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import materialise
+from quillstone.llm.common import materialise, tidy
 
 SEQUENCE = 2048
 END_ID = 0
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), shape)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import materialise, work_dir
+from quillstone.llm.common import materialise, work_dir, tidy
 
 SHARD_BYTES = 64 << 20
 END_ID = 0
@@ -133,7 +133,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
             )
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return materialise(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 def placed(manifest: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     files = placed(manifest).select("path", "base")
     # one file is one unit of work; they are dealt out to all cores
     spread = files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism) * 4)
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
@@ -209,13 +209,13 @@ def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
                 names=["place", "doc_id", "ids"],
             )
 
-    rows = manifest.select("path", "index_path").mapInArrow(entries, "path string, at long")
+    rows = manifest.select("path", "index_path").mapInArrow(tidy(entries), "path string, at long")
     placed_rows = rows.withColumn("place", F.xxhash64("path", "at", F.lit(seed)))
     return (
         placed_rows.repartitionByRange("place")
         .sortWithinPartitions("place")
         .select("place", "path", "at")
-        .mapInArrow(fetch, "place long, doc_id long, ids array<long>")
+        .mapInArrow(tidy(fetch), "place long, doc_id long, ids array<long>")
     )
 
 
