@@ -138,6 +138,9 @@ DANGEROUS_FUNCTIONS = [
     "PG_SLEEP", "PG_READ_FILE", "PG_READ_BINARY_FILE", "PG_LS_DIR", "PG_STAT_FILE", "LO_IMPORT",
     "LO_EXPORT", "DBLINK", "CURRENT_SETTING",
 ]
+# Further names that only this engine has: calls into the JVM, and formats that read a path as a relation.
+JVM_FUNCTIONS = ["REFLECT", "TRY_REFLECT", "JAVA_METHOD"]
+PATH_FORMATS = ["TEXT", "CSV", "JSON", "XML", "PARQUET", "ORC", "AVRO", "BINARYFILE", "DELTA"]
 SYSTEM_CATALOGS = ["PG_CATALOG", "INFORMATION_SCHEMA"]
 SQL_REASONS = {
     "empty": "错误：SQL 不能为空",

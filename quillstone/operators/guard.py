@@ -14,7 +14,9 @@ from quillstone.functions.text import has_text
 
 MUTATING = r"(?i)\b(" + "|".join(fixed.MUTATING_KEYWORDS) + r")\b"
 DANGEROUS = (
-    r"(?i)\b(" + "|".join(fixed.DANGEROUS_FUNCTIONS) + r")\s*\(|\b(" + "|".join(fixed.SYSTEM_CATALOGS) + r")\."
+    r"(?i)\b(" + "|".join([*fixed.DANGEROUS_FUNCTIONS, *fixed.JVM_FUNCTIONS]) + r")`?\s*\("
+    r"|\b(" + "|".join(fixed.SYSTEM_CATALOGS) + r")\."
+    r"|\b(" + "|".join(fixed.PATH_FORMATS) + r")`?\s*\.\s*`"
 )
 COMMENT = r"--|/\*|\*/"
 

@@ -259,14 +259,13 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, max_queries: int
     )
 
 
-def train_lists(chunks: DataFrame, lists: int = 100, seed: int = 42, sample_rows: int = 200_000):
-    """Cluster centres for the clustered search, trained on a bounded share of the vectors as index builds do."""
+def train_lists(chunks: DataFrame, lists: int = 100, seed: int = 42):
+    """Cluster centres for the clustered search, trained on all vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     total = chunks.count()
-    source = chunks if total <= sample_rows else chunks.sample(fraction=sample_rows / total, seed=seed)
-    points = source.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    points = chunks.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     return KMeans(k=min(lists, max(2, total)), seed=seed, maxIter=10).fit(points)
 
 

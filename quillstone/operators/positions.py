@@ -38,7 +38,7 @@ def running(
     within = (
         Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = df.join(carried, [*keys, "_block"])
+    joined = _join_back(df, carried, [*keys, "_block"])
     return joined.select(
         *[c for c in df.columns if c != "_block"],
         *[(F.col(f"_cs_{n}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(n) for n, v in sums.items()],
@@ -49,6 +49,15 @@ def running(
     )
 
 
+def _join_back(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that treats null keys, and blocks of null orders, as values like others."""
+    named = other.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in other.columns if c not in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(named, same).drop(*[f"_k_{c}" for c in keys])
+
+
 def _carried(per_block: DataFrame, keys: list[str], sums: list[str], lasts: list[str]) -> DataFrame:
     """What each block takes over from the blocks before it."""
     blocks = per_block.withColumn("_group", F.floor(F.col("_block") / BLOCK))
@@ -66,7 +75,7 @@ def _carried(per_block: DataFrame, keys: list[str], sums: list[str], lasts: list
     before = (
         Window.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return blocks.join(from_groups, [*keys, "_group"]).select(
+    return _join_back(blocks, from_groups, [*keys, "_group"]).select(
         *keys,
         "_block",
         *[(F.col(f"_bs_{n}") + F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0))).alias(f"_cs_{n}") for n in sums],
