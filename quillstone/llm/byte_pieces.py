@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -19,9 +20,10 @@ from quillstone.llm.common import mix, powers
 
 TABLE_PIECES = 600_000
 LONGEST = 64
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 RUN = re.compile(r"\s\s")
 WHITE = re.compile(r"\s")
+CUT = re.compile(r"(?<=\S) (?=\S)")
 # Bytes of white space other than space and line end, and first bytes of such characters beyond ASCII.
 ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -39,6 +41,18 @@ def single_spaced(text: str, data: bytes) -> bool:
     return not RUN.search(text)
 
 
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about BLOCK_CHARS; all but the first begin with a single space between visible characters."""
+    at = 0
+    while len(text) - at > BLOCK_CHARS:
+        found = CUT.search(text, at + BLOCK_CHARS)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class PieceEncoder:
     """Encodes batches of texts; ids come back as little-endian unsigned 32-bit bytes, without special tokens."""
 
@@ -161,27 +175,34 @@ class PieceEncoder:
         cut = edge[np.searchsorted(start, text_start)].tolist()
         return [out[4 * a + 4 : 4 * b] for a, b in zip(cut, cut[1:])]
 
+    def _others(self, data: list[bytes]) -> list[bytes]:
+        return self.whole([d.decode("utf-8", "surrogatepass") for d in data])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self.whole(texts)
-        each: dict[str, bytes] = dict.fromkeys(texts, b"")  # copies are encoded once
-        names, block, size = [], [], 0
-        others = []
+        """Ids of every text. Texts are encoded in blocks of bounded size, long ones in parts, copies once."""
+        each: dict[str, list[bytes]] = {t: [] for t in texts}
+        waiting: dict[bool, list[tuple[str, bytes]]] = {True: [], False: []}
+        volume = {True: 0, False: 0}
+
+        def flush(spaced: bool) -> None:
+            run = self._block if spaced else self._others
+            rows, waiting[spaced], volume[spaced] = waiting[spaced], [], 0
+            if rows:
+                for (t, _), ids in zip(rows, run([d for _, d in rows])):
+                    each[t].append(ids)
+
         for t in each:
             data = t.encode("utf-8", "surrogatepass")
-            if not single_spaced(t, data):
-                others.append(t)
-                continue
-            names.append(t)
-            block.append(data)
-            size += len(data)
-            if size > BLOCK_CHARS:
-                each.update(zip(names, self._block(block)))
-                names, block, size = [], [], 0
-        if block:
-            each.update(zip(names, self._block(block)))
-        each.update(zip(others, self.whole(others)))
-        return [each[t] for t in texts]
+            spaced = self.cuts and single_spaced(t, data)
+            long = self.cuts and len(t) > BLOCK_CHARS
+            for d in (p.encode("utf-8", "surrogatepass") for p in parts(t)) if long else (data,):
+                if volume[spaced] + len(d) > BLOCK_CHARS:
+                    flush(spaced)
+                waiting[spaced].append((t, d))
+                volume[spaced] += len(d)
+        flush(True)
+        flush(False)
+        return [b"".join(each[t]) for t in texts]
 
 
 def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ FILTER_WORDS = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 WHITE_BYTE = re.compile(rb"[\x20\x09-\x0d]")
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import materialise, tidy
+from quillstone.llm.common import in_blocks, materialise, tidy
 
 SEQUENCE = 2048
 END_ID = 0
@@ -33,17 +33,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            for part in in_blocks(batch, "text"):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows: list[tuple] = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                columns = zip(*rows)  # a block has a text at least, and a text has a piece at least
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), shape)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import materialise, work_dir, tidy
+from quillstone.llm.common import in_blocks, materialise, tidy, work_dir
 
 SHARD_BYTES = 64 << 20
 END_ID = 0
@@ -116,13 +116,14 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
         narrow, end = enc.vocabulary <= 1 << 16, np.array([END_ID], "<u4").tobytes()
         shards: list[Shard] = []
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                if not shards or shards[-1].size >= shard_bytes:
-                    if shards:
-                        shards[-1].close()
-                    shards.append(Shard(folder))
-                shards[-1].add(pack_ids(doc_id, ids + end, narrow), len(ids) // 4 + 1)
+            for block in in_blocks(batch, "text"):
+                texts = [t or "" for t in block.column(1).to_pylist()]
+                for doc_id, ids in zip(block.column(0).to_pylist(), enc.encode(texts)):
+                    if not shards or shards[-1].size >= shard_bytes:
+                        if shards:
+                            shards[-1].close()
+                        shards.append(Shard(folder))
+                    shards[-1].add(pack_ids(doc_id, ids + end, narrow), len(ids) // 4 + 1)
         if shards:
             shards[-1].close()
             part = TaskContext.get().partitionId()
