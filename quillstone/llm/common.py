@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -9,7 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.session import materialise, work_dir  # noqa: F401
@@ -142,6 +143,19 @@ def folded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b.lower() if b else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000):
+    """While a table is written inside, Arrow batches have at most ``rows`` rows: whole texts are wide, and a batch is held
+    by the executor and by its worker. The session's setting is put back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tidy(run):
     """``run`` over Arrow batches, after which the worker hands freed memory back: it stays alive between tasks, and what
     it holds on to counts against its executor."""

@@ -147,15 +147,17 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> list[t
 
 
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and (lang_pred, score): the nearest language and its cosine, ``und`` and 0 without letters.
+    """The columns ``keep`` (``text`` may be one) and (lang_pred, score): the nearest language and its cosine, ``und`` and 0 without letters.
 
     Only the text is looked at. A cosine below 0 counts as 0; of equal cosines the first language by name wins. The
     model, one vector per language, goes to the tasks with the function.
     """
     names = [lang for lang, _ in model]
     matrix = np.stack([v for _, v in model]).astype(np.float32).T if model else np.zeros((DIMENSIONS, 1), np.float32)
-    carried = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    columns = [*carried.columns[1:], "lang_pred", "score"]
+    others = [c for c in keep if c != "text"]
+    first = 0 if "text" in keep else 1  # the text goes to the workers once
+    carried = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    columns = [*carried.columns[first:], "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +174,12 @@ def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str
                 found += [names[k] if yes else UNKNOWN for k, yes in zip(best, known)]
                 scores += np.where(known, value, 0.0).tolist()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=columns
+                [*batch.columns[first:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=columns
             )
 
-    shape = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    shape = ["text string"][first:] + [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)]
     done = carried.mapInArrow(tidy(run), ", ".join([*shape, "lang_pred string, score double"]))
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return done.select(*["text"][first:], *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFra
 def identified_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """Rows of ``docs``, all columns, whose text has a language; rejected rows (``und``) go. No row is shuffled."""
     model = train(docs.select("doc_id", "text", "lang").where(~held_out()), per_language)
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    found = predict(docs.select("text", row), model, ["_row"])
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("_row").getField(c).alias(c) for c in names])
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
+    found = predict(docs.select("text", row.alias("_row")), model, ["text", "_row"]).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import drop_rows, folded, in_blocks, keep_rows, materialise, mix, shingle_sets, tidy
+from quillstone.llm.common import drop_rows, folded, in_blocks, keep_rows, materialise, mix, shingle_sets, text_batches, tidy
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -203,7 +203,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     Rows that repeat a doc_id are one node of the graph. Only doc_id and text are looked at; an empty table gives an
     empty result.
     """
-    seen = materialise(profiles(docs, shingle), "profiles")
+    with text_batches(docs.sparkSession):
+        seen = materialise(profiles(docs, shingle), "profiles")
     some = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialise(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     banded = some.select(F.col("doc_id").alias("rep"), "set_a", "set_b", "bands").join(reps, ["rep", "set_a", "set_b"], "left_semi")
@@ -211,7 +212,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
     texts = keep_rows(docs.select(F.col("doc_id").cast("long"), "text"), wanted)
     sets = sets_of(texts, shingle).withColumnRenamed("doc_id", "rep")
-    links = materialise(bucket_links(groups.join(sets, "rep"), percent).distinct(), "links")
+    with text_batches(docs.sparkSession):
+        links = materialise(bucket_links(groups.join(sets, "rep"), percent).distinct(), "links")
     found = components(links)
     named = reps.join(found, reps.rep == found.node, "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("_component")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import in_blocks, materialise, tidy
+from quillstone.llm.common import in_blocks, materialise, text_batches, tidy
 
 SEQUENCE = 2048
 END_ID = 0
@@ -225,4 +225,6 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE,
     A null or empty text is one piece of the end id alone. Rows that repeat a doc_id are packed as documents of their
     own. Columns besides doc_id and text are not looked at; an empty table gives an empty result.
     """
-    return pack_pieces(materialise(token_pieces(docs, tokenizer, capacity), "pieces"), capacity, shard_pieces)
+    with text_batches(docs.sparkSession):
+        pieces = materialise(token_pieces(docs, tokenizer, capacity), "pieces")
+    return pack_pieces(pieces, capacity, shard_pieces)

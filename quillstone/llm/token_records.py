@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.byte_pieces import encoder
-from quillstone.llm.common import in_blocks, materialise, tidy, work_dir
+from quillstone.llm.common import in_blocks, materialise, text_batches, tidy, work_dir
 
 SHARD_BYTES = 64 << 20
 END_ID = 0
@@ -134,7 +134,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
             )
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
+    with text_batches(docs.sparkSession):
+        return materialise(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 def placed(manifest: DataFrame) -> DataFrame:
