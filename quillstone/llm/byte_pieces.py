@@ -18,9 +18,9 @@ import numpy as np
 
 from quillstone.llm.common import mix, powers
 
-TABLE_PIECES = 600_000
+TABLE_PIECES = 300_000
 LONGEST = 64
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 RUN = re.compile(r"\s\s")
 WHITE = re.compile(r"\s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
