@@ -22,6 +22,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 WHITE_BYTE = re.compile(rb"[\x20\x09-\x0d]")
 SLICE = 1 << 19
+BATCH_BYTES = 8 << 20
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -79,7 +80,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base^0, base^1, ... modulo 2^64, at least n of them."""
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, SLICE + 4096), base, np.uint64)
+        steps = np.full(n + n // 4 + 1, base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base]
@@ -145,15 +146,17 @@ def folded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 @contextlib.contextmanager
 def text_batches(spark: SparkSession, rows: int = 1000):
-    """While a table is written inside, Arrow batches have at most ``rows`` rows: whole texts are wide, and a batch is held
-    by the executor and by its worker. The session's setting is put back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """While a table is written inside, Arrow batches have at most ``rows`` rows and about BATCH_BYTES: whole texts are
+    wide, and a batch is held by the executor and by its worker. The session's settings are put back afterwards."""
+    limits = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(f"spark.sql.execution.arrow.{key}") for key in limits}
     try:
+        for key, value in limits.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def tidy(run):
@@ -164,6 +167,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
+            _powers.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -173,7 +177,7 @@ def tidy(run):
     return tidied
 
 
-def in_blocks(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def in_blocks(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """Slices of a batch with a bounded volume of text; a longer text comes alone."""
     at, volume = 0, 0
     for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):

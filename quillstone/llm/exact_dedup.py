@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bit_filter, drop_rows, flag_by_filter, folded, materialise, tidy
+from quillstone.llm.common import bit_filter, drop_rows, flag_by_filter, folded, in_blocks, materialise, text_batches, tidy
 
 # Fingerprints that a merged block holds on average; it bounds what one merge task reads for a block.
 BLOCK_FINGERPRINTS = 1 << 17
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, bits: int = 64, with_text: bool = False) -> Da
     drop = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_blocks(whole, "text")):
             texts = folded(batch.column(1))
             prints = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64) >> drop
             out = [
@@ -138,7 +138,8 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     empty table gives an empty result. ``bits`` is the length of the fingerprint; a short one only sends more texts to
     the byte verification.
     """
-    prints = materialise(fingerprints(docs, bits), "fingerprints")
+    with text_batches(docs.sparkSession):
+        prints = materialise(fingerprints(docs, bits), "fingerprints")
     again = repeated_fingerprints(prints, prints.count(), bits)
     # The bit filter has a fixed size, so it may be broadcast; what it lets through is compared byte by byte.
     routed = flag_by_filter(fingerprints(docs, bits, with_text=True), F.col("fp"), bit_filter(again, F.col("fp")))
@@ -149,6 +150,8 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
         .where("_n > 1")
         .select(F.sha2("norm", 256).alias("text_sha256"), "_n", "_keep")
     )
+    with text_batches(docs.sparkSession):
+        groups = materialise(groups, "copies")
     keep = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("doc_id"))
     return (
         prints.join(groups, "text_sha256", "left")

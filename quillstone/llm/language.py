@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import mix, tidy
+from quillstone.llm.common import in_blocks, materialise, mix, text_batches, tidy
 
 DIMENSIONS = 1024
 GRAM = 3
 # At most about this many training documents per language, drawn by a hash of the id.
 TRAIN_PER_LANGUAGE = 4_000
-BLOCK_LETTERS = 1 << 20
+BLOCK_LETTERS = 1 << 19
+# Gram vectors made at a time.
+GRAM_ROWS = 1 << 12
 GAP = 32
 UNKNOWN = "und"
 
@@ -86,8 +88,8 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
     owner, grams = seen // kinds, seen % kinds
     columns, at = np.unique(grams, return_inverse=True)
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for a in range(0, len(columns), 1 << 14):  # a bounded number of gram vectors at a time
-        b = min(a + (1 << 14), len(columns))
+    for a in range(0, len(columns), GRAM_ROWS):
+        b = min(a + GRAM_ROWS, len(columns))
         inside = (at >= a) & (at < b)
         bag = np.zeros((len(texts), b - a), np.float32)
         bag[owner[inside], at[inside] - a] = counts[inside]
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str
     columns = [*carried.columns[first:], "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_blocks(whole, "text", 8 << 20)):
             texts = batch.column(0).to_pylist()
             found: list[str] = []
             scores: list[float] = []
@@ -200,9 +202,15 @@ def identify(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFra
 
 
 def identified_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language; rejected rows (``und``) go. No row is shuffled."""
-    model = train(docs.select("doc_id", "text", "lang").where(~held_out()), per_language)
+    """Rows of ``docs``, all columns, whose text has a language; rejected rows (``und``) go. No row is shuffled.
+
+    The rows are written here, since only then their texts go through the workers in small batches.
+    """
+    with text_batches(docs.sparkSession):
+        model = train(docs.select("doc_id", "text", "lang").where(~held_out()), per_language)
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
     found = predict(docs.select("text", row.alias("_row")), model, ["text", "_row"]).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    rows = found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    with text_batches(docs.sparkSession):
+        return materialise(rows, "identified")
