@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import exact_dedup, language, mixing, near_dedup, packing
-from quillstone.llm.common import materialise
+from quillstone.llm.common import BATCH_BYTES, materialise
 from quillstone.llm.queries import tokenizer_file
 from quillstone.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null texts and texts without letters."""
+    """Documents without a recognisable language go: null texts and texts without letters.
+
+    The rows are computed when the caller writes them, so the bound on their Arrow batches is set for the session and
+    stays; results do not depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return language.identified_rows(docs)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import in_blocks, materialise, mix, text_batches, tidy
+from quillstone.llm.common import in_blocks, mix, text_batches, tidy
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -202,15 +202,10 @@ def identify(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFra
 
 
 def identified_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language; rejected rows (``und``) go. No row is shuffled.
-
-    The rows are written here, since only then their texts go through the workers in small batches.
-    """
+    """Rows of ``docs``, all columns, whose text has a language; rejected rows (``und``) go. No row is shuffled."""
     with text_batches(docs.sparkSession):
         model = train(docs.select("doc_id", "text", "lang").where(~held_out()), per_language)
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
     found = predict(docs.select("text", row.alias("_row")), model, ["text", "_row"]).where(F.col("lang_pred") != UNKNOWN)
-    rows = found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
-    with text_batches(docs.sparkSession):
-        return materialise(rows, "identified")
+    return found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
