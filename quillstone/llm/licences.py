@@ -136,11 +136,26 @@ def known() -> dict[str, str]:
     return {normal(s): name for name, variants in SENTENCES.items() for s in variants}
 
 
+def pieces(sentence: str) -> list[str]:
+    """The normal forms that :func:`sentences` cuts one known sentence into: more than one where a mark stands inside it."""
+    import re
+
+    return [normal(p) for p in re.split(r"(?<=[.!?;:])[ \t\r]+", sentence)]
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after sentence marks before a space."""
+    """Normalised sentences: cut at line ends and after sentence marks before a space.
+
+    Known sentences with a mark inside, such as a colon or ``v.``, are put together again where all their pieces follow
+    one another; other pieces stay as they are cut.
+    """
     cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
     clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "licence", "license"), "[^a-z0-9]+", " ")))
-    return F.filter(clean, lambda s: s != "")
+    whole = F.concat(F.lit("|"), F.array_join(F.filter(clean, lambda s: s != ""), "||"), F.lit("|"))
+    several = [p for variants in SENTENCES.values() for p in map(pieces, variants) if len(p) > 1]
+    for parts in sorted(several, key=len, reverse=True):
+        whole = F.replace(whole, F.lit(f"|{'||'.join(parts)}|"), F.lit(f"|{' '.join(parts)}|"))
+    return F.filter(F.split(whole, r"\|+"), lambda s: s != "")
 
 
 def unwrapped(text: Column) -> Column:

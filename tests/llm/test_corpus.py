@@ -482,6 +482,22 @@ def test_licences(spark):
         assert any(a in sentence for a in licences.ANCHORS)
 
 
+def test_every_known_sentence_is_found(spark):
+    names = [(name, sentence) for name, variants in licences.SENTENCES.items() for sentence in variants]
+    rows = [(i, f"Some prose.\n\n// {sentence}\n\nMore prose.") for i, (_, sentence) in enumerate(names)]
+    rows += [(1000 + i, f"Some prose. {sentence} \nMore prose.") for i, (_, sentence) in enumerate(names)]
+    rows += [(2000 + i, "# " + sentence.replace(" ", "\n# ")) for i, (_, sentence) in enumerate(names)]
+    alone = {seq[0]: licence for licence, seq in licences.RULES if len(seq) == 1}
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        name = names[i % 1000][0]
+        assert (got[i].sentence_ids, got[i].licences, got[i].n_unknown) == (name, alone.get(name, ""), 0)
+    odd = ["SPDX-License-Identifier: Foo", "MIT", "This program is free software: take it.", "MIT\nSPDX-License-Identifier:\n"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    left = {r.doc_id: (r.licences, r.n_unknown) for r in licences.licence_scan(df).collect()}
+    assert left == {0: ("", 1), 1: ("", 0), 2: ("", 0), 3: ("", 1)}
+
+
 def brute_stats(text):
     text = text or ""
     words = WORD.findall(text)
