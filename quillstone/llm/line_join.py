@@ -1,8 +1,10 @@
 """Line dedup: a segment-partition edit join over distinct lines.
 
-Lines within ``threshold`` edits share one of threshold + 1 segments of the shorter line, at a place that the lengths
-narrow down. Each line indexes its own segments and probes those of lines up to ``threshold`` shorter; lines that meet
-at a segment are verified by bit-parallel edit distance.
+How many edits make a near-equal line follows from the length of the shorter one (``edits_for``). Lines within k edits
+share one of k + 1 segments of the shorter line, at a place that the lengths narrow down. Each line indexes its own
+segments and probes those of lines up to k shorter. Long lines, which allow more edits, share an unedited run instead:
+the least hash of the grams of every window as long as that run is a key of both. Lines that meet at a key are verified
+by bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bit_filter, flag_by_filter, in_blocks, materialise, tidy
+from quillstone.llm.common import BASE, INVERSE, bit_filter, flag_by_filter, in_blocks, materialise, mix, powers, tidy
 from quillstone.llm.components import components
 
-THRESHOLD = 1
+# None: as many edits as edits_for gives for the shorter line. A number holds for every length.
+THRESHOLD: int | None = None
 # Shorter lines are compared exactly only: one edit makes another line of them.
 SHORTEST = 20
+# From this length on lines meet by grams. k = length // 50 edits leave an unedited run of RUN characters or more:
+# (length - k) / (k + 1), rounded up. A window of RUN - GRAM + 1 grams is as long as that run.
+LONG, RUN, GRAM = 200, 40, 20
 # Groups up to this size are compared pair by pair; larger ones find their pairs by keys or in blocks.
 PAIRWISE = 48
 BLOCK = 20_000
@@ -34,6 +40,12 @@ def line_key(line: str) -> int:
     return signed(xxhash.xxh64_intdigest(line))
 
 
+def edits_for(length: int, threshold: int | None) -> int:
+    """Edits that make a near-equal line of one with ``length`` characters: one from 20, two from 40, three from 60, and
+    2 % of the length from 200."""
+    return max(min(3, length // 20), length // 50) if threshold is None else threshold
+
+
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     """(start, length) of threshold + 1 segments of nearly equal length, the longer ones last."""
     parts = threshold + 1
@@ -46,25 +58,46 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(line: str, threshold: int) -> set[int]:
+def segment_keys(line: str, threshold: int | None) -> set[int]:
     """Keys at which this line meets those within ``threshold`` edits: its own segments, and the substrings that may
-    equal a segment of a line up to ``threshold`` shorter.
+    equal a segment of a line up to ``threshold`` shorter. Without a number, the edits follow from the shorter line's
+    length, and shorter lines from LONG on are left to :func:`gram_keys`.
 
     If segment i is the first that no edit touches, at most i edits lie before it; if the edits are counted from the end,
     at most threshold - i lie behind it. Both bound the shift, which leaves few substrings.
     """
     keys = set()
     n = len(line)
-    for length in range(max(threshold + 1, n - threshold), n + 1):
-        more = n - length
-        for i, (start, size) in enumerate(segments(length, threshold)):
-            low = max(0, start - i, start + more - (threshold - i))
-            high = min(n - size, start + i, start + more + (threshold - i))
+    for length in range(max(1, n - edits_for(n, threshold)), n + 1 if threshold is not None else min(n + 1, LONG)):
+        more, most = n - length, edits_for(length, threshold)
+        if more > most or length <= most:
+            continue
+        for i, (start, size) in enumerate(segments(length, most)):
+            low = max(0, start - i, start + more - (most - i))
+            high = min(n - size, start + i, start + more + (most - i))
             for at in range(low, high + 1):
                 keys.add(signed(xxhash.xxh64_intdigest(line[at : at + size], seed=(length * 64 + i) & 0xFFFFFFFF)))
     return keys
 
 
+def gram_keys(lines: list[str]) -> list[np.ndarray]:
+    """Per line of LONG or more characters the least gram hash of every window of RUN characters, each once."""
+    if not lines:
+        return []
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    n = len(codes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes * powers(BASE, n)[:n], out=sums[1:])
+    low = mix((sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, n + 1)[: n - GRAM + 1])
+    size, window = 1, RUN - GRAM + 1
+    while size < window:  # least of ``size`` neighbours, doubled until the window is full
+        step = min(size, window - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    return [np.unique(low[end - len(x) : end - RUN + 1]).view(np.int64) for x, end in zip(lines, ends)]
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance where it is at most ``most``, else most + 1.
 
@@ -148,7 +181,22 @@ def one_edit_pairs(lines: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip(o[same + 1].tolist(), o[same].tolist())
 
 
-def group_links(keys: list[int], lines: list[str], threshold: int) -> list[tuple[int, int]]:
+def like_pairs(lines: list[str], threshold: int | None) -> Iterator[tuple[int, int]]:
+    """Pairs that lengths and letter counts leave: an edit changes the counts by two at most, so no pair is lost."""
+    size = np.array([len(x) for x in lines], np.int64)
+    most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
+    counts = np.zeros((len(lines), 64), np.int32)
+    for i, line in enumerate(lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+        counts[i] = np.bincount(codes & 63, minlength=64)
+    for i in range(1, len(lines)):
+        edits = np.minimum(most[:i], most[i])
+        near = np.flatnonzero(np.abs(size[:i] - size[i]) <= edits)
+        near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * edits[near]]
+        yield from ((i, j) for j in near.tolist())
+
+
+def group_links(keys: list[int], lines: list[str], threshold: int | None) -> list[tuple[int, int]]:
     """Verified links of a group, without those inside a part that is connected already."""
     root = list(range(len(lines)))
 
@@ -158,15 +206,17 @@ def group_links(keys: list[int], lines: list[str], threshold: int) -> list[tuple
             i = root[i]
         return i
 
-    pairs = (
-        one_edit_pairs(lines)
-        if threshold == 1 and len(lines) > PAIRWISE
-        else ((i, j) for i in range(len(lines)) for j in range(i))
-    )
+    if len(lines) <= PAIRWISE:
+        pairs = ((i, j) for i in range(len(lines)) for j in range(i))
+    else:
+        pairs = one_edit_pairs(lines) if threshold == 1 else like_pairs(lines, threshold)
     out = []
     for i, j in pairs:
         a, b = find(i), find(j)
-        if a != b and edit_distance(lines[i], lines[j], threshold) <= threshold:
+        if a == b:
+            continue
+        most = edits_for(min(len(lines[i]), len(lines[j])), threshold)
+        if edit_distance(lines[i], lines[j], most) <= most:
             root[max(a, b)] = min(a, b)
             out.append((keys[i], keys[j]))
     return out
@@ -178,7 +228,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), cut).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def keyed_lines(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
+def keyed_lines(docs: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
     """(doc_id, pos, key, segs): segs are the segment keys of lines long enough for the edit join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +239,9 @@ def keyed_lines(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
                 for line in lines:
                     if line not in seen:
                         seen[line] = line_key(line), list(segment_keys(line, threshold)) if len(line) >= shortest else []
+                long = [x for x in seen if len(x) >= max(LONG, shortest)] if threshold is None else []
+                for line, grams in zip(long, gram_keys(long)):
+                    seen[line][1].extend(grams.tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -202,7 +255,7 @@ def keyed_lines(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
     return lines_of(docs).mapInArrow(tidy(run), "doc_id long, pos int, key long, segs array<long>")
 
 
-def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+def line_links(docs: DataFrame, keyed: DataFrame, threshold: int | None, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between line keys.
 
     Segments that only one line has are dropped by a minimum and a maximum, summed before the shuffle. Segments with
@@ -260,10 +313,11 @@ def line_links(docs: DataFrame, keyed: DataFrame, threshold: int, block: int = B
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int | None = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, pos, key, class, kept) of every line with a visible character.
 
-    A class holds the lines that links connect; its first line by doc_id and position stays, all others go, repeated
+    Lines are linked within ``threshold`` edits, or, where it is None, within those that :func:`edits_for` gives for the
+    shorter line. A class holds the lines that links connect; its first line by doc_id and position stays, all others go, repeated
     lines of one text among them. A null doc_id comes before all numbers.
     """
     keyed = materialise(keyed_lines(docs, threshold, shortest), "lines")
@@ -276,7 +330,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     return joined.select("doc_id", "pos", "key", "class", (F.col("_first").isNull() | (F.col("_first") == order)).alias("kept"))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int | None = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """One row per doc_id: (doc_id, n_lines, n_dropped, dropped); dropped has the numbers of the lines that go.
 
     Lines are cut at line feeds; those without a visible character are neither counted nor dropped. Null, empty and

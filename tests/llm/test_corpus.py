@@ -242,6 +242,49 @@ def test_line_dedup(spark, threshold):
         assert left[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
 
 
+def test_near_lines_meet_at_every_length():
+    for n in [*range(20, 260, 3), 299, 300, 999, 1000, 3001]:
+        line = "".join(rng.choice("abcdef ") for _ in range(n))
+        other = edited(line, line_join.edits_for(n, None))
+        most = line_join.edits_for(min(n, len(other)), None)
+        if line_join.edit_distance(line, other, most) > most:
+            continue
+        sets = []
+        for x in (line, other):
+            grams = line_join.gram_keys([x])[0].tolist() if len(x) >= line_join.LONG else []
+            sets.append(line_join.segment_keys(x, None) | set(grams))
+        assert sets[0] & sets[1], n
+    many = [edited("".join(rng.choice("abc ") for _ in range(n)), 0) for n in (200, 201, 450)]
+    assert [k.tolist() for k in line_join.gram_keys(many)] == [line_join.gram_keys([x])[0].tolist() for x in many]
+    for k in range(200, 100_000):
+        edits = line_join.edits_for(k, None)
+        assert -((edits - k) // (edits + 1)) >= line_join.RUN
+
+
+def test_line_dedup_by_length(spark):
+    lines = []
+    for n in (15, 30, 50, 59, 62, 150, 198, 200, 202, 330, 500):
+        base = "".join(rng.choice("abcdef ") for _ in range(n)) + "end"
+        lines += [edited(base, rng.randrange(2 + 2 * line_join.edits_for(n, None))) for _ in range(8)]
+    lines += [edited("y" + "".join(rng.choice("abcdef ") for _ in range(230)), 0)] * 2
+    base = "".join(rng.choice("abcdef ") for _ in range(260))
+    lines += [edited(base, rng.randrange(9)) for _ in range(70)]
+    lines = list(dict.fromkeys(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    links = []
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        n = min(len(lines[a]), len(lines[b]))
+        most = max(min(3, n // 20), n // 50)
+        if n >= 20 and line_join.edit_distance(lines[a], lines[b], most) <= most:
+            links.append((a, b))
+    part = reachable(range(len(lines)), links)
+    got = {r.doc_id: r.n_dropped for r in line_join.line_dedup(df).collect()}
+    assert got == {i: int(part[i] != i) for i in range(len(lines))}
+    report = "On the evening of the third day the committee agreed to move the meeting of the {} to a later week."
+    near = spark.createDataFrame([(1, report.format("17 May")), (2, report.format("28 May"))], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_join.line_dedup(near).collect()} == {1: 0, 2: 1}
+
+
 @pytest.fixture(scope="module")
 def tokens():
     from tokenizers import Tokenizer
