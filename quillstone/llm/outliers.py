@@ -13,9 +13,11 @@ CORE = 0.75
 CONSISTENCY = 1.49
 STEPS = 3
 SMALLEST_GROUP = 40
-# Least standard deviations of the four values, so that values that hardly vary within a group do not reject alone.
+# Standard deviations added in square to the four values: most rows of a group have no symbols and no repeats at all, so
+# without them the variance is zero and a single symbol would reject a row.
 FLOORS = (0.15, 0.45, 0.35, 0.55)
-CUT = 60.0
+# The 99.9 % quantile of chi-square with four degrees of freedom: what one in a thousand normal rows exceeds.
+CUT = 18.467
 VALUES = ("x0", "x1", "x2", "x3")
 ACCURACY = 10_000
 

@@ -592,6 +592,19 @@ def test_outliers_against_numpy(spark):
         assert all(got[i].kept == (i % 10 != 0) for i in ids)
 
 
+def test_outliers_rejects_what_is_far_from_its_group(spark):
+    local = random.Random(4)
+    words = [[local.choice(VOCABULARY) + str(local.randrange(9000)) for _ in range(100)] for _ in range(200)]
+    texts = [" ".join(w) for w in words]
+    texts[0] = " ".join(w + "#" * (i % 5 == 0) for i, w in enumerate(words[0]))  # 20 symbols per 100 words
+    texts[1] = " ".join(w * 3 for w in words[1])
+    texts[2] = " ".join(words[2][:80] + words[2][:80][-60:])
+    texts[3] = " ".join(w + "#" * (i == 5) for i, w in enumerate(words[3]))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in outliers.quality(df).collect() if not r.kept and not r.base_failed) == [0, 1]
+    assert math.isclose(math.exp(-outliers.CUT / 2) * (1 + outliers.CUT / 2), 0.001, rel_tol=1e-3)
+
+
 def test_pipeline_stages(spark, docs, none, folder, tokens):
     frame = clean(docs).drop("kept", "size", "keep_id")
     given = {r.doc_id: r.text for r in frame.collect()}
