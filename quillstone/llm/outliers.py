@@ -9,9 +9,15 @@ from quillstone.llm.common import materialise
 
 GAP = r"[\x20\x09-\x0D]+"
 # Share of a group's rows that the estimate rests on, and the factor that makes up for leaving the rest out (4 values).
-CORE = 0.75
-CONSISTENCY = 1.49
-STEPS = 3
+CORE = 0.5
+CONSISTENCY = 2.109
+# Steps end when no determinant falls by more than FALL (of its logarithm), at the latest after STEPS.
+STEPS = 30
+FALL = 1e-9
+# Starts per group: centre at this quartile (0 to 2), and whether the spread is that of the quartiles or the floors alone.
+# Another start than the first counts where it lowers the logarithm of the determinant by more than MARGIN.
+MARGIN = 0.1
+STARTS = ((1, True), (1, False), (0, False), (2, False))
 SMALLEST_GROUP = 40
 # Standard deviations added in square to the four values: most rows of a group have no symbols and no repeats at all, so
 # without them the variance is zero and a single symbol would reject a row.
@@ -87,7 +93,8 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def factored(rows: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor (l_i_j) of the covariance columns c_i_j, with the floors on its diagonal."""
+    """Adds the Cholesky factor (l_i_j) of the covariance columns c_i_j, with the floors on its diagonal, and the
+    logarithm of the determinant (_det)."""
     k = len(VALUES)
     for j in range(k):
         rest = F.col(f"c_{j}_{j}") + FLOORS[j] ** 2
@@ -99,13 +106,16 @@ def factored(rows: DataFrame) -> DataFrame:
             for m in range(j):
                 value = value - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
             rows = rows.withColumn(f"l_{i}_{j}", value / F.col(f"l_{j}_{j}"))
+    det = F.lit(0.0)
+    for j in range(k):
+        det = det + 2 * F.log(f"l_{j}_{j}")
     names = [f"l_{i}_{j}" for i in range(k) for j in range(i + 1)]
-    return rows.select("_g", *[f"m_{i}" for i in range(k)], *names)
+    return rows.select("_g", "_s", *[f"m_{i}" for i in range(k)], *names, det.alias("_det"))
 
 
-def distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
+def distance(rows: DataFrame, shape: DataFrame, keys: tuple[str, ...] = ("_g",)) -> DataFrame:
     """Adds _d, the squared Mahalanobis distance; null where the group has no estimate."""
-    joined = rows.join(shape, "_g", "left")
+    joined = rows.join(shape.drop("_det", *({"_g", "_s"} - set(keys))), list(keys), "left")
     total = F.lit(0.0)
     for i in range(len(VALUES)):
         y = F.col(f"x{i}") - F.col(f"m_{i}")
@@ -117,31 +127,38 @@ def distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Means and factored covariances per group (_g) by concentration steps.
+    """Means and factored covariances per group (_g): of several starts, the estimate of least determinant,
+    where the first start is ahead by MARGIN.
 
-    The first shape is coordinate-wise: medians and quartile ranges. Each step takes the share CORE of a group's rows that
-    is nearest, and computes mean and covariance of those; the determinant cannot grow. Steps are aggregates with
-    map-side sums and a join with one row per group, so a group with a third of all rows is no hot task.
+    The starts (_s) are coordinate-wise: quartiles as centres, with quartile ranges or the floors as spread. Each step
+    takes the share CORE of a group's rows that is nearest, and computes mean and covariance of those, until the
+    determinants stop falling. Steps are aggregates with map-side sums and a join with one row per group and start, so a
+    group with a third of all rows is no hot task.
     """
     k = len(VALUES)
+    rows = materialise(rows, "vectors")
     quartiles = rows.groupBy("_g").agg(
         *[F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i, x in enumerate(VALUES)]
     )
-    first = quartiles.select(
+    starts = F.array(*[F.struct(F.lit(s).alias("_s"), F.lit(at).alias("_at"), F.lit(wide).alias("_wide")) for s, (at, wide) in enumerate(STARTS)])
+    first = quartiles.withColumn("_start", F.explode(starts)).select("*", "_start.*")
+    first = first.select(
         "_g",
-        *[F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(k)],
+        "_s",
+        *[F.get(f"q{i}", F.col("_at")).alias(f"m_{i}") for i in range(k)],
         *[
-            (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
+            (F.when(F.col("_wide"), F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2)).otherwise(0.0) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
             for i in range(k)
             for j in range(i + 1)
         ],
     )
     shape = materialise(factored(first), "shape")
-    for _ in range(STEPS):
-        far = distance(rows, shape)
-        edge = materialise(far.groupBy("_g").agg(F.percentile_approx("_d", CORE, ACCURACY).alias("_edge")), "edge")
-        core = far.join(edge, "_g").where("_d <= _edge")
-        moments = core.groupBy("_g").agg(
+    started = rows.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in range(len(STARTS))])))
+    for step in range(STEPS):
+        far = distance(started, shape, ("_g", "_s"))
+        edge = materialise(far.groupBy("_g", "_s").agg(F.percentile_approx("_d", CORE, ACCURACY).alias("_edge")), "edge")
+        core = far.join(edge, ["_g", "_s"]).where("_d <= _edge")
+        moments = core.groupBy("_g", "_s").agg(
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(VALUES)],
             *[
                 (F.covar_pop(VALUES[i], VALUES[j]) * CONSISTENCY).alias(f"c_{i}_{j}")
@@ -149,8 +166,13 @@ def estimates(rows: DataFrame) -> DataFrame:
                 for j in range(i + 1)
             ],
         )
-        shape = materialise(factored(moments), "shape")
-    return shape
+        last, shape = shape, materialise(factored(moments), "shape")
+        # the first shapes are no covariances of a core, so their determinants do not count
+        falls = shape.select("_g", "_s", F.col("_det").alias("_new")).join(last, ["_g", "_s"]).where(F.col("_det") - F.col("_new") > FALL)
+        if step and falls.isEmpty():
+            break
+    best = shape.groupBy("_g").agg(F.min(F.struct((F.col("_det") + F.when(F.col("_s") == 0, -MARGIN).otherwise(0.0)).alias("_det"), "_s")).alias("_b")).select("_g", F.col("_b._s").alias("_s"))
+    return shape.join(best, ["_g", "_s"], "left_semi").drop("_s")
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:

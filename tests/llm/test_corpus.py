@@ -605,6 +605,16 @@ def test_outliers_rejects_what_is_far_from_its_group(spark):
     assert math.isclose(math.exp(-outliers.CUT / 2) * (1 + outliers.CUT / 2), 0.001, rel_tol=1e-3)
 
 
+def test_outliers_when_a_third_of_the_group_is_junk(spark):
+    local = random.Random(5)
+    rows = []
+    for i in range(150):
+        words = [local.choice(VOCABULARY) + str(local.randrange(9000)) for _ in range(100)]
+        rows.append((i, " ".join(w + "###" * (i % 10 < 3) for w in words), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in outliers.quality(df).collect() if r.kept) == [i for i in range(150) if i % 10 >= 3]
+
+
 def test_pipeline_stages(spark, docs, none, folder, tokens):
     frame = clean(docs).drop("kept", "size", "keep_id")
     given = {r.doc_id: r.text for r in frame.collect()}
