@@ -18,9 +18,11 @@ from quillstone.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-# 40 permutations make 80 values in 16 bands of 5: a pair at 0.85 misses all bands with probability 0.00008.
+# 40 permutations make 80 values in bands of BAND_ROWS or fewer: as many as keep the probability that a pair at the
+# threshold misses all bands under MISS. At 0.85 16 bands of 5 miss with 0.00008, at 0.8 20 bands of 4 with 0.00003.
 PERMUTATIONS = 40
 BAND_ROWS = 5
+MISS = 0.0001
 # Rows of a bucket that are compared in one task come in blocks of this many; two blocks meet at a time.
 BLOCK = 1024
 COLUMNS = 1 << 13
@@ -39,16 +41,25 @@ def min_max(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """One key per band and row: the band's values, folded into 64 bits together with its number."""
-    grouped = signatures.reshape(len(signatures), -1, BAND_ROWS)
+def band_rows(percent: int) -> int:
+    """Values per band for a threshold."""
+    for size in range(BAND_ROWS, 1, -1):
+        if (1 - (percent / 100) ** size) ** (2 * PERMUTATIONS // size) <= MISS:
+            return size
+    return 1
+
+
+def band_keys(signatures: np.ndarray, size: int = BAND_ROWS) -> np.ndarray:
+    """One key per band of ``size`` values and row: the values, folded into 64 bits together with the band's number."""
+    whole = signatures.shape[1] // size * size
+    grouped = signatures[:, :whole].reshape(len(signatures), -1, size)
     keys = np.broadcast_to(mix(np.arange(grouped.shape[1], dtype=np.uint64) + np.uint64(17)), grouped.shape[:2]).copy()
-    for i in range(BAND_ROWS):
+    for i in range(size):
         keys = mix(keys ^ grouped[:, :, i])
     return keys
 
 
-def profiles(docs: DataFrame, shingle: int) -> DataFrame:
+def profiles(docs: DataFrame, shingle: int, size: int = BAND_ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): set_a and set_b are two sums over the set and so stand for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +73,7 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                        pa.array(list(band_keys(signatures).view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(list(band_keys(signatures, size).view(np.int64)), pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
@@ -204,7 +215,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     empty result.
     """
     with text_batches(docs.sparkSession):
-        seen = materialise(profiles(docs, shingle), "profiles")
+        seen = materialise(profiles(docs, shingle, band_rows(percent)), "profiles")
     some = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialise(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     banded = some.select(F.col("doc_id").alias("rep"), "set_a", "set_b", "bands").join(reps, ["rep", "set_a", "set_b"], "left_semi")

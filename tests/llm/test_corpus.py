@@ -171,6 +171,17 @@ def test_large_bucket_links_match_pairs():
     assert near_dedup.local_roots(near).tolist() == [want[i] for i in range(70)]
 
 
+def test_bands_suit_the_threshold():
+    assert near_dedup.band_rows(80) == 4 and near_dedup.band_rows(85) == 5
+    values = np.random.default_rng(11).integers(0, 1 << 63, (5000, 100), dtype=np.uint64)
+    missed = 0
+    for v in values:  # 80 of 100 in common: exactly at 0.8
+        pair = np.stack([near_dedup.min_max(v[:90]), near_dedup.min_max(v[10:])])
+        keys = near_dedup.band_keys(pair, near_dedup.band_rows(80))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 2
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 3)] + [(500, i) for i in range(501, 540)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
