@@ -5,8 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from quillstone.llm import archives, exact_dedup, language, licences, line_join, mixing, near_dedup, outliers, packing, token_records
+from pyspark.sql import functions as F
+
+from quillstone.llm import (
+    archives,
+    exact_dedup,
+    language,
+    licences,
+    line_join,
+    mixing,
+    near_dedup,
+    outliers,
+    packing,
+    resident_lloyd,
+    threshold_negatives,
+    token_records,
+)
 from quillstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -120,3 +134,40 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id AS id, c.label,
+             CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+    p AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own = label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score,
+           score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE own <> label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY row_number() OVER w <= 3
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return threshold_negatives.hard_negatives(
+        rows.select("vec_id", label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor"))
+    )
+
+
+@query("op13_resident_codes")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return resident_lloyd.vector_codes(table(spark, folder, "embeddings").withColumnRenamed("embedding", "vector"))
