@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import (
     archives,
+    bpe_stream,
     exact_dedup,
     language,
     licences,
@@ -168,6 +169,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_bpe_stream")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_stream.round_trip(table(spark, folder, "documents"), tokenizer_file())
+
+
 @query("op13_resident_codes")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return resident_lloyd.vector_codes(table(spark, folder, "embeddings").withColumnRenamed("embedding", "vector"))
