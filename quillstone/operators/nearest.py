@@ -1,4 +1,4 @@
-"""Best k chunks per query: exact vector and lexical scans, and the clustered search.
+"""Best k chunks per query: exact vector and lexical scans, and the centres of the clustered search.
 
 Chunks are never paired with queries as rows. Each task streams its chunks in Arrow batches past the query block and
 keeps k rows per query, so what is shuffled is tasks x queries x k rows. Up to ``MAX_QUERIES`` queries are broadcast;
@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillstone.functions.vector import vector_score
 
@@ -66,21 +65,23 @@ def _within_bound(cost: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int,
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of several lengths: {sizes}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def vector_scorer(matrix: np.ndarray, partitions: list | None, lists: list | None, k: int) -> Scorer:
+def vector_scorer(matrix: np.ndarray, partitions: list | None, k: int) -> Scorer:
     """Exact Euclidean distance: matrix products choose, differences decide.
 
-    ``partitions`` restricts a query to chunks of its knowledge base and ``lists`` to the given cluster lists.
+    ``partitions`` restricts a query to chunks of its knowledge base.
     """
     norms = np.square(matrix).sum(axis=1)
 
     def score(batch: pa.RecordBatch, bound: np.ndarray):
         vectors = _vectors(batch.column("vector"))
         part = np.asarray(batch.column("part").to_pylist(), dtype=object) if partitions is not None else None
-        cluster = batch.column("list_id").to_numpy(zero_copy_only=False) if lists is not None else None
         groups = [(slice(None), np.arange(len(vectors)))]
         if part is not None:
             wanted = pd.Series(np.arange(len(partitions))).groupby(pd.Series(partitions, dtype=object)).indices
@@ -95,9 +96,6 @@ def vector_scorer(matrix: np.ndarray, partitions: list | None, lists: list | Non
                 rows = all_rows[at : at + step]
                 x = vectors[rows]
                 squares = np.square(x).sum(axis=1)[:, None] + norms[queries][None, :] - 2.0 * (x @ q.T)
-                if cluster is not None:
-                    for j, qi in enumerate(ids):
-                        squares[~np.isin(cluster[rows], lists[qi]), j] = np.inf
                 slack = 1e-9 * (1.0 + float(norms.max(initial=0.0)))
                 with np.errstate(invalid="ignore"):
                     cap = np.square(bound[ids])
@@ -225,16 +223,21 @@ def knn_topk(
     """k nearest chunks per query by Euclidean distance, ties by chunk id.
 
     ``chunks``: chunk_id (bigint), vector, and part when ``within``; ``queries``: query_id, vector, part.
-    Returns query_id, chunk_id, distance, score, rank.
+    Returns query_id, chunk_id, distance, score, rank. Rows without a vector, or with a null or a NaN in it, have no
+    distance: they find and are found by nothing.
     """
     columns = ["vector", "part"] if within else ["vector"]
 
     def make(rows: pd.DataFrame) -> Scorer:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vector"]])
-        return vector_scorer(matrix, rows["part"].tolist() if within else None, None, k)
+        return vector_scorer(matrix, rows["part"].tolist() if within else None, k)
+
+    def usable(df: DataFrame) -> DataFrame:
+        bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")))
+        return df.where(F.coalesce((F.size("vector") > 0) & ~bad, F.lit(False)))
 
     found = _topk(
-        chunks.select("chunk_id", *columns), queries.select("query_id", *columns), make, k, max_queries
+        usable(chunks.select("chunk_id", *columns)), usable(queries.select("query_id", *columns)), make, k, max_queries
     )
     return found.select(
         "query_id",
@@ -267,37 +270,3 @@ def train_lists(chunks: DataFrame, lists: int = 100, seed: int = 42):
     total = chunks.count()
     points = chunks.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     return KMeans(k=min(lists, max(2, total)), seed=seed, maxIter=10).fit(points)
-
-
-def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Adds ``list_id``, the nearest centre; narrow, so it can run once when the chunks are written."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = np.square(centres).sum(axis=1) / 2.0
-        for batch in batches:
-            if batch.num_rows:
-                nearest = np.argmin(half[None, :] - _vectors(batch.column("vector")) @ centres.T, axis=1)
-                yield batch.append_column("list_id", pa.array(nearest.astype(np.int32)))
-
-    schema = T.StructType([*chunks.schema.fields, T.StructField("list_id", T.IntegerType())])
-    return chunks.mapInArrow(run, schema)
-
-
-def ann_ivf(chunks: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int = 1) -> DataFrame:
-    """Approximate k nearest: a query looks only into its nearest ``probes`` lists; exact distances there."""
-
-    def make(rows: pd.DataFrame) -> Scorer:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vector"]])
-        gaps = np.square(matrix[:, None, :] - centres[None, :, :]).sum(axis=2)
-        return vector_scorer(matrix, None, list(np.argsort(gaps, axis=1, kind="stable")[:, :probes]), k)
-
-    found = _topk(
-        chunks.select("chunk_id", "vector", "list_id"), queries.select("query_id", "vector"), make, k, MAX_QUERIES
-    )
-    return found.select(
-        "query_id",
-        "chunk_id",
-        F.col("cost").alias("distance"),
-        vector_score(F.col("cost")).alias("score"),
-        "rank",
-    )

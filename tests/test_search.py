@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions.vector import l2_distance, l2_distance_arrow
+from quillstone.operators import inverted_file as iv
 from quillstone.operators import metrics as mt
 from quillstone.operators import nearest as nn
 from quillstone.operators import positions
@@ -86,17 +87,48 @@ def test_lexical_topk_is_exact_on_both_ways(spark, max_queries, monkeypatch):
         assert got.get(q, []) == [(i, round(-c / len(features), 9)) for c, i in scored]
 
 
-def test_clustered_search(vectors):
+def test_inverted_file_with_all_lists_is_exact(vectors, monkeypatch, tmp_path):
     data, part, asked, asked_part, chunks, queries = vectors
-    model = nn.train_lists(chunks, lists=6)
-    centres = np.asarray(model.clusterCenters())
-    listed = nn.assign_lists(chunks.select("chunk_id", "vector"), centres)
+    index = iv.build_index(chunks, 6, str(tmp_path / "lists"))
+    assert index.rows.count() == len(data) and index.rows.select("list_id").distinct().count() <= 6
+    monkeypatch.setattr(iv, "CELLS", 500)
     exact = brute(data, part, asked, asked_part, 5, False)
-    full = found(nn.ann_ivf(listed, queries, centres, 5, probes=6))
+    full = found(iv.search_index(index, queries, 5, probes=6))
     assert all([i for _, i in full[q]] == [i for _, i in exact[q]] for q in exact)
-    near = found(nn.ann_ivf(listed, queries, centres, 5, probes=3))
-    hits = sum(len({i for _, i in near.get(q, [])} & {i for _, i in exact[q]}) for q in exact)
-    assert hits / (5 * len(exact)) >= 0.7
+
+
+def test_inverted_file_recall_and_plan(spark):
+    """Rows around centres, as texts of a few topics have them; every 20th row asks."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 3
+    data = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+    chunks = spark.createDataFrame(pd.DataFrame({"chunk_id": [f"c{i:05d}" for i in range(4000)], "vector": list(data)}), "chunk_id string, vector array<double>")
+    queries = chunks.where("cast(substring(chunk_id, 2) as int) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    search = iv.search_index(iv.build_index(chunks, 32), queries, 10, probes=4)
+    got = found(search)
+    hits = 0
+    for i in range(0, 4000, 20):
+        gaps = np.round(np.sqrt(((data - data[i]) ** 2).sum(axis=1)), 9)
+        best = {f"c{j:05d}" for j in np.lexsort((np.arange(4000), gaps))[:10]}
+        hits += len(best & {c for _, c in got[f"c{i:05d}"]})
+    assert hits / (10 * 200) >= 0.9
+    plan = search._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest_by_key_in_blocks(vectors):
+    """Blocks of a few rows and queries, keys that only one side has, and vectors that take no part."""
+    data, part, asked, asked_part, chunks, queries = vectors
+    broken = chunks.sparkSession.createDataFrame(
+        [(9001, None, 1), (9002, [1.0, None] + [0.0] * 6, 1), (9003, [float("nan")] * 8, 1), (9004, [], 1), (9005, [0.0] * 8, None), (9006, [0.0] * 8, 77)],
+        "chunk_id bigint, vector array<double>, part bigint",
+    )
+    rows = chunks.unionByName(broken)
+    got = found(iv.nearest_by_key(rows, queries, "part", 7, block_rows=50, block_queries=3))
+    want = brute(data, part, asked, asked_part, 7, True)
+    assert {q: [i for _, i in r] for q, r in got.items()} == {q: [i for _, i in r] for q, r in want.items()}
+    assert iv.nearest_by_key(rows.where("false"), queries, "part", 7).count() == 0
+    assert found(nn.knn_topk(rows, queries, 7, within=True)).keys() == got.keys()
 
 
 def test_distance_forms_agree(spark):
