@@ -42,12 +42,20 @@ def hybrid_rerank(
     return scored.withColumn("rerank", F.row_number().over(_by_rank(F.col("rerank_score"))))
 
 
-def cross_rerank(candidates: DataFrame, cache: DataFrame | None = None, model: str = "lexical-overlap", scorer=None) -> DataFrame:
-    """Orders by model score, missing scores last; the lexical score stays null."""
-    pairs = candidates.where(has_text("query")).select("query", F.col("chunk_id").cast("string").alias("chunk_id"), "content")
+def service_passage() -> Column:
+    """What the search service gives its reranker: title, metadata and content, one below the other."""
+    return F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in ("document_title", "metadata", "content")])
+
+
+def cross_rerank(
+    candidates: DataFrame, cache: DataFrame | None = None, model: str = "lexical-overlap", scorer=None, passage: Column | None = None
+) -> DataFrame:
+    """Orders by model score of ``passage`` (the content if none is given), missing scores last; the lexical score stays null."""
+    told = candidates.withColumn("_passage", F.col("content") if passage is None else passage)
+    pairs = told.where(has_text("query")).select("query", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("_passage").alias("content"))
     scores = score_pairs_with_cache(pairs, cache, model, scorer)
-    key = pair_key(model, F.col("query"), F.col("chunk_id").cast("string"), F.col("content"))
-    joined = candidates.withColumn("key", key).join(scores, "key", "left").drop("key")
+    key = pair_key(model, F.col("query"), F.col("chunk_id").cast("string"), F.col("_passage"))
+    joined = told.withColumn("key", key).join(scores, "key", "left").drop("key", "_passage")
     joined = joined.withColumn("lexical_score", F.lit(None).cast("double")).withColumnRenamed("pair_score", "rerank_score")
     order = F.coalesce("rerank_score", F.lit(float("-inf")))
     return joined.withColumn("rerank", F.row_number().over(_by_rank(order)))
@@ -158,9 +166,26 @@ def similarity_search(decided: DataFrame, final_top_k: int = fixed.FINAL_TOP_K)
     return selected_results(decided, final_top_k).select("query_id", "rank", "content")
 
 
-def retrieval_log(decided: DataFrame) -> DataFrame:
+def retrieval_log(decided: DataFrame, raw_top_k: int = fixed.RAW_TOP_K, model: str = "lexical-overlap", **policy) -> DataFrame:
+    """One row per candidate with its scores, its outcome and the settings of the search; ``policy`` as it was applied."""
+    settings = {
+        "raw_top_k": (raw_top_k, "int"),
+        "final_top_k": (policy.get("final_top_k", fixed.FINAL_TOP_K), "int"),
+        "max_distance": (policy.get("max_distance"), "double"),
+        "min_rerank_score": (policy.get("min_rerank_score", fixed.MIN_RERANK_SCORE), "double"),
+        "rerank_model": (model, "string"),
+    }
+    base = ["kb_id"] if "kb_id" in decided.columns else []
+    return decided.select(
+        "query_id", *base, "query",
+        *[F.lit(value).cast(kind).alias(name) for name, (value, kind) in settings.items()],
+        "rerank", "chunk_id", "document_id", "distance", "score", "lexical_score", "rerank_score", "filtered", "filter_reason",
+    )
+
+
+def outcome_counts(log: DataFrame) -> DataFrame:
     """Candidates per outcome, with the score range of each."""
-    return decided.groupBy(F.coalesce("filter_reason", F.lit("selected")).alias("outcome")).agg(
+    return log.groupBy(F.coalesce("filter_reason", F.lit("selected")).alias("outcome")).agg(
         F.count("*").alias("candidates"),
         F.countDistinct("query_id").alias("queries"),
         F.min("rerank_score").alias("min_rerank_score"),

@@ -4,6 +4,7 @@ from quillstone.plans import (  # noqa: F401
     chunk_plans,
     conversation_plans,
     evaluation_plans,
+    knowledge_plans,
     memory_plans,
     retrieval_plans,
     sql_plans,

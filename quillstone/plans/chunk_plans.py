@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import normalize_text, strip
+from quillstone.functions.text import normalize_text
 from quillstone.operators import chunking as ck
 from quillstone.plans import duck
-from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, UPLOAD, derived, markdown_docs
+from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, markdown_docs
 from quillstone.plans.registry import query
-from quillstone.sources import files
 from quillstone.sources.tables import texts
 
 
@@ -69,8 +68,10 @@ def _duck_levels() -> tuple[str, str]:
 SEEN, LIVE = _duck_levels()
 HEAD = ck.HEADING
 
-DUCK_SECTIONS = f"""
-    docs AS ({DUCK_MARKDOWN_DOCS}),
+def duck_sections(docs: str) -> str:
+    """Sections of (doc_id, title, text); ``paths`` has the heading path as a list."""
+    return f"""
+    docs AS ({docs}),
     lines AS (SELECT doc_id, title, unnest(string_split(text, chr(10))) AS line,
                      unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
     fenced AS (SELECT *, sum(regexp_matches(line, {duck.text(ck.FENCE)})::INT)
@@ -80,17 +81,22 @@ DUCK_SECTIONS = f"""
                        CASE WHEN is_head THEN {duck.strip(f"regexp_extract(line, {duck.text(HEAD)}, 2)")} END AS head FROM heads),
     seen AS (SELECT *, sum(is_head::INT) OVER w AS section_id, {SEEN} FROM leveled
              WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-    pathed AS (SELECT *, CASE WHEN is_head THEN array_to_string(list_filter([{LIVE}], lambda x: x IS NOT NULL), ' > ') END AS path FROM seen),
+    pathed AS (SELECT *, array_to_string(paths, ' > ') AS path FROM (
+        SELECT *, CASE WHEN is_head THEN list_filter([{LIVE}], lambda x: x IS NOT NULL) END AS paths FROM seen)),
     all_sections AS (SELECT doc_id, any_value(title) AS title, section_id::BIGINT AS section_id,
                  CASE WHEN section_id = 0 THEN any_value(title) ELSE max(head) END AS section_title,
                  CASE WHEN section_id = 0 THEN 1 ELSE max(level) END AS heading_level,
                  CASE WHEN section_id = 0 THEN any_value(title) ELSE max(path) END AS heading_path,
+                 CASE WHEN section_id = 0 THEN [any_value(title)] ELSE max(paths) END AS paths,
                  {duck.normalize("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT is_head), '')")} AS content
                  FROM pathed GROUP BY doc_id, section_id),
     sections AS (SELECT * FROM all_sections WHERE length(content) > 0)
 """
 
 
+DUCK_SECTIONS = duck_sections(DUCK_MARKDOWN_DOCS)
+
+
 @query(
     "markdown_sections",
     f"""
@@ -190,15 +196,3 @@ def page_range_chunks(spark, folder):
     # Every blank-line or line break separated part of a document is one page here.
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return ck.page_range_chunks(pages.withColumn("page", F.col("page") + 1))
-
-
-@query("sink_chunks")
-def sink_chunks(spark, folder):
-    from quillstone.session import work_dir
-
-    uploads = derived(texts(spark, folder, "documents"), UPLOAD)
-    docs = uploads.withColumn("filetype", files.file_type(F.col("filename")))
-    chunks = ck.chunk_document(docs.select("doc_id", F.col("filename").alias("title"), strip("text").alias("text")))
-    path = work_dir(spark, "chunks")
-    files.sink_chunks(files.chunk_rows(chunks, docs), path)
-    return spark.read.parquet(path)

@@ -17,7 +17,11 @@ SLICE_BITS = 20
 
 
 def chunk_id(doc_id: Column, slice_ix: Column) -> Column:
-    return F.shiftleft(doc_id.cast("long"), SLICE_BITS) + slice_ix
+    """One integer for both; ids and slice numbers that do not fit raise, as they would name another document's text."""
+    id_ = doc_id.cast("long")
+    fits = (id_ >= -(1 << 63 - SLICE_BITS)) & (id_ < 1 << 63 - SLICE_BITS) & (slice_ix < 1 << SLICE_BITS)
+    beyond = F.raise_error(F.concat(F.lit("no room in a chunk number for document "), id_.cast("string"))).cast("long")
+    return F.when(fits, F.shiftleft(id_, SLICE_BITS) + slice_ix).otherwise(beyond)
 
 
 def document_of(chunk: Column) -> Column:

@@ -234,6 +234,9 @@ def duck_policy(ranked: str, top_k: int, max_distance: float | None, min_rerank:
 POLICY = {"final_top_k": 3, "max_distance": 0.95, "min_rerank_score": 0.5, "max_chunks_per_document": 1}
 
 
+POLICY_SHOWN = {n: POLICY[n] for n in ("final_top_k", "max_distance", "min_rerank_score")}
+
+
 def hybrid_decided(spark, folder):
     return rt.retrieval_policy(rt.hybrid_rerank(cp.candidates(spark, folder)), **POLICY)
 
@@ -270,33 +273,24 @@ def selected_results(spark, folder):
     return rt.selected_results(hybrid_decided(spark, folder), 2).select("query_id", "chunk_id", "rank")
 
 
-DUCK_RAG = f"{DUCK_CROSS}, {duck_policy('crossed', 3, None, 1.0, 3)}"
-
-
-def rag_search(spark, folder):
-    """Embed, 20 nearest, rerank by model score, policy with the defaults."""
-    return rt.retrieval_policy(rt.cross_rerank(cp.candidates(spark, folder)))
-
-
 @query(
-    "rag_search",
-    f"WITH RECURSIVE {DUCK_RAG} SELECT query_id, chunk_id, rerank::INTEGER AS rerank, filter_reason, rank FROM decided",
-)
-def rag_search_query(spark, folder):
-    return rag_search(spark, folder).select("query_id", "chunk_id", "rerank", "filter_reason", "rank")
-
-
-@query(
-    "similarity_search",
-    f"WITH RECURSIVE {DUCK_RAG} SELECT query_id, rank, md5(content) AS content_md5 FROM decided JOIN corpus USING (chunk_id) WHERE NOT filtered",
+    "retrieval_log",
+    f"""
+    WITH RECURSIVE {DUCK_DECIDED}
+    SELECT query_id, md5(query) AS query_md5, 20 AS raw_top_k, 3 AS final_top_k, 0.95::DOUBLE AS max_distance, 0.5::DOUBLE AS min_rerank_score,
+           'lexical-overlap' AS rerank_model, d.rerank::INTEGER AS rerank, chunk_id, document_id, round(distance, 6) AS distance, round(score, 6) AS score,
+           round(lexical_score, 6) AS lexical_score, round(rerank_score, 6) AS rerank_score, filtered, filter_reason
+    FROM decided d JOIN (SELECT * EXCLUDE (rerank, raw_rank) FROM hybrid) USING (query_id, chunk_id)
+    """,
 )
-def similarity_search(spark, folder):
-    found = rt.similarity_search(rag_search(spark, folder))
-    return found.select("query_id", "rank", F.md5("content").alias("content_md5"))
+def retrieval_log(spark, folder):
+    log = rt.retrieval_log(hybrid_decided(spark, folder), **POLICY_SHOWN)
+    scores = {n: F.round(n, 6) for n in ("distance", "score", "lexical_score", "rerank_score")}
+    return log.withColumns(scores).withColumn("query_md5", F.md5("query")).drop("query")
 
 
 @query(
-    "retrieval_log",
+    "retrieval_outcomes",
     f"""
     WITH RECURSIVE {DUCK_DECIDED}
     SELECT coalesce(filter_reason, 'selected') AS outcome, count(*) AS candidates, count(DISTINCT query_id) AS queries,
@@ -304,9 +298,9 @@ def similarity_search(spark, folder):
     FROM decided JOIN (SELECT query_id, chunk_id, rerank_score FROM hybrid) USING (query_id, chunk_id) GROUP BY 1
     """,
 )
-def retrieval_log(spark, folder):
-    log = rt.retrieval_log(hybrid_decided(spark, folder))
-    return log.withColumn("min_rerank_score", F.round("min_rerank_score", 6)).withColumn("max_rerank_score", F.round("max_rerank_score", 6))
+def retrieval_outcomes(spark, folder):
+    counts = rt.outcome_counts(rt.retrieval_log(hybrid_decided(spark, folder)))
+    return counts.withColumn("min_rerank_score", F.round("min_rerank_score", 6)).withColumn("max_rerank_score", F.round("max_rerank_score", 6))
 
 
 def _duck_render() -> str:
