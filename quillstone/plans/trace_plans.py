@@ -8,7 +8,7 @@ from quillstone.operators import trace as tr
 from quillstone.operators.positions import running
 from quillstone.plans.inputs import derived, duck_select
 from quillstone.plans.registry import query
-from quillstone.session import work_dir
+from quillstone.session import materialise, work_dir
 from quillstone.sources.tables import table
 from quillstone.streaming import memory_trigger, trace_stream
 
@@ -39,11 +39,14 @@ LINE = (
     "CASE WHEN status = 'FAILED' THEN ',\"error\":{\"type\":\"E\",\"message\":\"went wrong at ' || CAST(k AS STRING) || '\"}' ELSE '' END || "
     "',\"metadata\":{\"userMessageId\":\"u' || CAST(user_id AS STRING) || '\"},\"arrival\":' || CAST(arrival AS STRING) || '}' END"
 ).replace("CAST(floor(seq / 3.0) AS INT) ||", "CAST(CAST(floor(seq / 3.0) AS INT) AS STRING) ||")
-# Deliveries: one in 17 is lost, one in 5 comes twice, one in 29 comes again under another event id.
+# Deliveries: one in 17 is lost, one in 5 comes twice, one in 29 comes again under another event id. One id per run comes
+# with several numbers, some taken and some lost ones: it is accepted with the first of them that is free.
 COPIES = [
     ("eid % 17 > 0", "'e' || CAST(eid AS STRING)", "eid"),
     ("eid % 5 = 0", "'e' || CAST(eid AS STRING)", "eid + 100000000"),
     ("eid % 29 = 0", "'x' || CAST(eid AS STRING)", "eid + 200000000"),
+    ("eid % 7 = 0", "'y' || trace_id", "eid + 300000000"),
+    ("eid % 17 = 0", "'y' || trace_id", "eid + 400000000"),
 ]
 
 
@@ -86,10 +89,18 @@ DUCK_LINES = f"""
         json_extract_string(value, '$.metadata.userMessageId') AS asked
         FROM valid WHERE json_extract_string(value, '$.schemaVersion') = '1.0' AND json_extract_string(value, '$.category') = 'agent_trace')
 """
+# Row by row within each run, whose ids no other run has: refused where an accepted row has the id or the number.
 DUCK_EVENTS = f"""
     {DUCK_LINES},
-    by_id AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival) = 1),
-    deduped AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY trace_id, sequence_no ORDER BY arrival) = 1)
+    ranked AS (SELECT trace_id, arrival, event_id, sequence_no, row_number() OVER (PARTITION BY trace_id ORDER BY arrival) AS r FROM parsed),
+    inserted AS (
+      SELECT DISTINCT trace_id, 0 AS r, []::VARCHAR[] AS ids, []::INTEGER[] AS numbers, NULL::BIGINT AS arrival FROM parsed
+      UNION ALL
+      SELECT trace_id, r, CASE WHEN free THEN list_append(ids, event_id) ELSE ids END, CASE WHEN free THEN list_append(numbers, sequence_no) ELSE numbers END,
+             CASE WHEN free THEN arrival END
+      FROM (SELECT n.*, i.ids, i.numbers, NOT list_contains(i.ids, n.event_id) AND NOT list_contains(i.numbers, n.sequence_no) AS free
+            FROM inserted i JOIN ranked n ON n.trace_id = i.trace_id AND n.r = i.r + 1)),
+    deduped AS (SELECT * FROM parsed WHERE arrival IN (SELECT arrival FROM inserted WHERE arrival IS NOT NULL))
 """
 
 
@@ -154,7 +165,7 @@ def build_events(spark, folder):
     return built.select("eid", "trace_id", "sequence_no", ended, "duration_ms", "error")
 
 
-@query("dedup_trace", f"WITH {DUCK_EVENTS} SELECT event_id, trace_id, sequence_no, arrival FROM deduped")
+@query("dedup_trace", f"WITH RECURSIVE {DUCK_EVENTS} SELECT event_id, trace_id, sequence_no, arrival FROM deduped")
 def dedup_trace(spark, folder):
     return events(spark, folder).select("event_id", "trace_id", "sequence_no", "arrival")
 
@@ -187,7 +198,7 @@ def _summary_columns(df):
     )
 
 
-@query("trace_projection", f"WITH {DUCK_RUNS} {SUMMARY}")
+@query("trace_projection", f"WITH RECURSIVE {DUCK_RUNS} {SUMMARY}")
 def trace_projection(spark, folder):
     return _summary_columns(tr.trace_projection(events(spark, folder)))
 
@@ -195,7 +206,7 @@ def trace_projection(spark, folder):
 @query(
     "trace_completeness",
     f"""
-    WITH {DUCK_EVENTS},
+    WITH RECURSIVE {DUCK_EVENTS},
     r AS (SELECT trace_id, count(*) AS n, min(sequence_no) AS lo, max(sequence_no) AS hi, bool_or(event_type IN ('RUN_COMPLETED', 'RUN_FAILED')) AS ended, list(sequence_no) AS s FROM deduped GROUP BY 1)
     SELECT trace_id, n <> hi - lo + 1 AS trace_incomplete, lo <> 1 AS head_missing, NOT ended AS tail_missing, hi - lo + 1 - n AS missing_count,
            list_min(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(s, x)))::BIGINT AS first_missing FROM r
@@ -207,7 +218,7 @@ def trace_completeness(spark, folder):
 
 @query(
     "trace_timeline",
-    f"WITH {DUCK_RUNS} SELECT e.trace_id, e.sequence_no, e.event_id, s.status AS run_status, e.k FROM deduped e JOIN summaries s USING (trace_id)",
+    f"WITH RECURSIVE {DUCK_RUNS} SELECT e.trace_id, e.sequence_no, e.event_id, s.status AS run_status, e.k FROM deduped e JOIN summaries s USING (trace_id)",
 )
 def trace_timeline(spark, folder):
     rows = events(spark, folder)
@@ -222,7 +233,7 @@ def _instant(text: str):
 @query(
     "stale_runs",
     f"""
-    WITH {DUCK_RUNS}, t AS (SELECT *, status = 'RUNNING' AND last_event_ms < epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000 AS stale FROM summaries)
+    WITH RECURSIVE {DUCK_RUNS}, t AS (SELECT *, status = 'RUNNING' AND last_event_ms < epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000 AS stale FROM summaries)
     SELECT trace_id, CASE WHEN stale THEN 'FAILED' ELSE status END AS status, CASE WHEN stale THEN 'INTERNAL_ERROR' ELSE finish_reason END AS finish_reason, stale OR trace_incomplete AS trace_incomplete FROM t
     """,
 )
@@ -234,7 +245,7 @@ def stale_runs(spark, folder):
 @query(
     "trace_retention",
     f"""
-    WITH {DUCK_RUNS} SELECT trace_id, sequence_no FROM deduped WHERE trace_id NOT IN
+    WITH RECURSIVE {DUCK_RUNS} SELECT trace_id, sequence_no FROM deduped WHERE trace_id NOT IN
     (SELECT trace_id FROM summaries WHERE coalesce(completed_ms, last_event_ms) < epoch_us(TIMESTAMP '2024-01-15 00:00:00') // 1000)
     """,
 )
@@ -247,7 +258,7 @@ def trace_retention(spark, folder):
 @query(
     "tool_model_stats",
     f"""
-    WITH {DUCK_EVENTS}, d AS (SELECT *, regexp_extract(event_type, '^[A-Z]+') || ':' || event_name AS name FROM deduped WHERE regexp_matches(event_type, '^(MODEL|TOOL)_CALL_(COMPLETED|FAILED)$'))
+    WITH RECURSIVE {DUCK_EVENTS}, d AS (SELECT *, regexp_extract(event_type, '^[A-Z]+') || ':' || event_name AS name FROM deduped WHERE regexp_matches(event_type, '^(MODEL|TOOL)_CALL_(COMPLETED|FAILED)$'))
     SELECT name, count(*) AS calls, count(*) FILTER (WHERE event_type LIKE '%FAILED') AS failures, round(avg(duration_ms), 6) AS mean_ms,
            round(quantile_cont(duration_ms::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(duration_ms::DOUBLE, 0.9), 6) AS p90,
            round(count(*) FILTER (WHERE event_type LIKE '%FAILED') / count(*), 6) AS failure_rate FROM d GROUP BY 1
@@ -261,7 +272,7 @@ def tool_model_stats(spark, folder):
 @query(
     "trace_search",
     f"""
-    WITH {DUCK_RUNS} SELECT trace_id, started_ms FROM summaries WHERE agent_id = 'agent-3' AND status = 'FAILED'
+    WITH RECURSIVE {DUCK_RUNS} SELECT trace_id, started_ms FROM summaries WHERE agent_id = 'agent-3' AND status = 'FAILED'
       AND started_ms >= epoch_us(TIMESTAMP '2024-01-05 00:00:00') // 1000 AND started_ms < epoch_us(TIMESTAMP '2024-01-25 00:00:00') // 1000
     """,
 )
@@ -271,18 +282,62 @@ def trace_search(spark, folder):
     return found.select("trace_id", _ms("started_at"))
 
 
-@query("stream_trace_source", f"WITH {DUCK_RUNS} {SUMMARY}")
+def line_files(spark, folder, batches, source=None):
+    """Writes the lines without their arrival, in files that are newer from one condition to the next.
+
+    The lines of a run lie in one file per condition, in the order in which they came.
+    """
+    source = source or work_dir(spark, "trace-lines")
+    lines = trace_lines(spark, folder).withColumn("value", F.regexp_replace("value", r',"arrival":\d+\}$', "}"))
+    lines = materialise(lines.withColumn("run", F.coalesce(F.get_json_object("value", "$.traceId"), "value")), "lines")
+    for condition in batches:
+        told = lines.where(condition).repartition("run").sortWithinPartitions("run", "arrival")
+        told.select("value").write.mode("append").text(source)
+    return source
+
+
+@query("stream_trace_source", f"WITH RECURSIVE {DUCK_RUNS} {SUMMARY}")
 def stream_trace_source(spark, folder):
-    """The same summaries from a stream over files of lines, in several micro-batches; repeats arrive last."""
-    source, target = work_dir(spark, "trace-lines"), work_dir(spark, "trace-stream")
-    lines = trace_lines(spark, folder)
-    lines.where("arrival < 100000000").select("value").write.text(source)
-    lines.where("arrival >= 100000000").select("value").write.mode("append").text(source)
-    parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, source, files_per_trigger=6))
-    trace_stream.run_trace_stream(parsed, target, "7 DAYS").awaitTermination()
+    """The same summaries from a stream over files of lines in several micro-batches, begun anew in the middle.
+
+    The lines have no arrival: their files and places give it. Repeats and conflicts come last, weeks after the events.
+    """
+    early, late = ["arrival < 5000", "arrival >= 5000 AND arrival < 100000000"], ["arrival >= 100000000 AND arrival < 300000000", "arrival >= 300000000"]
+    source, target = line_files(spark, folder, early), work_dir(spark, "trace-stream")
+
+    def run():
+        parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, source, files_per_trigger=3))
+        trace_stream.run_trace_stream(parsed, target).awaitTermination()
+
+    run()
+    line_files(spark, folder, late, source)
+    run()
     return _summary_columns(trace_stream.read_summaries(spark, target))
 
 
+PATIENCE_DAYS = 9
+
+
+@query(
+    "stale_run_stream",
+    f"""
+    WITH RECURSIVE {DUCK_RUNS}
+    SELECT trace_id, 'FAILED' AS status, 'INTERNAL_ERROR' AS finish_reason, true AS trace_incomplete, last_event_ms FROM summaries
+    WHERE status = 'RUNNING' AND last_event_ms <= (SELECT max(last_event_ms) FROM summaries) - {PATIENCE_DAYS} * 86400000
+    """,
+)
+def stale_run_stream(spark, folder):
+    """The runs that the batch form fails, from timers in the state; the lines come by event time, some days at a time."""
+    day = "coalesce(cast(substring(get_json_object(value, '$.timestamp'), 9, 2) AS INT), 1)"
+    source = line_files(spark, folder, [f"{day} BETWEEN {first} AND {first + 7}" for first in (1, 9, 17, 25)])
+    target = work_dir(spark, "stale-runs")
+    parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, source, files_per_trigger=3))
+    failed = trace_stream.stale_run_stream(parsed, f"{PATIENCE_DAYS} days")
+    writer = failed.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(failed.schema).parquet(f"{target}/out")
+
+
 @query(
     "memory_trigger_stream",
     """

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillstone import fixed_values as fixed
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from quillstone.streaming.state import rocksdb
 
 
 class _Counter(StatefulProcessor):
@@ -41,7 +40,7 @@ def memory_trigger_stream(messages: DataFrame, interval: int, key: str = "sessio
     """(session_id, batch_no) for every full batch of user messages of a streaming message table."""
     if not fixed.MEMORY_INTERVAL_MIN <= interval <= fixed.MEMORY_INTERVAL_MAX:
         raise ValueError("the interval must be between 3 and 50")
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rocksdb(messages.sparkSession)
     users = messages.where(F.col("role") == "user").select(key, F.lit(1).cast("long").alias("messages"))
     kind = messages.schema[key].dataType.simpleString()
     return users.groupBy(key).transformWithStateInPandas(

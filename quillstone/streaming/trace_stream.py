@@ -1,78 +1,176 @@
-"""Trace lines as a stream: parse, drop repeats, keep the event table and the run summaries up to date."""
+"""Trace lines as a stream: numbered as they lie in their files, each event accepted once, run summaries kept up to date.
+
+The state is keyed by trace and holds the event ids and numbers that were accepted, so no stored event is read again and
+a conflict is found however long ago the other event came. An id belongs to one run: the batch form also looks across
+traces, the stream does not. State and output of a micro-batch are fixed by its files, so a repeated batch overwrites
+itself.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from quillstone.operators.trace import dedup_trace, merge_aggregates, parse_trace, summarise, trace_aggregates
+from quillstone.operators.trace import TERMINAL, merge_aggregates, parse_trace, summarise, trace_aggregates
+from quillstone.streaming.state import rocksdb
 
+# Where a line lies: time and path of its file, begin of the split, place in the split. In this order lines arrive.
+PLACE = ["file_time", "file_path", "split_start", "line_no"]
 
-def stream_trace_source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Event lines of the files that appear below ``path``, with the file time and offset as arrival order."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.select("value", F.get_json_object("value", "$.arrival").cast("long").alias("arrival"))
 
+def stream_trace_source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """(value, file_time, file_path, split_start, line_no) of the lines of files that appear below ``path``.
 
-def dedup_stream(lines: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Parsed events, each event id and each (trace, number) once within the watermark, for sinks without look-up.
-
-    The watermark bounds the state. Events later than it are dropped here; ``run_trace_stream`` on parsed lines and the
-    batch job over all lines are exact.
+    A split is read front to back by one task, which numbers its lines.
     """
-    events = parse_trace(lines).withWatermark("occurred_at", lateness)
-    once = events.dropDuplicatesWithinWatermark(["event_id"])
-    return once.dropDuplicatesWithinWatermark(["trace_id", "sequence_no"])
-
-
-def not_stored(batch: DataFrame, stored: DataFrame, lookback: str | None) -> DataFrame:
-    """Rows of the batch whose event id and (trace, number) are not in the event table.
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    placed = lines.select(
+        "value",
+        F.unix_micros("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+    )
 
-    A repeat has the event time of its first delivery, so with a ``lookback`` only the stored events around the batch's
-    event times are read; file statistics skip the rest.
-    """
-    if lookback is not None:
-        span = batch.agg(F.min("occurred_at").alias("low"), F.max("occurred_at").alias("high")).first()
-        around = F.expr(f"INTERVAL {lookback}")
-        stored = stored.where(
-            (F.col("occurred_at") >= F.lit(span.low) - around) & (F.col("occurred_at") <= F.lit(span.high) + around)
-        )
-    return batch.join(stored.select("event_id"), "event_id", "left_anti").join(
-        stored.select("trace_id", "sequence_no"), ["trace_id", "sequence_no"], "left_anti"
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield batch.append_column("line_no", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
+
+    return placed.mapInArrow(number, "value string, file_time long, file_path string, split_start long, line_no long")
+
+
+class _Accepted(StatefulProcessor):
+    """Accepts the events of one trace in their order of arrival, each id and each number once."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ids = handle.getMapState("event_ids", "event_id string", "place int")
+        self.numbers = handle.getMapState("numbers", "sequence_no int", "place int")
+
+    def accepted(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(PLACE, ignore_index=True)
+        kept, ids, numbers = [], set(), set()
+        for i, (event_id, number) in enumerate(zip(batch["event_id"].tolist(), batch["sequence_no"].tolist())):
+            if event_id in ids or number in numbers:
+                continue
+            if self.ids.containsKey((event_id,)) or self.numbers.containsKey((int(number),)):
+                continue
+            ids.add(event_id)
+            numbers.add(number)
+            self.ids.updateValue((event_id,), (0,))
+            self.numbers.updateValue((int(number),), (0,))
+            kept.append(i)
+        return batch.iloc[kept]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = self.accepted(rows)
+        if len(batch):
+            yield batch[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_events(events: DataFrame) -> DataFrame:
+    """Parsed events, placed in their files, that are the first of their trace with their id and with their number."""
+    rocksdb(events.sparkSession)
+    return events.groupBy("trace_id").transformWithStateInPandas(
+        statefulProcessor=_Accepted(events.columns), outputStructType=events.schema, outputMode="Append", timeMode="None"
     )
 
 
-def run_trace_stream(events: DataFrame, folder: str, lookback: str | None = None, **trigger) -> StreamingQuery:
-    """Appends new events and partial summaries per micro-batch below ``folder``.
+def run_trace_stream(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Appends accepted events and partial summaries per micro-batch below ``folder``.
 
-    ``events`` may be parsed lines as they come: repeats are refused against the batch and the event table, as an
-    insert that ignores conflicts would do. Each batch writes to a folder named by its id and overwrites it when the
-    batch is repeated, so a restart after a lost executor or driver leaves every event counted once.
+    ``events`` are parsed lines of :func:`stream_trace_source`. An event's ``arrival`` is the number of its batch, then
+    its place. A restart goes on from the checkpoint and leaves every event counted once.
     """
-    schema = T.StructType([*events.schema.fields, T.StructField("batch_id", T.LongType())])
+    order = F.struct(F.col("batch_no"), *PLACE).alias("arrival")
+    columns = [c for c in events.columns if c not in PLACE]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        try:
-            fresh = batch
-            if batch_id > 0:
-                stored = spark.read.schema(schema).parquet(f"{folder}/events").where(F.col("batch_id") != batch_id)
-                fresh = not_stored(batch, stored, lookback)
-            target = f"{folder}/events/batch_id={batch_id}"
-            dedup_trace(fresh).select(*events.columns).write.mode("overwrite").parquet(target)
-            added = spark.read.schema(events.schema).parquet(target)
-            parts = added.groupBy("trace_id").agg(*trace_aggregates())
-            parts.write.mode("overwrite").parquet(f"{folder}/parts/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
-
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+        placed = batch.withColumn("batch_no", F.lit(batch_id).cast("long")).select(*columns, order)
+        target = f"{folder}/events/batch_id={batch_id}"
+        placed.write.mode("overwrite").parquet(target)
+        added = spark.read.schema(placed.schema).parquet(target)
+        parts = added.groupBy("trace_id").agg(*trace_aggregates())
+        parts.write.mode("overwrite").parquet(f"{folder}/parts/batch_id={batch_id}")
+
+    writer = accepted_events(events).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def dedup_stream(lines: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Parsed events, each event id and each (trace, number) once within the watermark, with state that is given up.
+
+    Events later than the watermark are dropped here; :func:`accepted_events` keeps what it accepted for good.
+    """
+    events = parse_trace(lines).withWatermark("occurred_at", lateness)
+    once = events.dropDuplicatesWithinWatermark(["event_id"])
+    return once.dropDuplicatesWithinWatermark(["trace_id", "sequence_no"])
+
+
+class _Stale(_Accepted):
+    """Closes a run that has no end once event time has passed its last event by the patience of the watermark."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.run = handle.getValueState("run", "last_ms bigint, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = self.accepted(rows)
+        if len(batch):
+            before = self.run.get() if self.run.exists() else None
+            # rounded up: a run is not stale before the watermark is past its last event
+            last = int(-(-batch["occurred_at"].max().value // 1_000_000))
+            last, ended = max(last, before[0] if before else last), bool(before and before[1])
+            ended = ended or bool(batch["event_type"].isin(TERMINAL).any())
+            if before and not before[1]:
+                self.handle.deleteTimer(before[0])
+            if not ended:
+                self.handle.registerTimer(last)
+            self.run.update((last, ended))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, ended = self.run.get()
+        if not ended:
+            self.run.update((last, True))
+            row = {"trace_id": key[0], "status": "FAILED", "finish_reason": "INTERNAL_ERROR", "trace_incomplete": True, "last_event_ms": last}
+            yield pd.DataFrame([row])
+
+
+def stale_run_stream(events: DataFrame, patience: str) -> DataFrame:
+    """Runs without an end of which nothing was heard for ``patience`` of event time, each once, as failed.
+
+    ``events`` are parsed lines of :func:`stream_trace_source`. The timers are in the state, so they go on after a
+    restart. Events that come later than ``patience`` behind the latest one are dropped, as their run may be closed.
+    """
+    rocksdb(events.sparkSession)
+    wanted = ["event_id", "trace_id", "sequence_no", "event_type", "occurred_at", *PLACE]
+    return events.select(wanted).withWatermark("occurred_at", patience).groupBy("trace_id").transformWithStateInPandas(
+        statefulProcessor=_Stale(wanted),
+        outputStructType="trace_id string, status string, finish_reason string, trace_incomplete boolean, last_event_ms long",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/events").drop("batch_id")
+
+
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
     parts = spark.read.parquet(f"{folder}/parts")
     return summarise(parts.groupBy("trace_id").agg(*merge_aggregates()))

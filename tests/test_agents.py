@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -208,10 +209,18 @@ def test_strict_dedup_agrees_with_inserts(spark):
         if e not in ids and (t, n) not in numbers:
             ids.add(e), numbers.add((t, n)), want.add(i)
     df = spark.createDataFrame(rows, "event_id string, trace_id string, sequence_no int, arrival bigint")
-    assert {r.arrival for r in tr.dedup_strict(df).collect()} == want
+    assert {r.arrival for r in tr.dedup_trace(df).collect()} == want
+
+
+def told(rows, path):
+    """Lines as an appender writes them, without an arrival; a later file is newer by a second."""
+    path.write_text("\n".join(json.dumps({k: v for k, v in e.items() if k != "arrival"}) for e in rows) + "\n{bad", encoding="utf-8")
+    stamp = 1_700_000_000 + len(list(path.parent.iterdir()))
+    os.utime(path, (stamp, stamp))
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Shuffled and repeated lines in files that come one after another; every call goes on from the checkpoint."""
     rng = random.Random(6)
     rows = [e for t in range(6) for e in run_events(f"t{t}", without=[t + 1])]
     source = tmp_path / "in"
@@ -219,16 +228,60 @@ def test_stream_equals_batch(spark, tmp_path):
     sent = []
     for part in range(4):
         picked = rng.sample(rows, 25) + (rows if part == 1 else [])
+        # an id of this run with another number, and a number with another id
+        picked += [e | {"sequenceNo": 100 + part} for e in rng.sample(rows, 3)] + [e | {"eventId": f"z{part}{i}"} for i, e in enumerate(rng.sample(rows, 3))]
         rng.shuffle(picked)
-        body = [e | {"arrival": len(sent) + i} for i, e in enumerate(picked)]
-        (source / f"{part}.json").write_text("\n".join(map(json.dumps, body)) + "\n{bad", encoding="utf-8")
-        sent += body
+        told(picked, source / f"{part}.json")
+        sent += [e | {"arrival": len(sent) + i} for i, e in enumerate(picked)]
         parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, str(source)))
-        trace_stream.run_trace_stream(parsed, str(tmp_path / "out"), "1 DAY").awaitTermination()
+        trace_stream.run_trace_stream(parsed, str(tmp_path / "out")).awaitTermination()
     stream = {r.trace_id: r for r in trace_stream.read_summaries(spark, str(tmp_path / "out")).collect()}
     assert stream == summaries(spark, sent)
-    stored = spark.read.parquet(str(tmp_path / "out" / "events"))
-    assert stored.count() == stored.select("event_id").distinct().count() == len(rows)
+    stored = trace_stream.read_events(spark, str(tmp_path / "out"))
+    kept = tr.dedup_trace(tr.parse_trace(lines(spark, sent)))
+    assert {(r.event_id, r.trace_id, r.sequence_no) for r in stored.collect()} == {(r.event_id, r.trace_id, r.sequence_no) for r in kept.collect()}
+
+
+def test_conflicts_weeks_apart_and_the_last_end(spark, tmp_path):
+    """A second end weeks after the first: its own number is accepted and wins, a taken number or id is refused."""
+    source = tmp_path / "in"
+    source.mkdir()
+    run = run_events("t")
+    end = run[-1]
+    told(run, source / "0.json")
+    for name, change in enumerate([{"eventId": "other"}, {"sequenceNo": 77}, {"eventId": "again", "sequenceNo": 78, "payload": {"finishReason": "late"}}], 1):
+        told([end | {"timestamp": f"2024-0{2 + name}-09T00:00:00Z"} | change], source / f"{name}.json")
+        parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, str(source)))
+        trace_stream.run_trace_stream(parsed, str(tmp_path / "out")).awaitTermination()
+    row = trace_stream.read_summaries(spark, str(tmp_path / "out")).first()
+    assert (row.received_event_count, row.last_sequence_no, row.finish_reason) == (len(run) + 1, 78, "late")
+
+
+def test_stale_runs_as_a_stream(spark, tmp_path):
+    """Three batches: one run ends, one goes silent, one is heard of to the last; a restart keeps the timers."""
+    source = tmp_path / "in"
+    source.mkdir()
+    done, silent, busy = run_events("done"), run_events("silent", without=[9])[:-1], run_events("busy")[:-1]
+    batches = [done[:4] + silent[:4] + busy[:4], done[4:] + silent[4:], [e | {"timestamp": "2024-02-20T00:00:00Z"} for e in busy[4:]]]
+    sent = []
+    for i, rows in enumerate(batches):
+        told(rows, source / f"{i}.json")
+        sent += rows
+        failed = trace_stream.stale_run_stream(tr.parse_trace(trace_stream.stream_trace_source(spark, str(source))), "10 days")
+        writer = failed.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(failed.schema).parquet(str(tmp_path / "o")).collect()
+    df = tr.trace_projection(tr.dedup_trace(tr.parse_trace(lines(spark, [e | {"arrival": i} for i, e in enumerate(sent)]))))
+    closed = tr.stale_runs(df, F.lit("2024-02-10T00:00:00Z").cast("timestamp")).where("finish_reason = 'INTERNAL_ERROR'").collect()
+    assert [(r.trace_id, r.status, r.finish_reason) for r in rows] == [(r.trace_id, r.status, r.finish_reason) for r in closed] == [("silent", "FAILED", "INTERNAL_ERROR")]
+
+
+def test_missing_arrival_falls_back_to_the_number(spark):
+    run = run_events("t")
+    ends = [run[-1] | {"sequenceNo": n, "eventId": f"end{n}", "payload": {"finishReason": f"r{n}"}} for n in (60, 50)]
+    sent = lines(spark, run[:-1] + ends).withColumn("arrival", F.lit(None).cast("long"))
+    row = tr.trace_projection(tr.dedup_trace(tr.parse_trace(sent))).first()
+    assert row.finish_reason == "r60"
 
 
 def test_watermarked_dedup(spark, tmp_path):
