@@ -17,10 +17,11 @@ SEQUENCE = 2048
 END_ID = 0
 # Pieces packed together: a random share of all pieces, so every shard has the corpus's mix of lengths.
 SHARD_PIECES = 50_000
-# Fillings looked at per largest piece, and bins opened per shard beyond the first descent.
-FILLING_NODES = 96
-FILLINGS_KEPT = 4
-SEARCH_BINS = 4_000
+# Partial fillings looked at per largest piece, fillings kept of them and sizes tried for each next piece in the first
+# search; every further search widens them. The nodes of all searches of a shard beyond its first descent are bounded.
+FILLING_NODES, FILLINGS_KEPT, OPTIONS = 96, 4, 8
+WIDER = 8
+SEARCH_NODES = 400_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> DataFrame:
@@ -86,71 +87,75 @@ def best_fit(counts: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: list[int], there: int, room: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, sizes) of undominated fillings of ``room``, least waste first.
+class Fillings:
+    """Undominated fillings of the room beside a largest piece, within limits; remembers whether a limit left any out."""
 
-    ``there`` has a bit per size that is left. A filling is dominated when one more piece fits or when a larger piece
-    that is left can take the place of one of its own; such fillings are never better.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = FILLING_NODES
-    stack = [(room, room, ())]
-    while stack and nodes:
-        nodes -= 1
-        left, top, chosen = stack.pop()
-        fits = there & ((1 << (min(left, top) + 1)) - 1)
-        options = []
-        while fits and len(options) < 8:
-            size = fits.bit_length() - 1
-            if counts[size] > chosen.count(size):
-                options.append((left - size, size, chosen + (size,)))
-            fits ^= 1 << size
-        if options:
-            stack += reversed(options)
-            continue
-        used = there
-        for size in set(chosen):
-            if counts[size] == chosen.count(size):
-                used ^= 1 << size
-        if used & ((1 << (left + 1)) - 1) or any((used >> (s + 1)) & ((1 << left) - 1) for s in set(chosen)):
-            continue
-        found.append((left, chosen))
-        if left == 0:
-            break
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    if not found:  # the search ended before any: the largest pieces that fit
-        chosen, left = (), room
-        fits = there & ((1 << (left + 1)) - 1)
-        while fits:
-            size = fits.bit_length() - 1
-            if counts[size] > chosen.count(size):
-                chosen, left = chosen + (size,), left - size
-                fits &= (1 << (left + 1)) - 1
-            else:
+    def __init__(self, nodes: int, kept: int, options: int) -> None:
+        self.nodes, self.kept, self.options = nodes, kept, options
+        self.used, self.cut = 0, False
+
+    def of(self, counts: list[int], there: int, room: int) -> list[tuple[int, tuple[int, ...]]]:
+        """(waste, sizes) of fillings, least waste first.
+
+        ``there`` has a bit per size that is left. A filling is dominated when one more piece fits or when a larger piece
+        that is left can take the place of one of its own; such fillings are never better. Two fillings without waste do
+        not dominate each other, so all are listed.
+        """
+        found: list[tuple[int, tuple[int, ...]]] = []
+        nodes = self.nodes
+        stack = [(room, room, ())]
+        while stack and nodes:
+            nodes -= 1
+            left, top, chosen = stack.pop()
+            fits = there & ((1 << (min(left, top) + 1)) - 1)
+            options = []
+            while fits:
+                size = fits.bit_length() - 1
+                if counts[size] > chosen.count(size):
+                    if len(options) == self.options:
+                        self.cut = True
+                        break
+                    options.append((left - size, size, chosen + (size,)))
                 fits ^= 1 << size
-        found = [(left, chosen)]
-    return found[:FILLINGS_KEPT]
+            if options:
+                stack += reversed(options)
+                continue
+            used = there
+            for size in set(chosen):
+                if counts[size] == chosen.count(size):
+                    used ^= 1 << size
+            if used & ((1 << (left + 1)) - 1) or any((used >> (s + 1)) & ((1 << left) - 1) for s in set(chosen)):
+                continue
+            found.append((left, chosen))
+        self.used += self.nodes - nodes
+        self.cut |= bool(stack) or len(found) > self.kept
+        found.sort(key=lambda f: (f[0], len(f[1])))
+        if not found:  # the search ended before any: the largest pieces that fit
+            chosen, left = (), room
+            fits = there & ((1 << (left + 1)) - 1)
+            while fits:
+                size = fits.bit_length() - 1
+                if counts[size] > chosen.count(size):
+                    chosen, left = chosen + (size,), left - size
+                    fits &= (1 << (left + 1)) - 1
+                else:
+                    fits ^= 1 << size
+            found = [(left, chosen)]
+        return found[: self.kept]
 
 
-def complete_bins(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins for the sizes, as few as the search finds.
+def search(sizes: np.ndarray, capacity: int, incumbent: list[list[int]], least: int, limits: Fillings, budget: int) -> list[list[int]]:
+    """Branch and bound over fillings: the best bins found, and the incumbent where none is better.
 
-    Best-fit decreasing is the first incumbent. Bin completion then fills a bin around the largest piece left, tries
-    the undominated fillings by waste, and turns back once the waste of the open bins exceeds what one bin less than
-    the incumbent allows. It ends at the lower bound or when its bins are used up; the incumbent stands in any case.
+    A bin is filled around the largest piece left; fillings are tried by waste, and the search turns back once the waste
+    of the open bins exceeds what one bin less than the incumbent allows.
     """
-    counts = np.bincount(sizes, minlength=capacity + 1)
-    least = lower_bound(counts, capacity)
-    count = counts.tolist()
-    incumbent = best_fit(count, capacity)
+    count = np.bincount(sizes, minlength=capacity + 1).tolist()
     volume = int(sizes.sum())
-    if len(incumbent) <= least or not len(sizes):
-        return incumbent
     there = sum(1 << s for s in range(1, capacity + 1) if count[s])
-    budget = len(incumbent) + SEARCH_BINS
     path: list[tuple[list, int, int, int]] = []  # fillings left to try, largest piece, waste before, filling in use
     open_bins: list[tuple[int, ...]] = []
-    waste = 0
+    waste, descended = 0, False
 
     def take(chosen: tuple[int, ...], sign: int) -> None:
         nonlocal there
@@ -158,17 +163,22 @@ def complete_bins(sizes: np.ndarray, capacity: int) -> list[list[int]]:
             count[s] -= sign
             there = there | 1 << s if count[s] else there & ~(1 << s)
 
-    while budget:
+    while True:
         allowed = (len(incumbent) - 1) * capacity - volume
         if waste <= allowed and there:
-            budget -= 1
+            if descended and limits.used > budget:
+                limits.cut = True
+                return incumbent
             largest = there.bit_length() - 1
             take((largest,), 1)
-            path.append((fillings(count, there, capacity - largest), largest, waste, -1))
-        elif waste <= allowed:
-            incumbent = [list(b) for b in open_bins]
-            if len(incumbent) <= least:
-                break
+            path.append((limits.of(count, there, capacity - largest), largest, waste, -1))
+        else:
+            if not descended:
+                descended, budget = True, budget + limits.used
+            if waste <= allowed:
+                incumbent = [list(b) for b in open_bins]
+                if len(incumbent) <= least:
+                    return incumbent
         while path:  # the next filling of the deepest bin that has one within the allowance
             options, largest, before, used = path.pop()
             if used >= 0:
@@ -183,7 +193,27 @@ def complete_bins(sizes: np.ndarray, capacity: int) -> list[list[int]]:
                 break
             take((largest,), -1)
         if not path:
+            return incumbent
+
+
+def complete_bins(sizes: np.ndarray, capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
+    """Bins for the sizes, as few as the searches find.
+
+    Best-fit decreasing is the first incumbent. Bin completion searches with few fillings per bin first; while a limit
+    left fillings out and nodes are left, it searches again with wider limits. A search that no limit cut proves its
+    bins to be the fewest, as do bins at the lower bound; else the best ones found stand.
+    """
+    counts = np.bincount(sizes, minlength=capacity + 1)
+    least = lower_bound(counts, capacity)
+    incumbent = best_fit(counts.tolist(), capacity)
+    width = 1
+    while len(sizes) and len(incumbent) > least and nodes > 0:
+        limits = Fillings(FILLING_NODES * width, FILLINGS_KEPT * width, OPTIONS * width)
+        incumbent = search(sizes, capacity, incumbent, least, limits, nodes)
+        nodes -= limits.used
+        if not limits.cut:
             break
+        width *= WIDER
     return incumbent
 
 

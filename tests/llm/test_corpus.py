@@ -390,14 +390,32 @@ def fewest(sizes, capacity):
 
 
 def test_bin_completion_is_optimal_on_small_cases():
-    for _ in range(150):
-        sizes = sorted((rng.randrange(3, 26) for _ in range(11)), reverse=True)
+    cases = [sorted((rng.randrange(3, 26) for _ in range(rng.randrange(1, 13))), reverse=True) for _ in range(2000)]
+    for sizes in [*cases, [25, 24, 18, 17, 17, 14, 11, 9, 8, 8, 5]]:
         bins = packing.complete_bins(np.array(sizes), 40)
         assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 40 for b in bins)
         assert len(bins) == fewest(sizes, 40) >= packing.lower_bound(np.bincount(sizes, minlength=41), 40)
     assert packing.complete_bins(np.array([], int), 40) == []
 
 
+def test_bin_completion_finds_full_bins():
+    """Twelve full bins of three pieces each: best-fit misses nearly all such cases, the search finds most."""
+    draw = random.Random(5)
+    found = greedy = 0
+    for _ in range(20):
+        sizes = []
+        for _ in range(12):
+            a = draw.randrange(200, 1000)
+            b = draw.randrange(200, 2048 - a - 100)
+            sizes += [a, b, 2048 - a - b]
+        counts = np.bincount(sizes, minlength=2049)
+        greedy += len(packing.best_fit(counts.tolist(), 2048)) == 12
+        bins = packing.complete_bins(np.array(sizes), 2048)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins)
+        found += len(bins) == 12
+    assert found > greedy, (found, greedy)
+
+
 def test_mixing(docs, none):
     rows = clean(docs).collect()
     size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
