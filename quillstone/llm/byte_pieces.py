@@ -211,7 +211,13 @@ def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pool[shift + np.arange(len(shift))]
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
 def encoder(path: str) -> PieceEncoder:
-    """An encoder for one task: its table goes with it, so that a worker holds no memory between tasks."""
+    """This worker's encoder. It is kept between tasks: loading it takes as long as some hundred texts, a new table is
+    met by pieces that the old one knew, and both are of bounded size."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path)
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]

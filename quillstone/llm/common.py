@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,40 @@ def drop_rows(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.unionByName(doubt.join(ids, key, "left_anti"))
 
 
+def folded_digest(text: str = "text") -> Column:
+    """SHA-256 of a text's UTF-8 bytes with A-Z in lower case; null counts as empty."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase).cast("binary"), 256)
+
+
+def id_key(key: str = "doc_id") -> Column:
+    """A plain join key for an id that may be null."""
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
+def one_of_ties(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, the least by all columns; summed before the shuffle, so a row repeated any number of times is fine."""
+    columns = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+
+
+def drop_by_text(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, text_sha256, kept) keep, told apart by id and folded text.
+
+    A null id is an id like others. Of rows that share id and text one stays. Rows whose id is in no decision against
+    it and in no such tie stay where they are, only the others are shuffled.
+    """
+    gone = decisions.where("NOT kept").select("doc_id", "text_sha256").withColumn("__gone", F.lit(True))
+    ties = decisions.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__n")).where("__n > 1")
+    acted = gone.distinct().unionByName(ties.select("doc_id", "text_sha256", F.lit(False).alias("__gone")))
+    acted = materialise(acted.select(id_key().alias("__id"), F.col("text_sha256").alias("__sha"), "__gone"), "acted")
+    told = docs.withColumn("__id", id_key())
+    out, doubt = split_rows(told, acted.select("__id"), "__id")
+    found = doubt.withColumn("__sha", folded_digest()).join(acted, ["__id", "__sha"], "left")
+    tied = one_of_ties(found.where("__gone = false").drop("__gone"), "__id", "__sha")
+    left = found.where("__gone IS NULL").select(docs.columns)
+    return out.select(docs.columns).unionByName(left).unionByName(tied.select(docs.columns))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bit_filter, drop_rows, flag_by_filter, folded, in_blocks, materialise, text_batches, tidy
+from quillstone.llm.common import bit_filter, drop_by_text, flag_by_filter, folded, in_blocks, materialise, text_batches, tidy
 
 # Fingerprints that a merged block holds on average; it bounds what one merge task reads for a block.
 BLOCK_FINGERPRINTS = 1 << 17
@@ -166,5 +166,8 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; only rows in doubt are shuffled."""
-    return drop_rows(docs, exact_dedup(docs, bits).where("NOT kept").select("doc_id"))
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps, one of each group; only rows in doubt are shuffled.
+
+    Decisions go by id and text, so rows that share an id with other texts, or have none, fare as their own text does.
+    """
+    return drop_by_text(docs, exact_dedup(docs, bits))

@@ -13,7 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import drop_rows, folded, in_blocks, keep_rows, materialise, mix, shingle_sets, text_batches, tidy
+from quillstone.llm.common import (
+    drop_rows,
+    folded,
+    folded_digest,
+    id_key,
+    in_blocks,
+    keep_rows,
+    materialise,
+    mix,
+    one_of_ties,
+    shingle_sets,
+    split_rows,
+    text_batches,
+    tidy,
+)
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -238,6 +252,31 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     )
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """Adds ``__row``, a number per distinct row: doc_id where it is the row's own, else a number above all ids.
+
+    Rows without an id and rows that share one are numbered by id and folded text, and those that agree in both are one
+    row. Only they are shuffled; the numbers are written, so that they do not change when they are read again.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 OR doc_id IS NULL")
+    shared = materialise(ids.select(id_key().alias("__id")), "shared-ids")
+    told = docs.withColumn("__id", id_key())
+    own, doubt = split_rows(told, shared, "__id")
+    joined = doubt.join(shared.withColumn("__shared", F.lit(True)), "__id", "left").withColumn("__sha", folded_digest())
+    own = own.unionByName(joined.where("__shared IS NULL").drop("__shared", "__sha"))
+    once = one_of_ties(joined.where("__shared").drop("__shared"), "__id", "__sha")
+    above = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0).cast("long"))).first()[0]
+    numbered = once.select(docs.columns).withColumn("__row", F.monotonically_increasing_id() + F.lit(above + 1))
+    return own.select(*docs.columns, F.col("doc_id").cast("long").alias("__row")).unionByName(materialise(numbered, "told-apart"))
+
+
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, of the one document per component that stays."""
-    return drop_rows(docs, near_dedup(docs, shingle, percent).where("NOT kept").select("doc_id"))
+    """The rows of ``docs``, all columns, of the one document per component that stays.
+
+    The smallest doc_id stays. Rows that have no id, or share theirs with other texts, are documents of their own that
+    come after all others; of rows that agree in id and text one stays.
+    """
+    rows = told_apart(docs)
+    plain = rows.select(F.col("__row").alias("doc_id"), "text")
+    gone = near_dedup(plain, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__row"))
+    return drop_rows(rows, gone, "__row").select(docs.columns)

@@ -111,19 +111,25 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
     """
     folder = folder or work_dir(docs.sparkSession, "token-records")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         narrow, end = enc.vocabulary <= 1 << 16, np.array([END_ID], "<u4").tobytes()
-        shards: list[Shard] = []
         for batch in batches:
             for block in in_blocks(batch, "text"):
-                texts = [t or "" for t in block.column(1).to_pylist()]
-                for doc_id, ids in zip(block.column(0).to_pylist(), enc.encode(texts)):
-                    if not shards or shards[-1].size >= shard_bytes:
-                        if shards:
-                            shards[-1].close()
-                        shards.append(Shard(folder))
-                    shards[-1].add(pack_ids(doc_id, ids + end, narrow), len(ids) // 4 + 1)
+                ids = enc.encode([t or "" for t in block.column(1).to_pylist()])
+                data = [pack_ids(doc_id, i + end, narrow) for doc_id, i in zip(block.column(0).to_pylist(), ids)]
+                tokens = pa.array([len(i) // 4 + 1 for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([block.column(0), tokens, pa.array(data, pa.binary())], names=["doc_id", "tokens", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: list[Shard] = []
+        for batch in batches:
+            for tokens, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not shards or shards[-1].size >= shard_bytes:
+                    if shards:
+                        shards[-1].close()
+                    shards.append(Shard(folder))
+                shards[-1].add(data, tokens)
         if shards:
             shards[-1].close()
             part = TaskContext.get().partitionId()
@@ -133,8 +139,11 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
                 names=["part", "shard", "path", "index_path", "records", "tokens"],
             )
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # texts are encoded where they lie; ids, about half their size, are written once and then put in order
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with text_batches(docs.sparkSession):
+        ids = materialise(rows.mapInArrow(tidy(encoded), "doc_id long, tokens long, data binary"), "ids")
+        ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("tokens", "data")
         return materialise(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 

@@ -10,6 +10,7 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -668,6 +669,41 @@ def test_pipeline_stages(spark, docs, none, folder, tokens):
         assert stage(spark, blank, folder).count() == 0
 
 
+def test_pipeline_drops_by_row(spark):
+    """Ids that are missing or shared by other texts: no text is lost, one row of each group stays."""
+    rows = [(None, "T"), (None, "T"), (3, "T"), (4, "U"), (4, "T"), (9, "t")]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_exact(spark, frame, "").collect()) == [(4, "U"), (9, "t")]
+    base, other = prose(60), prose(60)
+    near = " ".join(base.split()[:-1] + ["changed"])
+    rows = [(None, base), (None, near), (None, other), (7, other), (7, base), (7, base), (8, near), (2, "short"), (2, "other short")]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near(spark, frame, "").collect())
+    assert [t for _, t in left].count(other) == 1 and (2, "short") in left and (2, "other short") in left and (8, near) in left and len(left) == 4
+    same = spark.createDataFrame([(5, base, "en", "a", 1)] * 50, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_exact(spark, same, "").count() == corpus_pipeline.drop_near(spark, same, "").count() == 1
+
+
+def test_pipeline_stages_with_null_and_shared_ids(spark, docs, folder):
+    """The whole fixture: after both stages every text that is no copy of another is there, by brute force over rows."""
+    frame = docs.drop("kept", "size", "keep_id")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, frame = [tuple(r) for r in frame.collect()], stage(spark, frame, folder).cache()
+        after = [tuple(r) for r in frame.collect()]
+        assert not collections.Counter(after) - collections.Counter(before)
+        if name == "exact_dedup":
+            best = {}
+            for r in before:
+                key = fold(r[1])
+                best[key] = max(best.get(key, -1), -1 if r[0] is None else r[0])
+            assert sorted((fold(r[1]), -1 if r[0] is None else r[0]) for r in after) == sorted(best.items())
+        if name == "near_dedup":
+            sets = sets_by_id([types.SimpleNamespace(doc_id=i, text=r[1]) for i, r in enumerate(before)], 5)
+            links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            groups = collections.Counter(reachable(sets, links).values())
+            assert len(after) == len(groups)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
