@@ -111,6 +111,12 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
     """
     folder = folder or work_dir(docs.sparkSession, "token-records")
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", shares or [0.5], 100 * parts)).first()[0]
+    bounds = np.array(found or [], np.int64)
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         narrow, end = enc.vocabulary <= 1 << 16, np.array([END_ID], "<u4").tobytes()
@@ -119,7 +125,9 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
                 ids = enc.encode([t or "" for t in block.column(1).to_pylist()])
                 data = [pack_ids(doc_id, i + end, narrow) for doc_id, i in zip(block.column(0).to_pylist(), ids)]
                 tokens = pa.array([len(i) // 4 + 1 for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([block.column(0), tokens, pa.array(data, pa.binary())], names=["doc_id", "tokens", "data"])
+                known = block.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+                part = pa.array(np.minimum(np.searchsorted(bounds, known), parts - 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([block.column(0), part, tokens, pa.array(data, pa.binary())], names=["doc_id", "part", "tokens", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: list[Shard] = []
@@ -139,11 +147,10 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, sh
                 names=["part", "shard", "path", "index_path", "records", "tokens"],
             )
 
-    # texts are encoded where they lie; ids, about half their size, are written once and then put in order
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # texts are encoded where they lie, and their ids, about half the size, are shuffled by ranges of doc_id
     with text_batches(docs.sparkSession):
-        ids = materialise(rows.mapInArrow(tidy(encoded), "doc_id long, tokens long, data binary"), "ids")
-        ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("tokens", "data")
+        ids = rows.mapInArrow(tidy(encoded), "doc_id long, part int, tokens long, data binary")
+        ordered = ids.repartitionById(parts, "part").sortWithinPartitions("doc_id").select("tokens", "data")
         return materialise(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
