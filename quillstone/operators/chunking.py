@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone import fixed_values as fixed
 from quillstone.functions.text import (
+    BLANKS,
     LINE_BREAK,
     WS,
     chunk_digest,
@@ -19,6 +17,8 @@ from quillstone.functions.text import (
     normalize_text,
     strip,
 )
+from quillstone.operators.positions import running
+from quillstone.session import materialise
 
 HEADING = rf"^(#{{1,6}})[{WS}]+(.+?)[{WS}]*#*[{WS}]*$"
 FENCE = rf"^[{WS}]*(```|~~~)"
@@ -265,65 +265,108 @@ def strip_inline_markup(c: Column | str) -> Column:
     return F.array_join(lines, "\n")
 
 
+# Pages, and characters, per block of the running values over a document.
+PAGE_BLOCK, CHAR_BLOCK = 64, 1 << 18
+
+
 def page_range_chunks(
     pages: DataFrame,
     target_chars: int = fixed.PAGE_TARGET_CHARS,
     overlap_chars: int = fixed.PAGE_OVERLAP_CHARS,
 ) -> DataFrame:
-    """Chunks over the pages of one document each: (doc_id, page, text) in.
+    """Chunks over the pages of documents: (doc_id, page, text) in.
 
-    Each chunk starts with the tail of the one before, so a document is folded in page order. The rows of a document
-    arrive sorted and are folded batch by batch; no document is held whole.
+    Paragraphs are gathered until a chunk has ``target_chars``; the next one starts with the last ``overlap_chars`` of
+    it, without blanks in front, on the page where the last one ended. What is left at the end is a chunk too.
+
+    With its paragraphs one below the other, a document is one text, and every chunk a span of it. Where a chunk that
+    ends at a paragraph is followed by one that begins there, and where that one ends, follows from lengths alone, so
+    the next end of every paragraph is looked up for all at once; the ends that the first chunk leads to are found by
+    doubling these pointers. Texts are put together from the chosen spans only.
     """
+    if not 0 <= overlap_chars < target_chars:
+        raise ValueError("the overlap must be shorter than a chunk")
     ordered = (
-        pages.withColumn("text", normalize_text("text"))
-        .select("doc_id", "page", F.posexplode(F.split("text", r"\n+")).alias("pos", "paragraph"))
+        pages.select("doc_id", "page", F.posexplode(F.split(normalize_text("text"), r"\n+")).alias("pos", "paragraph"))
         .withColumn("paragraph", normalize_text("paragraph"))
         .where(F.length("paragraph") > 0)
-        .repartition("doc_id")
-        .sortWithinPartitions("doc_id", "page", "pos")
     )
-    fold = _page_fold(target_chars, overlap_chars)
-    schema = f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, ordinal int, page_start int, page_end int, content string"
-    digest = F.substring(
-        F.sha1(F.concat_ws(":", F.col("page_start"), F.col("page_end"), F.col("content"))), 1, 12
+    counted = running(
+        ordered, ["doc_id"], ["page", "pos"], F.floor(F.col("page") / PAGE_BLOCK),
+        sums={"j": F.lit(1), "upto": F.length("paragraph") + 1},
+    )
+    begin = F.col("upto") - 1 - F.length("paragraph")
+    paragraphs = materialise(counted.select("doc_id", "page", "paragraph", "j", begin.alias("begin"), (F.col("upto") - 1).alias("end")), "paragraphs")
+    nodes = materialise(_next_ends(paragraphs, target_chars, overlap_chars), "ends")
+    ends = paragraphs.groupBy("doc_id").agg(F.max("j").alias("n"))
+    spans = nodes.join(_reached(nodes), ["doc_id", "j"]).join(ends, "doc_id").withColumn("last", F.coalesce("nxt", "n"))
+    spans = spans.where(F.col("first") <= F.col("last"))
+    spans = running(spans, ["doc_id"], ["j"], F.floor(F.col("j") / 4096), sums={"ordinal": F.lit(1)})
+    piece = F.when(F.col("i") == F.col("first"), F.expr("substring(paragraph, cast(start - begin + 1 as int))")).otherwise(F.col("paragraph"))
+    texts = (
+        spans.withColumn("i", F.explode(F.sequence("first", "last")))
+        .join(paragraphs.withColumnRenamed("j", "i"), ["doc_id", "i"])
+        .groupBy("doc_id", "ordinal")
+        .agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", piece.alias("text")))), lambda x: x["text"]), "\n").alias("content"),
+            F.max_by("page", "i").alias("page_end"),
+        )
     )
-    return ordered.mapInPandas(fold, schema).select(
+    at = paragraphs.select("doc_id", F.col("j").alias("_at"), F.col("page").alias("page_start"))
+    begun = spans.select("doc_id", "ordinal", F.greatest("j", F.lit(1)).alias("_at")).join(at, ["doc_id", "_at"])
+    digest = F.substring(F.sha1(F.concat_ws(":", F.col("page_start"), F.col("page_end"), F.col("content"))), 1, 12)
+    return texts.join(begun, ["doc_id", "ordinal"]).select(
         "doc_id",
-        F.concat(F.lit("chunk-"), F.format_string("%04d", F.col("ordinal")), F.lit("-"), digest).alias("chunk_id"),
-        "ordinal",
-        "page_start",
-        "page_end",
+        F.concat(F.lit("chunk-"), F.lpad(F.col("ordinal").cast("string"), 4, "0"), F.lit("-"), digest).alias("chunk_id"),
+        F.col("ordinal").cast("int").alias("ordinal"),
+        F.col("page_start").cast("int").alias("page_start"),
+        F.col("page_end").cast("int").alias("page_end"),
         "content",
     )
 
 
-def _page_fold(target: int, overlap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    import re
-
-    def tidy(text: str) -> str:
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t　]+", " ", text)).strip()
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "ordinal", "page_start", "page_end", "content"]
-        doc, buffer, start, end, ordinal = None, "", None, None, 0
-        for batch in batches:
-            out = []
-            for key, page, paragraph in zip(batch["doc_id"], batch["page"], batch["paragraph"]):
-                if key != doc:
-                    if buffer.strip():
-                        out.append((doc, ordinal + 1, start, end, tidy(buffer)))
-                    doc, buffer, start, end, ordinal = key, "", page, page, 0
-                end = page
-                buffer = f"{buffer}\n{paragraph}".strip()
-                if len(buffer) >= target:
-                    ordinal += 1
-                    content = tidy(buffer)
-                    out.append((doc, ordinal, start, end, content))
-                    buffer = content[-overlap:] if overlap > 0 else ""
-                    start = end
-            yield pd.DataFrame(out, columns=names)
-        if buffer.strip():
-            yield pd.DataFrame([(doc, ordinal + 1, start, end, tidy(buffer))], columns=names)
-
-    return fold
+def _next_ends(paragraphs: DataFrame, target: int, overlap: int) -> DataFrame:
+    """(doc_id, j, start, first, nxt): a chunk that follows an end at paragraph j starts at ``start`` in paragraph
+    ``first`` and ends at paragraph ``nxt``, the first one that reaches the target; j = 0 stands for the begin."""
+    if overlap:
+        # the paragraph in which the overlap starts is the last one that begins at or before that place
+        nothing = F.lit(None).cast("long")
+        places = paragraphs.select("doc_id", F.col("begin").alias("at"), F.lit(0).alias("kind"), F.col("j").alias("seen"), nothing.alias("j")).unionByName(
+            paragraphs.where(F.col("end") >= overlap).select(
+                "doc_id", (F.col("end") - overlap).alias("at"), F.lit(1).alias("kind"), nothing.alias("seen"), "j"
+            )
+        )
+        met = running(places, ["doc_id"], ["at", "kind"], F.floor(F.col("at") / CHAR_BLOCK), lasts={"first": F.col("seen")}).where("kind = 1")
+        own = paragraphs.select("doc_id", F.col("j").alias("first"), "begin", "end", "paragraph")
+        rest = F.expr("substring(paragraph, cast(at - begin + 1 as int))")
+        blanks = F.length(rest) - F.length(F.ltrim(rest, F.lit(BLANKS)))
+        over = F.col("at") >= F.col("end")  # only the line end is left of that paragraph
+        starts = met.join(own, ["doc_id", "first"]).select(
+            "doc_id", "j",
+            F.when(over, F.col("end") + 1).otherwise(F.col("at") + blanks).alias("start"),
+            F.when(over, F.col("first") + 1).otherwise(F.col("first")).alias("first"),
+        )
+    else:
+        starts = paragraphs.select("doc_id", "j", (F.col("end") + 1).alias("start"), (F.col("j") + 1).alias("first"))
+    zero = F.lit(0).cast("long")
+    nodes = starts.unionByName(paragraphs.select("doc_id").distinct().select("doc_id", zero.alias("j"), zero.alias("start"), F.lit(1).cast("long").alias("first")))
+    # from the highest place down: the last end that was met is the nearest one at or after the asked place
+    asked = nodes.select("*", (-(F.col("start") + target)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seen"))
+    known = paragraphs.select("doc_id", (-F.col("end")).alias("at"), F.lit(0).alias("kind"), F.col("j").alias("seen"))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    looked = running(both, ["doc_id"], ["at", "kind"], F.floor(F.col("at") / CHAR_BLOCK), lasts={"nxt": F.col("seen")})
+    return looked.where("kind = 1").select("doc_id", "j", "start", "first", "nxt")
+
+
+def _reached(nodes: DataFrame) -> DataFrame:
+    """(doc_id, j) of the ends that the begin leads to. A round doubles the steps of every pointer, so the rounds are the
+    logarithm of the most chunks that a document has."""
+    jump = nodes.where("nxt IS NOT NULL").select("doc_id", "j", "nxt")
+    reached = nodes.where("j = 0").select("doc_id", "j")
+    while True:
+        more = reached.join(jump, ["doc_id", "j"]).select("doc_id", F.col("nxt").alias("j"))
+        if more.isEmpty():
+            return reached
+        reached = materialise(reached.unionByName(more).distinct(), "reached")
+        onward = jump.select("doc_id", F.col("j").alias("nxt"), F.col("nxt").alias("_to"))
+        jump = materialise(jump.join(onward, ["doc_id", "nxt"]).select("doc_id", "j", F.col("_to").alias("nxt")), "jumps")

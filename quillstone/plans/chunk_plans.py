@@ -190,9 +190,33 @@ def chunk_stats(spark, folder):
     return stats.withColumn("avg_chars", F.round("avg_chars", 6))
 
 
-@query("page_range_chunks")
+@query(
+    "page_range_chunks",
+    f"""
+    WITH RECURSIVE pages AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) + 1 AS page FROM documents),
+    pars AS (SELECT doc_id, page, {duck.normalize('t')} AS p FROM pages),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS j, count(*) OVER (PARTITION BY doc_id) AS n FROM pars WHERE length(p) > 0),
+    gathered AS (
+      SELECT DISTINCT doc_id, 0::BIGINT AS j, '' AS buffer, NULL::BIGINT AS start, NULL::BIGINT AS page, NULL::VARCHAR AS done, NULL::BIGINT AS done_start FROM placed
+      UNION ALL
+      SELECT doc_id, j, CASE WHEN length(b) >= 900 THEN right(b, 120) ELSE b END, CASE WHEN length(b) >= 900 THEN page ELSE s END, page,
+             CASE WHEN length(b) >= 900 THEN b END, s
+      FROM (SELECT x.doc_id, x.j, x.page, coalesce(g.start, x.page) AS s, {duck.strip("g.buffer || chr(10) || x.p")} AS b
+            FROM gathered g JOIN placed x ON x.doc_id = g.doc_id AND x.j = g.j + 1)),
+    chunks AS (
+      SELECT doc_id, j, 0 AS rest, done_start AS page_start, page AS page_end, done AS content FROM gathered WHERE done IS NOT NULL
+      UNION ALL
+      SELECT doc_id, j, 1, start, page, {duck.strip('buffer')} FROM gathered JOIN (SELECT DISTINCT doc_id, n FROM placed) USING (doc_id) WHERE j = n AND {duck.has_text('buffer')}),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j, rest) AS ordinal FROM chunks)
+    SELECT doc_id, 'chunk-' || CASE WHEN ordinal < 10000 THEN lpad(ordinal::VARCHAR, 4, '0') ELSE ordinal::VARCHAR END || '-' ||
+           substr(sha1(page_start || ':' || page_end || ':' || content), 1, 12) AS chunk_id,
+           ordinal::INTEGER AS ordinal, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end, content
+    FROM numbered
+    """,
+)
 def page_range_chunks(spark, folder):
     docs = texts(spark, folder, "documents")
-    # Every blank-line or line break separated part of a document is one page here.
+    # every line of a document is one page here
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return ck.page_range_chunks(pages.withColumn("page", F.col("page") + 1))

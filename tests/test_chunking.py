@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions.table_functions import register_table_functions
@@ -103,6 +105,36 @@ def test_page_fold(spark):
             assert b.page_start == a.page_end and b.content.startswith(a.content[-40:].strip())
 
 
+@pytest.mark.parametrize("target,overlap", [(60, 17), (25, 24), (40, 0)])
+def test_page_ranges_follow_the_rule(spark, target, overlap):
+    """Short paragraphs, blanks and line ends where the overlap starts, long paragraphs, empty pages."""
+    rng = random.Random(target)
+    docs = {
+        d: [" ".join(rng.choice(["a", "bcd", "\u00a0e", "fghijklm" * rng.randint(1, 6), "漢"]) for _ in range(rng.randint(0, 12))).replace(" a ", "\n\n") for _ in range(rng.randint(1, 30))]
+        for d in range(12)
+    }
+    docs[99] = ["", " \n "]
+    rows = [(d, p, t) for d, pages in docs.items() for p, t in enumerate(pages, 1)]
+    got: dict[int, list] = {}
+    for r in ck.page_range_chunks(spark.createDataFrame(rows, "doc_id bigint, page int, text string"), target, overlap).orderBy("doc_id", "ordinal").collect():
+        got.setdefault(r.doc_id, []).append((r.page_start, r.page_end, r.content))
+    for d, pages in docs.items():
+        whole, ends, want, start, first = "", [], [], 0, None
+        for page, text in enumerate(pages, 1):
+            for paragraph in filter(None, (x.strip() for x in re.split(r"\n+", re.sub(r"[ \t\u3000]+", " ", text)))):
+                whole += ("\n" if whole else "") + paragraph
+                first = first or page
+                ends.append((len(whole), page))
+                if len(whole) - start >= target:
+                    want.append((first, page, whole[start:]))
+                    start = len(whole) - overlap if overlap else len(whole) + 1
+                    start += len(whole[start:]) - len(whole[start:].lstrip())
+                    first = page
+        if ends and whole[start:]:
+            want.append((first, ends[-1][1], whole[start:]))
+        assert got.get(d, []) == want
+
+
 def test_tables_survive_inline_stripping(spark):
     text = "a **bold** [link](http://x) `code`\n| a | **b** |\n> quoted"
     got = spark.createDataFrame([(text,)], "t string").select(ck.strip_inline_markup("t")).first()[0]
