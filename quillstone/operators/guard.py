@@ -17,6 +17,8 @@ DANGEROUS = (
     r"(?i)\b(" + "|".join([*fixed.DANGEROUS_FUNCTIONS, *fixed.JVM_FUNCTIONS]) + r")`?\s*\("
     r"|\b(" + "|".join(fixed.SYSTEM_CATALOGS) + r")\."
     r"|\b(" + "|".join(fixed.PATH_FORMATS) + r")`?\s*\.\s*`"
+    # a path behind any name: readers may be named by class as well
+    r"|\.\s*`[^`]*[/\\:][^`]*`"
 )
 COMMENT = r"--|/\*|\*/"
 
@@ -49,12 +51,23 @@ class SqlRejected(ValueError):
     pass
 
 
+FILES = "spark.sql.runSQLOnFiles"
+
+
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """The whole result of an accepted statement; a refused one raises."""
+    """The whole result of an accepted statement; a refused one raises.
+
+    While the statement is analysed, which is when its relations are looked up, no path counts as a relation.
+    """
     reason = check_sql(spark, sql)
     if reason is not None:
         raise SqlRejected(reason)
-    return spark.sql(sql.strip().removesuffix(";"))
+    before = spark.conf.get(FILES)
+    spark.conf.set(FILES, "false")
+    try:
+        return spark.sql(sql.strip().removesuffix(";"))
+    finally:
+        spark.conf.set(FILES, before)
 
 
 def cell_truncate(df: DataFrame, limit: int = fixed.SQL_CELL_CHARS) -> DataFrame:

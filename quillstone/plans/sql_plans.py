@@ -14,11 +14,13 @@ from quillstone.sources.tables import table
 # Orders as a log of statements, of every kind that the guard has to judge.
 STATEMENT = [
     "o_orderkey AS stmt_id",
-    "CASE o_orderkey % 13 WHEN 0 THEN '  ' WHEN 1 THEN 'SELECT ' || CAST(o_custkey AS STRING) || ' -- note' "
+    "CASE o_orderkey % 15 WHEN 0 THEN '  ' WHEN 1 THEN 'SELECT ' || CAST(o_custkey AS STRING) || ' -- note' "
     "WHEN 2 THEN 'select ' || CAST(o_custkey AS STRING) || '; SELECT 2' WHEN 3 THEN 'WITH a AS (SELECT 1) SELECT * FROM a' "
     "WHEN 4 THEN ' Select updated_at FROM t' || CAST(o_custkey AS STRING) || ' ; ' WHEN 5 THEN 'DELETE FROM agent;' "
     "WHEN 6 THEN 'SELECT ''update''' WHEN 7 THEN 'SELECT pg_read_file (''/etc/passwd'')' WHEN 8 THEN 'SELECT * FROM information_schema.tables' "
-    "WHEN 9 THEN 'SELECT /* x */ 1' WHEN 10 THEN 'SELECT current_setting_of FROM locks' WHEN 11 THEN NULL ELSE 'SELECT o FROM ' || o_orderpriority END AS sql",
+    "WHEN 9 THEN 'SELECT /* x */ 1' WHEN 10 THEN 'SELECT current_setting_of FROM locks' WHEN 11 THEN NULL "
+    "WHEN 12 THEN 'SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hostname`' "
+    "WHEN 13 THEN 'SELECT * FROM a.b.c . `file:x` JOIN t' ELSE 'SELECT o FROM ' || o_orderpriority END AS sql",
 ]
 
 
@@ -144,8 +146,11 @@ REPORT = "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER B
     f"SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, l_extendedprice::VARCHAR AS l_extendedprice FROM ({REPORT} LIMIT 100)",
 )
 def run_sql(spark, folder):
-    """A report of at most 100 rows as text, as the tool hands it out."""
-    return guard.cell_truncate(_run(spark, folder, REPORT).limit(fixed.SQL_MAX_ROWS))
+    """A report of at most 100 rows as text, as the tool hands it out, within its time limit."""
+    for name in TABLES:
+        table(spark, folder, name).createOrReplaceTempView(name)
+    columns, rows, _ = guard.run_sql(spark, REPORT)
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
 
 
 @query(

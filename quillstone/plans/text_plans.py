@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quillstone import fixed_values as fixed
@@ -13,6 +14,7 @@ from quillstone.operators.chunking import trust_headings
 from quillstone.plans import duck
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, UPLOAD, derived, duck_select, markdown_docs
 from quillstone.plans.registry import query
+from quillstone.session import work_dir
 from quillstone.sources import files
 from quillstone.sources.tables import chunk_lines, list_table, table, texts
 
@@ -293,3 +295,43 @@ def trust_headings_query(spark, folder):
 @query("html_to_markdown")
 def html_to_markdown(spark, folder):
     return files.html_to_markdown(texts(spark, folder, "pages"), "page_id", "html")
+
+
+# Documents as files of several types, each a few of them empty, badly encoded or too large.
+FILE_NAME = "CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.exe' WHEN 3 THEN '.pdf' ELSE '.Markdown' END"
+FILE_LIMIT_MB = 0.005
+
+
+def written_files(spark, folder):
+    """Writes one file per document to the shared folder, in folders by their number."""
+    target = work_dir(spark, "files")
+
+    def write(batches):
+        for batch in batches:
+            for doc_id, name, text in zip(batch["doc_id"], batch["name"], batch["text"]):
+                system, root = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+                system.create_dir(f"{root}/{doc_id % 16}")
+                body = b"" if doc_id % 11 == 0 else (text or "").encode() + (b"\xff" if doc_id % 13 == 0 else b"")
+                with system.open_output_stream(f"{root}/{doc_id % 16}/{name}") as out:
+                    out.write(body)
+            yield batch[["doc_id"]]
+
+    docs = texts(spark, folder, "documents").selectExpr("doc_id", f"{FILE_NAME} AS name", "text")
+    docs.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return target
+
+
+@query(
+    "ingest_files",
+    f"""
+    WITH f AS (SELECT {FILE_NAME} AS filename, doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE coalesce(text, '') END AS text FROM documents),
+    t AS (SELECT *, lower(regexp_extract(filename, '([^.]*)$', 1)) AS filetype, strlen(text) + CASE WHEN doc_id % 13 = 0 AND doc_id % 11 > 0 THEN 1 ELSE 0 END AS size FROM f),
+    e AS (SELECT *, CASE WHEN size = 0 THEN 'empty_file' WHEN filetype NOT IN {duck.in_list(fixed.ENABLED_FORMATS)} THEN 'unsupported_type'
+                         WHEN size > {int(FILE_LIMIT_MB * 1024 * 1024)} THEN 'too_large' WHEN filetype NOT IN {duck.in_list(fixed.DIRECT_FORMATS)} THEN 'needs an external converter'
+                         WHEN doc_id % 13 = 0 THEN 'not_utf8' END AS error FROM t)
+    SELECT filename, filetype, size, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN md5(text) END AS markdown_md5 FROM e
+    """,
+)
+def ingest_files(spark, folder):
+    found = files.ingest_files(spark, written_files(spark, folder), max_mb=FILE_LIMIT_MB)
+    return found.select("filename", "filetype", "size", "status", "error", F.md5("markdown").alias("markdown_md5"))

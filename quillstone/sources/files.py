@@ -19,7 +19,7 @@ def file_type(filename: Column) -> Column:
 
 
 def gate_format(
-    files: DataFrame, formats: list[str] = fixed.ENABLED_FORMATS, max_mb: int = fixed.MAX_FILE_MB
+    files: DataFrame, formats: list[str] = fixed.ENABLED_FORMATS, max_mb: float = fixed.MAX_FILE_MB
 ) -> DataFrame:
     """Adds reject_reason (null for accepted files) and requires_conversion to (filetype, size) rows."""
     reason = (
@@ -57,40 +57,68 @@ def converted_name(filename: Column) -> Column:
     return F.concat(F.regexp_replace(name, r'[\\/:*?"<>|]', "_"), F.lit(".converted.md"))
 
 
-def ingest_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder as documents: direct formats decoded, HTML converted, anything else marked unsupported.
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files of length zero below a folder, which Spark's file scan does not list."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and status.getPath().getName()[0] not in "._":
+            out.append(status.getPath().toString())
+    return out
 
-    Files of length zero are left out by the file scan and do not become documents.
+
+def ingest_files(spark: SparkSession, path: str, max_mb: float = fixed.MAX_FILE_MB) -> DataFrame:
+    """Files below a folder as documents: (doc_id, filename, filetype, size, markdown, status, error).
+
+    Texts are read once, of files whose type is read here and whose length passes the gate; the others are judged by
+    name and length alone. A file that is not UTF-8 fails alone, an empty one is rejected like other files.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    filename = F.substring_index("path", "/", -1)
-    files = raw.select(
-        F.sha1("path").alias("doc_id"),
-        filename.alias("filename"),
-        file_type(filename).alias("filetype"),
-        F.col("length").alias("size"),
-        F.decode("content", "UTF-8").alias("body"),
-    )
-    gated = gate_format(files)
-    direct = gated.where(F.col("reject_reason").isNull() & ~F.col("requires_conversion"))
-    html = gated.where(F.col("reject_reason").isNull() & (F.col("filetype") == "html"))
-    other = gated.where(
-        F.col("reject_reason").isNotNull() | (F.col("requires_conversion") & (F.col("filetype") != "html"))
-    )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    readable = [*fixed.DIRECT_FORMATS, "html"]
+    limit = int(max_mb * 1024 * 1024)
+
+    def named(files: DataFrame) -> DataFrame:
+        filename = F.substring_index("path", "/", -1)
+        return files.withColumns({"doc_id": F.sha1("path"), "filename": filename, "filetype": file_type(filename)})
+
+    kind = file_type(F.substring_index("path", "/", -1))
+    taken = (F.col("length") <= limit) & kind.isin(readable)
+    empty = spark.createDataFrame([(p, 0) for p in empty_files(spark, path)], "path string, length long")
+    rest = named(found.where(~taken).select("path", "length").unionByName(empty)).withColumnRenamed("length", "size")
     columns = ["doc_id", "filename", "filetype", "size"]
-    converted = html_to_markdown(html, "doc_id", "body")
-    return (
-        direct.select(*columns, F.col("body").alias("markdown"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-        .unionByName(html.select(*columns).join(converted, "doc_id"))
-        .unionByName(
-            other.select(
-                *columns,
-                F.lit(None).cast("string").alias("markdown"),
-                F.lit("failed").alias("status"),
-                F.coalesce("reject_reason", F.lit("needs an external converter")).alias("error"),
-            )
-        )
+    judged = gate_format(rest, max_mb=max_mb).select(
+        *columns,
+        F.lit(None).cast("string").alias("markdown"),
+        F.lit("failed").alias("status"),
+        F.coalesce("reject_reason", F.lit("needs an external converter")).alias("error"),
+    )
+    body = F.col("content").cast("string")
+    texts = named(found.where(F.col("length") <= limit).where(kind.isin(readable))).select(
+        "doc_id", "filename", "filetype", F.col("length").alias("size"), F.when(F.is_valid_utf8(body), body).alias("body")
     )
+    return judged.unionByName(_converted(texts, columns))
+
+
+def _converted(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Bodies as Markdown: direct formats as they are, HTML converted; a null body is one that is not UTF-8."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, body in zip(batch["filetype"], batch["body"]):
+                if body is None:
+                    rows.append((None, "failed", "not_utf8"))
+                elif kind != "html":
+                    rows.append((body, "success", None))
+                else:
+                    rows.append(_page_row(body))
+            told = pd.DataFrame(rows, columns=["markdown", "status", "error"], dtype=object)
+            yield pd.concat([batch[columns].reset_index(drop=True), told], axis=1)
+
+    return texts.mapInPandas(run, "doc_id string, filename string, filetype string, size long, markdown string, status string, error string")
 
 
 class _Page(HTMLParser):
@@ -138,18 +166,21 @@ def _page_markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def _page_row(body: str | None) -> tuple[str | None, str, str | None]:
+    """(markdown, status, error) of one page."""
+    try:
+        text = _page_markdown(body or "")
+    except Exception as error:  # noqa: BLE001
+        return None, "failed", str(error)
+    return (text, "success", None) if text else (None, "failed", "no text found")
+
+
 def html_to_markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, markdown, status, error); a page that cannot be read or has no text fails alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, body in zip(batch[key], batch[html]):
-                try:
-                    text = _page_markdown(body or "")
-                    rows.append((name, text, "success", None) if text else (name, None, "failed", "no text found"))
-                except Exception as error:  # noqa: BLE001
-                    rows.append((name, None, "failed", str(error)))
+            rows = [(name, *_page_row(body)) for name, body in zip(batch[key], batch[html])]
             yield pd.DataFrame(rows, columns=[key, "markdown", "status", "error"])
 
     kind = pages.schema[key].dataType.simpleString()

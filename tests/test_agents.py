@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillstone import fixed_values as fixed
@@ -335,12 +336,20 @@ def test_guard(spark):
         "SELECT 'update'": reasons["mutating"],
         "SELECT updated_at FROM t;": None,
         "select * from information_schema.tables": reasons["dangerous"],
+        "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hostname`": reasons["dangerous"],
+        "SELECT * FROM org.apache.spark.sql.execution.datasources.v2.text.TextDataSourceV2.`/etc/hostname`": reasons["dangerous"],
+        "SELECT t.`a b`, u.`c.d` FROM t JOIN u": None,
     }
     df = spark.createDataFrame([(s,) for s in cases], "sql string")
     got = {r.sql: r.r for r in df.select("sql", guard.sql_reject_reason("sql").alias("r")).collect()}
     assert got == cases
     with pytest.raises(guard.SqlRejected):
         guard.guarded_sql(spark, "DROP TABLE t")
+    # paths that the pattern lets through are no relations either
+    for reader in ("org.apache.spark.sql.execution.datasources.text.TextFileFormat", "`text`"):
+        with pytest.raises((guard.SqlRejected, AnalysisException)):
+            guard.guarded_sql(spark, f"SELECT * FROM {reader}.`README.md`")
+    assert spark.conf.get(guard.FILES) == "true"
 
 
 def test_guarded_run(spark):

@@ -151,8 +151,26 @@ def test_files_and_html(spark, tmp_path):
     assert rows["a.md"].markdown == "# t\nx" and rows["a.md"].status == "success"
     assert rows["b.HTML"].markdown == "## T & U\n\none\ntwo\n\n- x"
     assert rows["c.exe"].error == "unsupported_type" and rows["d.pdf"].status == "failed"
-    # Spark's file scan leaves out files of length zero, so an empty upload never becomes a document.
-    assert "e.txt" not in rows
+    assert rows["e.txt"].error == "empty_file" and rows["e.txt"].size == 0
+
+
+def test_one_bad_file_fails_alone(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "bad.txt").write_bytes(b"caf\xe9 au lait")
+    (tmp_path / "sub" / "good.txt").write_text("café", encoding="utf-8")
+    (tmp_path / "large.md").write_text("x" * 5000)
+    (tmp_path / "none.html").write_text("")
+    (tmp_path / "bad.html").write_bytes(b"<p>\xff\xfe")
+    found = files.ingest_files(spark, str(tmp_path), max_mb=0.004)
+    rows = {r.filename: (r.markdown, r.status, r.error) for r in found.collect()}
+    assert rows == {
+        "bad.txt": (None, "failed", "not_utf8"), "good.txt": ("café", "success", None), "large.md": (None, "failed", "too_large"),
+        "none.html": (None, "failed", "empty_file"), "bad.html": (None, "failed", "not_utf8"),
+    }
+    plan = found._jdf.queryExecution().toString()
+    scans = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
+    assert len([x for x in scans if "content" in x.split("ReadSchema")[1]]) == 1 and "LessThanOrEqual(length" in plan
+    assert files.ingest_files(spark, str(tmp_path / "sub")).count() == 2
 
 
 def test_chunk_sink_is_partitioned(spark, tmp_path):
