@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import compact_text
 from quillstone.operators.positions import running
+from quillstone.session import materialise
 
 
 def mark_hits(hits: DataFrame) -> DataFrame:
@@ -132,34 +136,68 @@ def exact_percentiles(
     return ranked.groupBy(key).agg(*columns)
 
 
+# Ranges of near values that the count table is cut into, and the accuracy of the sketch that finds their bounds.
+RANGES, ACCURACY = 256, 10_000
+
+
+def count_table(scored: DataFrame, value: str, positive: Column) -> DataFrame:
+    """(value, pos, neg, pos_upto, neg_upto) of every distinct score, written once; null scores are left out.
+
+    Equal scores are added up first. Ranks come from running counts within ranges whose bounds a mergeable sketch takes
+    from the scores themselves, so ranges are of like size wherever the scores lie; only the sums of the ranges, a
+    bounded number, are carried from one to the next.
+    """
+    yes = F.coalesce(positive, F.lit(False))
+    counts = scored.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"))
+    counts = materialise(counts, "counts")
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = counts.agg(F.percentile_approx("value", shares, F.lit(ACCURACY)).alias("_bounds"))
+    # one row of at most RANGES numbers
+    placed = counts.join(F.broadcast(bounds), F.lit(True)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    carried = sums.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_p", "_n")])
+    within = Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(carried), "_range").select(
+        "value", "pos", "neg",
+        (F.col("_p") + F.sum("pos").over(within)).alias("pos_upto"),
+        (F.col("_n") + F.sum("neg").over(within)).alias("neg_upto"),
+    )
+
+
 PERCENTS = [10, 25, 50, 75, 90]
 
 
 def score_distribution(hits: DataFrame, value: str = "rerank_score") -> DataFrame:
-    """Count, extremes, percentiles and mean of the scores of relevant and other hits."""
+    """Count, extremes, percentiles and mean of the scores of relevant and other hits, all from one count table."""
     shown = hits.where(~F.col("filtered")) if "filtered" in hits.columns else hits
-    classed = shown.select(
-        F.when(F.col("contains_answer"), "positive").otherwise("negative").alias("class"), F.col(value).alias("value")
-    )
-    basics = classed.groupBy("class").agg(
-        F.count("value").alias("count"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-    )
-    return basics.join(exact_percentiles(classed, "class", "value", PERCENTS), "class")
+    ranked = count_table(shown, value, F.col("contains_answer"))
+    classes = {"positive": "pos", "negative": "neg"}
+    totals = ranked.agg(*[F.sum(c).alias(f"_{c}_total") for c in classes.values()])
+    joined = ranked.join(F.broadcast(totals), F.lit(True))  # one row
+    columns = []
+    for name, c in classes.items():
+        n, upto, total, v = F.col(c), F.col(f"{c}_upto"), F.col(f"_{c}_total"), F.col("value")
+        own = F.when(n > 0, v)
+        points = []
+        for p in PERCENTS:
+            place = (total - 1) * (p / 100.0)
+            low = F.floor(place)
+            high = F.least(low + 1, total - 1)
+            left, right = (F.max(F.when((upto - n <= at) & (at < upto), v)) for at in (low, high))
+            share = F.max(place - low)
+            points.append((left * (1 - share) + right * share).alias(f"p{p}"))
+        row = [F.lit(name).alias("class"), F.sum(n).alias("count"), F.min(own).alias("min"), F.max(own).alias("max")]
+        mean = F.try_divide(F.sum(n * v), F.sum(n)).alias("mean")
+        columns.append(F.struct(*row, mean, *points))
+    return joined.agg(F.array(*columns).alias("rows")).select(F.inline("rows")).where("count > 0")
 
 
 def score_auc(scored: DataFrame, value: str, positive: str) -> DataFrame:
-    """Chance that a relevant pair outscores another, ties half; from counts per distinct score."""
-    counts = scored.groupBy(value).agg(
-        F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg")
-    )
-    below = running(
-        counts, [], [value], F.floor(F.col(value) * 1000), sums={"neg_upto": F.col("neg")}
-    )
+    """Chance that a relevant pair outscores another, ties half; read from the count table."""
+    ranked = count_table(scored, value, F.col(positive))
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
-    return below.agg(
+    return ranked.agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         (wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"),
@@ -247,26 +285,50 @@ def score_histogram(scored: DataFrame, value: str, width: float = 0.5) -> DataFr
     )
 
 
+# Cells between two points of the density: weights are split between the two ends of a cell, whose width bounds the error.
+CELLS_PER_STEP = 2048
+
+
 def score_kde(scored: DataFrame, value: str, points: int = 500, width: float = 0.5) -> DataFrame:
     """Gaussian density with Scott's bandwidth on an even grid over the histogram's range.
 
-    Equal scores are added up first, and the sums over the grid are partial aggregates.
+    Every score is split between the two nearest points of a fine grid, in proportion to how near they are. The grid's
+    sums are partial aggregates of bounded number; the kernel is folded in by one convolution, whatever the number of
+    scores. Scores of which fewer than two differ have no bandwidth and a null density.
     """
-    counts = scored.groupBy(value).agg(F.count("*").alias("n"))
     shape = scored.agg(
         F.count(value).alias("total"),
         (F.pow(F.count(value).cast("double"), F.lit(-0.2)) * F.stddev_samp(value)).alias("h"),
         (F.floor(F.min(value) / width) * width).alias("low"),
         (F.ceil(F.max(value) / width) * width).alias("high"),
     )
-    # ``shape`` is one row.
-    rows = counts.join(F.broadcast(shape), F.lit(True)).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    x = F.col("low") + F.col("i") * (F.col("high") - F.col("low")) / (points - 1)
-    bump = F.col("n") * F.exp(-0.5 * F.pow((x - F.col(value)) / F.col("h"), F.lit(2.0)))
-    scale = F.col("total") * F.col("h") * (2 * 3.141592653589793) ** 0.5
-    return rows.groupBy("i").agg(F.first(x).alias("x"), F.sum(bump / scale).alias("density"))
+    cells = (points - 1) * CELLS_PER_STEP
+    # ``shape`` is one row
+    place = F.coalesce(F.try_divide((F.col(value) - F.col("low")) * cells, F.col("high") - F.col("low")), F.lit(0.0))
+    placed = scored.where(F.col(value).isNotNull()).join(F.broadcast(shape), F.lit(True)).select(place.alias("place"))
+    cell = F.least(F.floor("place"), F.lit(cells - 1))
+    ends = F.array(F.struct(cell.alias("cell"), (1 - (F.col("place") - cell)).alias("w")), F.struct((cell + 1).alias("cell"), (F.col("place") - cell).alias("w")))
+    grid = placed.select(F.inline(ends)).groupBy("cell").agg(F.sum("w").alias("w"))
+    one = grid.agg(F.collect_list("cell").alias("cells"), F.collect_list("w").alias("ws")).join(F.broadcast(shape), F.lit(True))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                x = np.linspace(row.low, row.high, points) if row.total else np.full(points, np.nan)
+                density = np.full(points, np.nan)
+                if row.total and row.h and row.high > row.low:
+                    weights = np.zeros(cells + 1)
+                    weights[np.asarray(row.cells, int)] = row.ws
+                    step = (row.high - row.low) / cells
+                    reach = min(cells, int(np.ceil(40 * row.h / step)))
+                    kernel = np.exp(-0.5 * np.square(np.arange(-reach, reach + 1) * step / row.h))
+                    size = len(weights) + len(kernel) - 1
+                    both = np.fft.irfft(np.fft.rfft(weights, size) * np.fft.rfft(kernel, size), size)
+                    density = both[reach : reach + cells + 1 : CELLS_PER_STEP] / (row.total * row.h * np.sqrt(2 * np.pi))
+                yield pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": x, "density": density})
+
+    found = one.mapInPandas(fold, "i int, x double, density double")
+    return found.select("i", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "density")])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -338,18 +338,32 @@ def stale_run_stream(spark, folder):
     return spark.read.schema(failed.schema).parquet(f"{target}/out")
 
 
+# Users as sessions of nine agents: intervals that are missing, too short, too long and their own; one agent is off.
+AGENT_SETTINGS = [
+    "user_id % 9 AS agent_id",
+    "user_id % 9 <> 4 AS auto_memory_enabled",
+    "CASE user_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 90 ELSE user_id % 9 + 1 END AS auto_memory_interval",
+]
+
+
 @query(
     "memory_trigger_stream",
-    """
-    SELECT session_id, unnest(range(n // 3)) AS batch_no FROM (SELECT user_id AS session_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1)
+    f"""
+    WITH a AS (SELECT DISTINCT {', '.join(AGENT_SETTINGS)} FROM events),
+    n AS (SELECT user_id, user_id % 9 AS agent_id, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN auto_memory_interval IS NULL THEN 10 ELSE greatest(3, least(50, auto_memory_interval)) END AS i FROM n JOIN a USING (agent_id) WHERE auto_memory_enabled),
+    t AS (SELECT agent_id, user_id, i, unnest(range(n // i)) AS batch_no FROM d)
+    SELECT agent_id::VARCHAR AS agent_id, user_id::VARCHAR AS session_id, batch_no, (batch_no + 1) * i AS processed FROM t
     """,
 )
 def memory_trigger_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    log = rows.select(F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"))
+    log = rows.select(F.col("user_id").alias("session_id"), F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant").alias("role"))
+    users = table(spark, folder, "events")
+    sessions = users.select(F.col("user_id").alias("session_id"), (F.col("user_id") % 9).alias("agent_id")).distinct()
     target = work_dir(spark, "memory-trigger")
-    due = memory_trigger.memory_trigger_stream(log, 3)
+    due = memory_trigger.memory_trigger_stream(log, sessions, users.selectExpr(*AGENT_SETTINGS).distinct())
     writer = due.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("session_id bigint, batch_no bigint").parquet(f"{target}/out")
+    return spark.read.schema(due.schema).parquet(f"{target}/out")

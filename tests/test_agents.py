@@ -295,17 +295,23 @@ def test_watermarked_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == len(RUN)
 
 
-def test_memory_trigger_keeps_its_count_between_batches(spark, tmp_path):
+def test_memory_trigger_follows_each_agent(spark, tmp_path):
+    """Own, missing and clamped intervals, an agent that is off, counts that go on over batches, an interval that changes."""
     schema = "session_id string, role string"
-    for part, users in enumerate([2, 2, 5]):
-        rows = [("s", "user")] * users + [("s", "assistant")] * 3 + [("r", "user")]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sessions = spark.createDataFrame([("s", "a"), ("r", "b"), ("q", "c"), ("off", "d"), ("lost", "none")], "session_id string, agent_id string")
+    out = tmp_path / "o"
+    for part, users in enumerate([2, 2, 5, 6]):
+        rows = [("s", "user")] * users + [("s", "assistant")] * 3 + [("r", "user")] * 4 + [("q", "user")] * 20 + [("off", "user")] * 9 + [("lost", "user"), (None, "user")]
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        agents = [("a", True, 3 if part < 3 else 5), ("b", True, None), ("c", True, 400), ("d", False, 3)]
         log = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        due = memory_trigger.memory_trigger_stream(log, 3)
-        writer = due.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+        due = memory_trigger.memory_trigger_stream(log, sessions, spark.createDataFrame(agents, "agent_id string, auto_memory_enabled boolean, auto_memory_interval int"))
+        writer = due.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c"))
         writer.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("session_id string, batch_no bigint").parquet(str(tmp_path / "o"))
-    assert sorted((r.session_id, r.batch_no) for r in out.collect()) == [("r", 0), ("s", 0), ("s", 1), ("s", 2)]
+    found = spark.read.schema(due.schema).parquet(str(out)).collect()
+    # s: 2, 4, 9 messages by threes, then 15 by fives from 9 on; r: 16 by tens; q: 80 by fifties
+    want = [("a", "s", 0, 3), ("a", "s", 1, 6), ("a", "s", 2, 9), ("a", "s", 3, 14), ("b", "r", 0, 10), ("c", "q", 0, 50)]
+    assert sorted(map(tuple, found)) == want
 
 
 def test_stale_and_unknown_traces(spark):

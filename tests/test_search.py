@@ -175,6 +175,27 @@ def test_percentiles_auc_and_density(spark):
     h = len(values) ** -0.2 * values.std(ddof=1)
     want = np.exp(-0.5 * ((curve[250].x - values) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi))
     assert len(curve) == 500 and curve[250].density == pytest.approx(want)
+    direct = np.exp(-0.5 * ((np.array([[r.x] for r in curve]) - values) / h) ** 2).mean(axis=1) / (h * np.sqrt(2 * np.pi))
+    assert np.abs(direct - np.array([r.density for r in curve])).max() < 1e-9
+    plan = mt.score_kde(df, "rerank_score")._jdf.queryExecution().toString()
+    assert "range(" not in plan and "sequence(" not in plan
+
+
+def test_distributions_of_few_and_crowded_scores(spark):
+    """Scores within a millionth of each other, no scores, one score, one class, null scores."""
+    shape = "rerank_score double, contains_answer boolean"
+    crowded = [(1e6 + i * 1e-7, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(crowded, shape)
+    values, hit = np.array([v for v, _ in crowded]), np.array([h for _, h in crowded])
+    out = {r["class"]: r for r in mt.score_distribution(df).collect()}
+    assert out["positive"].p90 == pytest.approx(np.percentile(values[hit], 90), rel=1e-12) and out["negative"]["count"] == 2000
+    pairs = values[hit][:, None] - values[~hit][None, :]
+    assert mt.score_auc(df, "rerank_score", "contains_answer").first().auc == pytest.approx(((pairs > 0) + 0.5 * (pairs == 0)).mean())
+    one = spark.createDataFrame([(0.5, True), (None, False)], shape)
+    assert [(r["class"], r["count"], r.p10, r["mean"]) for r in mt.score_distribution(one).collect()] == [("positive", 1, 0.5, 0.5)]
+    assert mt.score_auc(one, "rerank_score", "contains_answer").first().auc is None
+    assert {r.density for r in mt.score_kde(one, "rerank_score").collect()} == {None}
+    assert mt.score_distribution(one.where("false")).count() == 0 and mt.score_kde(one.where("false"), "rerank_score").count() == 500
 
 
 def test_percentiles_interpolate(spark):
