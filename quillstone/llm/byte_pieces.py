@@ -41,11 +41,11 @@ def single_spaced(text: str, data: bytes) -> bool:
     return not RUN.search(text)
 
 
-def parts(text: str) -> Iterator[str]:
-    """A long text in parts of about BLOCK_CHARS; all but the first begin with a single space between visible characters."""
+def parts(text: str, block: int = BLOCK_CHARS) -> Iterator[str]:
+    """A long text in parts of about ``block`` characters; all but the first begin with a single space between visible characters."""
     at = 0
-    while len(text) - at > BLOCK_CHARS:
-        found = CUT.search(text, at + BLOCK_CHARS)
+    while len(text) - at > block:
+        found = CUT.search(text, at + block)
         if found is None:
             break
         yield text[at : found.start()]
@@ -56,9 +56,10 @@ def parts(text: str) -> Iterator[str]:
 class PieceEncoder:
     """Encodes batches of texts; ids come back as little-endian unsigned 32-bit bytes, without special tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, block: int = BLOCK_CHARS) -> None:
         from tokenizers import Tokenizer
 
+        self.block = block
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -194,9 +195,9 @@ class PieceEncoder:
         for t in each:
             data = t.encode("utf-8", "surrogatepass")
             spaced = self.cuts and single_spaced(t, data)
-            long = self.cuts and len(t) > BLOCK_CHARS
-            for d in (p.encode("utf-8", "surrogatepass") for p in parts(t)) if long else (data,):
-                if volume[spaced] + len(d) > BLOCK_CHARS:
+            long = self.cuts and len(t) > self.block
+            for d in (p.encode("utf-8", "surrogatepass") for p in parts(t, self.block)) if long else (data,):
+                if volume[spaced] + len(d) > self.block:
                     flush(spaced)
                 waiting[spaced].append((t, d))
                 volume[spaced] += len(d)
@@ -211,13 +212,16 @@ def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pool[shift + np.arange(len(shift))]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder. It is kept between tasks: loading it takes as long as some hundred texts, a new table is
-    met by pieces that the old one knew, and both are of bounded size."""
+def encoder(path: str, block: int = BLOCK_CHARS) -> PieceEncoder:
+    """This worker's encoder for blocks of about ``block`` characters: larger ones take less time and more memory.
+
+    It is kept between tasks: loading it takes as long as some hundred texts, a new table is met by pieces that the old
+    one knew, and both are of bounded size.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, block) not in _encoders:
+        _encoders[path, block] = PieceEncoder(path, block)
+    return _encoders[path, block]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.byte_pieces import encoder
+from quillstone.llm.byte_pieces import BLOCK_CHARS, encoder
 from quillstone.llm.common import in_blocks, materialise, text_batches, tidy
 
 SEQUENCE = 2048
@@ -24,7 +24,7 @@ WIDER = 8
 SEARCH_NODES = 400_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents with their end id, cut where longer than ``capacity``.
 
     All pieces of a cut document but the first are full; the first has the rest.
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> D
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        enc, end = encoder(tokenizer, block_chars), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in in_blocks(batch, "text"):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -249,12 +249,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int =
     return pieces.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, shape)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def best_fit_packing(
+    docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, shard_pieces: int = SHARD_PIECES, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null or empty text is one piece of the end id alone. Rows that repeat a doc_id are packed as documents of their
-    own. Columns besides doc_id and text are not looked at; an empty table gives an empty result.
+    own. Columns besides doc_id and text are not looked at; an empty table gives an empty result. ``block_chars`` is what
+    is encoded at once: more of it takes less time and more of a worker's memory, with the same ids.
     """
     with text_batches(docs.sparkSession):
-        pieces = materialise(token_pieces(docs, tokenizer, capacity), "pieces")
+        pieces = materialise(token_pieces(docs, tokenizer, capacity, block_chars), "pieces")
     return pack_pieces(pieces, capacity, shard_pieces)

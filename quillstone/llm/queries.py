@@ -114,7 +114,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_file())
+    return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_file(), block_chars=1 << 19)
 
 
 @query("op7_outliers")

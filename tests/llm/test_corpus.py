@@ -309,14 +309,14 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_pieces_equal_whole_texts(tokens, monkeypatch):
+def test_pieces_equal_whole_texts(tokens):
     enc = byte_pieces.PieceEncoder(tokenizer_file())
     texts = ["".join(rng.choice(" \n\tab,.1'é<日t") for _ in range(rng.randrange(30))) for _ in range(3000)]
     texts += ["don't. we'll, x", "a <|endoftext|> b", "z" * 300 + " y", "a\xa0b c", "", " ", "\n"] + [r[1] or "" for r in odd_rows()]
     want = [np.array(tokens(t), "<u4").tobytes() for t in texts]
     assert enc.encode(texts) == want and enc.encode(texts) == want
-    monkeypatch.setattr(byte_pieces, "BLOCK_CHARS", 7)  # longer texts are encoded in parts
-    assert enc.encode(texts) == want
+    for block in (7, 1 << 19):  # texts longer than a block are encoded in parts
+        assert byte_pieces.PieceEncoder(tokenizer_file(), block).encode(texts) == want
 
 
 def test_token_records(docs, none, tokens, tmp_path):
