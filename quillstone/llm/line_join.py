@@ -1,43 +1,42 @@
 """Line dedup: a segment-partition edit join over distinct lines.
 
 How many edits make a near-equal line follows from the length of the shorter one (``edits_for``). Lines within k edits
-share one of k + 1 segments of the shorter line, at a place that the lengths narrow down. Each line indexes its own
-segments and probes those of lines up to k shorter. Long lines, which allow more edits, share an unedited run instead:
-the least hash of the grams of every window as long as that run is a key of both. Lines that meet at a key are verified
-by bit-parallel edit distance.
+share one of k + 1 segments of the shorter line, at a place that the lengths and the segment's number narrow down. Each
+line indexes its own segments; its other substrings that may equal a segment of a line up to k shorter are probes. Probes
+are held against a bit filter of the index keys where the texts lie, so that few of them are shuffled. Lines that meet at
+a key are verified by banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BASE, INVERSE, bit_filter, flag_by_filter, in_blocks, materialise, mix, powers, tidy
+from quillstone.llm.common import BASE, INVERSE, bit_filter, flag_by_filter, in_blocks, materialise, mix, powers, text_batches, tidy
 from quillstone.llm.components import components
 
 # None: as many edits as edits_for gives for the shorter line. A number holds for every length.
 THRESHOLD: int | None = None
 # Shorter lines are compared exactly only: one edit makes another line of them.
 SHORTEST = 20
-# From this length on lines meet by grams. k = length // 50 edits leave an unedited run of RUN characters or more:
-# (length - k) / (k + 1), rounded up. A window of RUN - GRAM + 1 grams is as long as that run.
-LONG, RUN, GRAM = 200, 40, 20
+# From this length on segments have WIDTH characters: length // 50 + 1 of them fit, one more than the edits. Their keys
+# need not name the line's length, and those from the FAR-th on do not name their number either, which bounds the probes
+# of a line by its length.
+LONG, WIDTH, FAR = 200, 40, 32
 # Groups up to this size are compared pair by pair; larger ones find their pairs by keys or in blocks.
 PAIRWISE = 48
 BLOCK = 20_000
+# The filter of index keys has 16 bits for each key up to this many words of 64 bits (8 MB), and is fuller beyond.
+PROBE_WORDS = 1 << 20
+# Lines that a task remembers to look at repeated ones once.
+REMEMBERED = 1 << 18
 
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def line_key(line: str) -> int:
-    return signed(xxhash.xxh64_intdigest(line))
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def edits_for(length: int, threshold: int | None) -> int:
@@ -58,55 +57,93 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(line: str, threshold: int | None) -> set[int]:
-    """Keys at which this line meets those within ``threshold`` edits: its own segments, and the substrings that may
-    equal a segment of a line up to ``threshold`` shorter. Without a number, the edits follow from the shorter line's
-    length, and shorter lines from LONG on are left to :func:`gram_keys`.
+def _places(rows: list[tuple[int, int, int]]) -> Places:
+    table = np.array(rows, np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2].astype(np.uint64)
+
 
-    If segment i is the first that no edit touches, at most i edits lie before it; if the edits are counted from the end,
-    at most threshold - i lie behind it. Both bound the shift, which leaves few substrings.
+def own_places(n: int, threshold: int | None) -> Places:
+    """Starts, sizes and tags of the segments of a line with ``n`` characters."""
+    most = edits_for(n, threshold)
+    if threshold is None and n >= LONG:
+        return _places([(i * WIDTH, WIDTH, min(i, FAR)) for i in range(most + 1)])
+    return _places([(start, size, n << 6 | i) for i, (start, size) in enumerate(segments(n, most))] if n > most else [])
+
+
+def probe_places(n: int, threshold: int | None) -> Places:
+    """Starts, sizes and tags of the substrings of a line with ``n`` characters that may equal a segment of another line
+    of as many or fewer characters; its own segments are left out.
+
+    Some segment i is untouched with exactly i edits before it and at most k - i behind it: the first one at which the
+    edits so far are no more than the segments so far less one. Both bound the shift, which leaves few substrings.
     """
-    keys = set()
-    n = len(line)
-    for length in range(max(1, n - edits_for(n, threshold)), n + 1 if threshold is not None else min(n + 1, LONG)):
+    rows = []
+    top = edits_for(n, threshold)
+    for length in range(max(1, n - top), n + 1 if threshold is not None else min(n + 1, LONG)):
         more, most = n - length, edits_for(length, threshold)
         if more > most or length <= most:
             continue
         for i, (start, size) in enumerate(segments(length, most)):
             low = max(0, start - i, start + more - (most - i))
             high = min(n - size, start + i, start + more + (most - i))
-            for at in range(low, high + 1):
-                keys.add(signed(xxhash.xxh64_intdigest(line[at : at + size], seed=(length * 64 + i) & 0xFFFFFFFF)))
-    return keys
-
-
-def gram_keys(lines: list[str]) -> list[np.ndarray]:
-    """Per line of LONG or more characters the least gram hash of every window of RUN characters, each once."""
-    if not lines:
-        return []
+            rows += [(at, size, length << 6 | i) for at in range(low, high + 1) if more or at != start]
+    if threshold is not None or n < LONG:
+        return _places(rows)
+    for i in range(min(top + 1, FAR)):
+        start = i * WIDTH
+        ends = max(0, start - min(i, top - i)), min(n - WIDTH, start + i)
+        rows += [(at, WIDTH, i) for at in range(ends[0], ends[1] + 1) if at != start]
+    start, size, tag = _places(rows)
+    far = np.zeros(n, bool)
+    for i in range(FAR, top + 1):
+        far[i * WIDTH - min(i, top - i) : min(n - WIDTH, i * WIDTH + i) + 1] = True
+    far[FAR * WIDTH : top * WIDTH + 1 : WIDTH] = False
+    at = np.flatnonzero(far)
+    return np.concatenate([start, at]), np.concatenate([size, np.full(len(at), WIDTH)]), np.concatenate([tag, np.full(len(at), FAR, np.uint64)])
+
+
+@functools.lru_cache(maxsize=1024)
+def _short_places(probes: bool, n: int, threshold: int | None) -> Places:
+    return (probe_places if probes else own_places)(n, threshold)
+
+
+def keys_at(lines: list[str], probes: bool, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments or of the probes of all lines, and the number of keys of each line.
+
+    A key is a polynomial hash of the substring, read from prefix sums over all lines, mixed with its tag.
+    """
+    find = [(_short_places if len(x) < 1000 else _short_places.__wrapped__)(probes, len(x), threshold) for x in lines]
+    many = np.array([len(p[0]) for p in find], np.int64)
+    if not many.sum():
+        return np.empty(0, np.uint64), many
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     n = len(codes)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(codes * powers(BASE, n)[:n], out=sums[1:])
-    low = mix((sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, n + 1)[: n - GRAM + 1])
-    size, window = 1, RUN - GRAM + 1
-    while size < window:  # least of ``size`` neighbours, doubled until the window is full
-        step = min(size, window - size)
-        low = np.minimum(low[:-step], low[step:])
-        size += step
-    ends = np.cumsum([len(x) for x in lines]).tolist()
-    return [np.unique(low[end - len(x) : end - RUN + 1]).view(np.int64) for x, end in zip(lines, ends)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lines])])[:-1]
+    start = np.concatenate([p[0] for p in find]) + np.repeat(first, many)
+    end = start + np.concatenate([p[1] for p in find])
+    tags = np.concatenate([p[2] for p in find])
+    return mix((sums[end] - sums[start]) * powers(INVERSE, n + 1)[start] + tags * np.uint64(0xD6E8FEB86659FD93)), many
+
+
+def segment_keys(line: str, threshold: int | None) -> set[int]:
+    """All keys at which this line meets those within ``threshold`` edits, its own segments and its probes."""
+    return {x for probes in (False, True) for x in keys_at([line], probes, threshold)[0].tolist()}
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance where it is at most ``most``, else most + 1.
 
-    Common ends go first. The rest is Myers' bit-parallel method with the whole column in one integer; it stops when the
-    value on the diagonal that leads to the end cannot come back to ``most``, which keeps the work within the band.
+    Common ends go first. The rest is the bit-parallel method within a band: 2 * most + 1 rows, one row further down with
+    each column. What lies outside the band counts as no better than its neighbours, which changes no distance up to
+    ``most``. The value followed is that on the diagonal that leads to the end; it never falls.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    low, high = 0, min(len(a), len(b))
+    if len(a) < len(b):
+        a, b = b, a
+    low, high = 0, len(b)
     while low < high:  # length of the common start
         middle = (low + high + 1) // 2
         if a[low:middle] == b[low:middle]:
@@ -114,7 +151,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
         else:
             high = middle - 1
     a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
+    low, high = 0, len(b)
     while low < high:
         middle = (low + high + 1) // 2
         if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
@@ -122,23 +159,34 @@ def edit_distance(a: str, b: str, most: int) -> int:
         else:
             high = middle - 1
     a, b = a[: len(a) - low], b[: len(b) - low]
-    if not a or not b:
-        return min(max(len(a), len(b)), most + 1)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        equal = places.get(c, 0)
-        zero = (((equal & up) + up) ^ up) | equal | down
-        plus, minus = down | (full & ~(zero | up)), up & zero
-        score += bool(plus & last) - bool(minus & last)
-        if score - (len(b) - j - 1) > most:
+    n, score = len(a), len(a) - len(b)
+    if not b:
+        return min(n, most + 1)
+    top = 2 * most
+    full = (1 << top + 1) - 1
+    end = most + score  # bit of the followed diagonal
+    # up, down: rows whose value is one above or below that of the row before, in the last column. Bit t of column j
+    # (from 1) is row j - most + t. The window of a character has the rows where it stands, as of the column given.
+    up, down = full >> most << most, 0
+    windows: dict[str, tuple[int, int]] = {}
+    for i in range(min(most, n)):  # rows 1 to most enter with column 1, below its last row
+        bits = windows.get(a[i], (0, 1))[0]
+        windows[a[i]] = bits | 1 << most + i, 1
+    for j, c in enumerate(b, 1):
+        if j + most <= n:
+            entered = a[j + most - 1]
+            bits, at = windows.get(entered, (0, j))
+            windows[entered] = bits >> j - at | 1 << top, j
+        bits, at = windows.get(c, (0, j))
+        equal = bits >> j - at
+        zero = ((((equal & up) + up) ^ up) | equal | down) & full
+        plus, minus = down | (full & ~(zero | up)), zero & up
+        score += not zero >> end & 1
+        if score > most:
             return most + 1
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | (full & ~(zero | plus)), plus & zero
-    return min(score, most + 1)
+        zero >>= 1
+        up, down = minus | (full & ~(zero | plus)), zero & plus
+    return score
 
 
 def one_edit_pairs(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -228,43 +276,64 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), cut).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def keyed_lines(docs: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
-    """(doc_id, pos, key, segs): segs are the segment keys of lines long enough for the edit join."""
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, key): key is a 64-bit hash of the line."""
+    return lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("key"))
+
+
+def segment_rows(docs: DataFrame, threshold: int | None, shortest: int, words: np.ndarray | None = None) -> DataFrame:
+    """(seg, key): the segments of each line of ``shortest`` or more characters; or, where the words of a bit filter are
+    given, the line's probes that pass it. Lines repeated within a task come once as far as it remembers them."""
+    told = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in in_blocks(batch, "line"):
-                lines = part.column(2).to_pylist()
-                seen: dict[str, tuple[int, list[int]]] = {}
-                for line in lines:
-                    if line not in seen:
-                        seen[line] = line_key(line), list(segment_keys(line, threshold)) if len(line) >= shortest else []
-                long = [x for x in seen if len(x) >= max(LONG, shortest)] if threshold is None else []
-                for line, grams in zip(long, gram_keys(long)):
-                    seen[line][1].extend(grams.tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([seen[x][0] for x in lines], pa.int64()),
-                        pa.array([seen[x][1] for x in lines], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "pos", "key", "segs"],
-                )
-
-    return lines_of(docs).mapInArrow(tidy(run), "doc_id long, pos int, key long, segs array<long>")
-
-
-def line_links(docs: DataFrame, keyed: DataFrame, threshold: int | None, block: int = BLOCK) -> DataFrame:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                fresh = {k: x for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if k not in seen}
+                seen.update(fresh)
+                found, many = keys_at(list(fresh.values()), told is not None, threshold)
+                owner = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), many)
+                if told is not None and len(found):
+                    bits = told.value
+                    there = bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] >> (found >> np.uint64(58)) & np.uint64(1)
+                    found, owner = found[there == 1], owner[there == 1]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(owner)], names=["seg", "key"])
+
+    long = lines_of(docs).where(F.length("line") >= shortest).select(F.xxhash64("line").alias("key"), "line")
+    return long.mapInArrow(tidy(run), "seg long, key long")
+
+
+def filter_words(index: DataFrame) -> np.ndarray:
+    """The words of a bit filter over ``seg``: 16 bits for each row, PROBE_WORDS words at most."""
+    size = 1024
+    rows = index.count()
+    while size < PROBE_WORDS and size * 4 < rows:
+        size *= 2
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("seg", 58).cast("int"))
+    table = index.groupBy(F.col("seg").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(size, np.uint64)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def line_links(docs: DataFrame, threshold: int | None, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between line keys.
 
-    Segments that only one line has are dropped by a minimum and a maximum, summed before the shuffle. Segments with
-    the same lines are looked at once. A group beyond ``block`` lines is cut into blocks and each two of them meet, so
-    no task holds more than two blocks.
+    Index keys are written first; probes that pass the filter of them follow. Keys that only one line has are dropped by
+    a minimum and a maximum, summed before the shuffle. Keys with the same lines are looked at once. A group beyond
+    ``block`` lines is cut into blocks and each two of them meet, so no task holds more than two blocks.
     """
-    met = keyed.select(F.explode("segs").alias("seg"), "key")
+    with text_batches(docs.sparkSession, 10_000):
+        index = materialise(segment_rows(docs, threshold, shortest), "index")
+        probes = materialise(segment_rows(docs, threshold, shortest, filter_words(index)), "probes")
+    met = index.unionByName(probes)
     several = met.groupBy("seg").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low < _high")
-    members = materialise(met.join(several.select("seg"), "seg").distinct(), "segments")
+    several = materialise(several.select("seg"), "several")
+    maybe = flag_by_filter(met, F.col("seg"), bit_filter(several, F.col("seg"))).where("__maybe").select("seg", "key")
+    members = materialise(maybe.join(several, "seg", "left_semi").distinct(), "segments")
     groups = (
         members.groupBy("seg")
         .agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("key")).alias("_x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("_y"))
@@ -279,12 +348,7 @@ def line_links(docs: DataFrame, keyed: DataFrame, threshold: int | None, block:
     placed = members.join(groups, "seg").withColumn("_own", own).withColumn("_other", F.explode(others))
     placed = placed.select("seg", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "key")
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([line_key(x) for x in lines], pa.int64()), batch.column(0)], names=["key", "line"])
-
-    texts = lines_of(docs).select("line").mapInArrow(tidy(keys_of), "key long, line string")
+    texts = lines_of(docs).select(F.xxhash64("line").alias("key"), "line")
     wanted = members.select("key").distinct()
     flagged = flag_by_filter(texts, F.col("key"), bit_filter(wanted, F.col("key"))).where("__maybe").select("key", "line")
     # one copy of each line: equal keys are equal lines, and the group needs no text but as its key
@@ -320,8 +384,10 @@ def line_classes(docs: DataFrame, threshold: int | None = THRESHOLD, shortest: i
     shorter line. A class holds the lines that links connect; its first line by doc_id and position stays, all others go, repeated
     lines of one text among them. A null doc_id comes before all numbers.
     """
-    keyed = materialise(keyed_lines(docs, threshold, shortest), "lines")
-    found = components(materialise(line_links(docs, keyed, threshold), "line-links"))
+    keyed = materialise(keyed_lines(docs), "lines")
+    with text_batches(docs.sparkSession, 10_000):
+        links = materialise(line_links(docs, threshold, shortest), "line-links")
+    found = components(links)
     rows = keyed.select("doc_id", "pos", "key").join(found, keyed.key == found.node, "left")
     rows = rows.select("doc_id", "pos", "key", F.coalesce("component", "key").alias("class"))
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "pos")

@@ -261,16 +261,43 @@ def test_near_lines_meet_at_every_length():
         most = line_join.edits_for(min(n, len(other)), None)
         if line_join.edit_distance(line, other, most) > most:
             continue
-        sets = []
-        for x in (line, other):
-            grams = line_join.gram_keys([x])[0].tolist() if len(x) >= line_join.LONG else []
-            sets.append(line_join.segment_keys(x, None) | set(grams))
-        assert sets[0] & sets[1], n
-    many = [edited("".join(rng.choice("abc ") for _ in range(n)), 0) for n in (200, 201, 450)]
-    assert [k.tolist() for k in line_join.gram_keys(many)] == [line_join.gram_keys([x])[0].tolist() for x in many]
-    for k in range(200, 100_000):
-        edits = line_join.edits_for(k, None)
-        assert -((edits - k) // (edits + 1)) >= line_join.RUN
+        assert line_join.segment_keys(line, None) & line_join.segment_keys(other, None), n
+        # the longer line's probes and segments meet the segments of the shorter, without the shorter one's probes
+        low, high = sorted((line, other), key=len)
+        own = set(line_join.keys_at([low], False, None)[0].tolist())
+        assert own & line_join.segment_keys(high, None), n
+    many = ["".join(rng.choice("abc ") for _ in range(n)) for n in (30, 200, 5, 201, 450, 5000)]
+    for probes in (False, True):
+        keys, counts = line_join.keys_at(many, probes, None)
+        single = [line_join.keys_at([x], probes, None)[0].tolist() for x in many]
+        assert keys.tolist() == [k for x in single for k in x] and counts.tolist() == [len(x) for x in single]
+    for n in range(200, 100_000):
+        assert (line_join.edits_for(n, None) + 1) * line_join.WIDTH <= n
+    for n in (200, 1999, 2000, 30_000):
+        start, size, _ = line_join.probe_places(n, None)
+        assert start.min() >= 0 and (start + size).max() <= n and len(start) <= n + line_join.FAR**2
+
+
+def test_edit_distance_of_long_lines():
+    def plain(a, b):
+        row = np.arange(len(a) + 1)
+        codes = np.frombuffer(a.encode("utf-32-le"), "<u4")
+        for j, c in enumerate(b, 1):
+            best = np.concatenate([[j], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))])
+            row = np.minimum.accumulate(best - np.arange(len(best))) + np.arange(len(best))
+        return int(row[-1])
+
+    for n in (90, 400, 1500):
+        for _ in range(12):
+            a = "".join(rng.choice("abc ") for _ in range(n))
+            b = edited(a, rng.randrange(1, n // 20))
+            d = plain(a, b)
+            for most in (d - 1, d, d + 1, d + 40):
+                assert line_join.edit_distance(a, b, most) == line_join.edit_distance(b, a, most) == min(d, most + 1)
+    line = "".join(rng.choice("abcdef ") for _ in range(120_000))
+    other = edited(line, 2000)
+    assert line_join.edit_distance(line, other, 2400) <= 2000
+    assert line_join.segment_keys(line, None) & line_join.segment_keys(other, None)
 
 
 def test_line_dedup_by_length(spark):
