@@ -28,11 +28,14 @@ SHORTEST = 20
 # need not name the line's length, and those from the FAR-th on do not name their number either, which bounds the probes
 # of a line by its length.
 LONG, WIDTH, FAR = 200, 40, 32
-# Groups up to this size are compared pair by pair; larger ones find their pairs by keys or in blocks.
+# Larger groups with a threshold of one edit find their pairs by keys.
 PAIRWISE = 48
+# Lines of a group that meet in one task, at most twice as many.
 BLOCK = 20_000
-# The filter of index keys has 16 bits for each key up to this many words of 64 bits (8 MB), and is fuller beyond.
-PROBE_WORDS = 1 << 20
+# The filter of index keys has 16 bits for each key up to this many words of 64 bits (32 MB), and is fuller beyond. A key
+# sets up to BITS bits of one word.
+PROBE_WORDS = 1 << 22
+BITS = 4
 # Lines that a task remembers to look at repeated ones once.
 REMEMBERED = 1 << 18
 
@@ -231,6 +234,9 @@ def one_edit_pairs(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 def like_pairs(lines: list[str], threshold: int | None) -> Iterator[tuple[int, int]]:
     """Pairs that lengths and letter counts leave: an edit changes the counts by two at most, so no pair is lost."""
+    if len(lines) < 4:
+        yield from ((i, j) for i in range(len(lines)) for j in range(i))
+        return
     size = np.array([len(x) for x in lines], np.int64)
     most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
     counts = np.zeros((len(lines), 64), np.int32)
@@ -244,8 +250,11 @@ def like_pairs(lines: list[str], threshold: int | None) -> Iterator[tuple[int, i
         yield from ((i, j) for j in near.tolist())
 
 
-def group_links(keys: list[int], lines: list[str], threshold: int | None) -> list[tuple[int, int]]:
-    """Verified links of a group, without those inside a part that is connected already."""
+def group_links(
+    keys: list[int], lines: list[str], threshold: int | None, groups: list[set[int]] | None = None, name: int = 0
+) -> list[tuple[int, int]]:
+    """Verified links of a group, without those inside a part that is connected already. Where the groups of each line are
+    given, a pair is compared only in the least group that both are in, so once in all."""
     root = list(range(len(lines)))
 
     def find(i: int) -> int:
@@ -254,12 +263,11 @@ def group_links(keys: list[int], lines: list[str], threshold: int | None) -> lis
             i = root[i]
         return i
 
-    if len(lines) <= PAIRWISE:
-        pairs = ((i, j) for i in range(len(lines)) for j in range(i))
-    else:
-        pairs = one_edit_pairs(lines) if threshold == 1 else like_pairs(lines, threshold)
+    pairs = one_edit_pairs(lines) if threshold == 1 and len(lines) > PAIRWISE else like_pairs(lines, threshold)
     out = []
     for i, j in pairs:
+        if groups is not None and min(groups[i] & groups[j]) != name:
+            continue
         a, b = find(i), find(j)
         if a == b:
             continue
@@ -298,8 +306,16 @@ def segment_rows(docs: DataFrame, threshold: int | None, shortest: int, words: n
                 owner = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), many)
                 if told is not None and len(found):
                     bits = told.value
-                    there = bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] >> (found >> np.uint64(58)) & np.uint64(1)
-                    found, owner = found[there == 1], owner[there == 1]
+                    mask = np.zeros(len(found), np.uint64)
+                    for b in range(BITS):
+                        mask |= np.uint64(1) << (found >> np.uint64(58 - 6 * b) & np.uint64(63))
+                    there = bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] & mask == mask
+                    found, owner = found[there], owner[there]
+                    order = np.lexsort((found, owner))  # a line that repeats itself has few different keys
+                    found, owner = found[order], owner[order]
+                    new = np.ones(len(found), bool)
+                    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+                    found, owner = found[new], owner[new]
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(owner)], names=["seg", "key"])
 
     long = lines_of(docs).where(F.length("line") >= shortest).select(F.xxhash64("line").alias("key"), "line")
@@ -312,8 +328,11 @@ def filter_words(index: DataFrame) -> np.ndarray:
     rows = index.count()
     while size < PROBE_WORDS and size * 4 < rows:
         size *= 2
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("seg", 58).cast("int"))
-    table = index.groupBy(F.col("seg").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = F.lit(0).cast("long")
+    for b in range(BITS):
+        place = F.shiftrightunsigned("seg", 58 - 6 * b).bitwiseAND(F.lit(63)).cast("int")
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    table = index.groupBy(F.col("seg").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
     words = np.zeros(size, np.uint64)
     words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return words
@@ -346,34 +365,38 @@ def line_links(docs: DataFrame, threshold: int | None, shortest: int = SHORTEST,
         F.array_remove(F.sequence(F.lit(0), F.col("_blocks") - 1), F.col("_own"))
     )
     placed = members.join(groups, "seg").withColumn("_own", own).withColumn("_other", F.explode(others))
-    placed = placed.select("seg", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "key")
+    place = F.struct("seg", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    lists = materialise(placed.groupBy("key").agg(F.collect_list(place).alias("places")), "places")
 
     texts = lines_of(docs).select(F.xxhash64("line").alias("key"), "line")
-    wanted = members.select("key").distinct()
-    flagged = flag_by_filter(texts, F.col("key"), bit_filter(wanted, F.col("key"))).where("__maybe").select("key", "line")
+    flagged = flag_by_filter(texts, F.col("key"), bit_filter(lists, F.col("key"))).where("__maybe").select("key", "line")
     # one copy of each line: equal keys are equal lines, and the group needs no text but as its key
-    distinct = flagged.distinct().join(wanted, "key", "left_semi")
+    rows = flagged.distinct().join(lists, "key").withColumn("_at", F.explode("places"))
+    rows = rows.select("_at.*", "key", "line", F.array_distinct("places.seg").alias("groups"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, lines = None, [], []
+        group, keys, lines, others = None, [], [], []
         for batch in batches:
             found: list[tuple[int, int]] = []
             names = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for name, key, line in zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if name != group:
-                    found += group_links(keys, lines, threshold)
-                    group, keys, lines = name, [], []
+            for at, key, line, among in zip(names, *(batch.column(i).to_pylist() for i in range(3, 6))):
+                if at != group:
+                    found += links_of(group, keys, lines, others)
+                    group, keys, lines, others = at, [], [], []
                 keys.append(key)
                 lines.append(line)
+                others.append(set(among))
             yield table_of(found)
-        yield table_of(group_links(keys, lines, threshold))
+        yield table_of(links_of(group, keys, lines, others))
+
+    def links_of(group: tuple | None, keys: list[int], lines: list[str], others: list[set[int]]) -> list[tuple[int, int]]:
+        return group_links(keys, lines, threshold, others, group[0]) if len(lines) > 1 else []
 
     def table_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = zip(*found) if found else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     names = ["seg", "_i", "_j"]
-    rows = placed.join(distinct, "key").select(*names, "key", "line")
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
