@@ -9,7 +9,8 @@ from quillstone import fixed_values as fixed
 from quillstone.functions.text import contains_sensitive, has_text, strip, strip_json_fence, text_key
 from quillstone.operators.embedding import embed_with_cache
 from quillstone.operators.nearest import knn_topk
-from quillstone.operators.positions import first_per_key
+from quillstone.operators.positions import first_per_key, running
+from quillstone.session import materialise
 
 
 def memory_list(memories: DataFrame) -> DataFrame:
@@ -154,67 +155,106 @@ def validate_operations(operations: DataFrame, *batch: str) -> DataFrame:
     return marked.withColumn("accepted", valid & (number <= fixed.MAX_OPERATIONS))
 
 
-def apply_operations(operations: DataFrame, memories: DataFrame, target: str) -> DataFrame:
+# Operations of one memory, or of one content, that a window takes at most.
+SEQ_BLOCK = 4096
+
+
+def apply_operations(
+    operations: DataFrame, memories: DataFrame, target: str, cache: DataFrame | None = None, model: str = "hashed-features"
+) -> DataFrame:
     """The memory table of one target after accepted operations, taken in ``seq`` order.
 
-    ``operations``: seq (unique), agent_id, source_message_id and the operation fields; ``memories``: id, agent_id,
-    memory_scope, memory_type, title, content, source_message_id, enabled (and so on; user memories have a null agent_id
-    and scope). A create is skipped when an equal memory exists at that moment: an earlier create, or a table row in
-    the version that the updates before it left. New rows get the id ``new-<seq>``.
+    ``operations``: seq (unique, not negative), agent_id, source_message_id, the operation fields, and ``at``, the moment
+    of the operation, where memories carry times. ``memories``: id, agent_id, memory_scope, memory_type, title, content,
+    source_message_id, enabled; all further columns are kept (user memories have a null agent_id and scope).
+
+    An update sets the texts, enables the memory, moves ``updated_at``, makes ``confidence`` one and renews
+    ``embedding``; other columns stay. A create is skipped when an equal memory exists at that moment: an earlier create,
+    or a table row in the version that the updates before it left. New rows get the id ``new-<seq>``, priority 0,
+    confidence 1 and both times; what else the table has is null in them.
+
+    Every version of a memory opens its content and closes the one before it, which an as-of pass over the memory's
+    updates finds. A create is free where no version of its content is open. Both passes run in blocks, so neither a
+    memory with many updates nor a content that many propose comes into one task.
     """
     mine = operations.where((F.col("memory_target") == target) & (F.col("action") != "ignore"))
     if target == "user":
         mine = mine.withColumn("agent_id", F.lit(None).cast("string")).withColumn("memory_scope", F.lit(None).cast("string"))
+    if "at" not in mine.columns:
+        mine = mine.withColumn("at", F.lit(None).cast("long"))
     owner = ["agent_id"] if target == "agent" else []
     key = (["agent_id", "memory_scope"] if target == "agent" else []) + ["title", "content"]
     fields = ["memory_scope", "memory_type", "title", "content"]
-
-    known = memories.select("id", *owner)
-    changes = (
-        mine.where("action = 'update'")
-        .withColumn("id", F.col("existing_memory_id"))
-        .join(known, ["id", *owner], "left_semi")
-        .select("id", "seq", *owner, *fields)
-    )
-    original = memories.select("id", F.lit(-1).cast("long").alias("seq"), *owner, *fields)
-    versions = original.unionByName(changes)
-    by_id = Window.partitionBy("id").orderBy("seq")
-    spans = versions.withColumn("until", F.lead("seq").over(by_id))
-
-    creates = mine.where("action = 'create'").select("seq", "agent_id", "source_message_id", *fields)
-    # One row per key and moment is enough to know that a key was taken.
-    taken = spans.select(*key, F.col("seq").alias("_from"), F.coalesce("until", F.lit(2**62)).alias("_until")).distinct()
-    free = creates.join(taken, [*[creates[c] == taken[c] for c in key], creates["seq"] > taken["_from"], creates["seq"] < taken["_until"]], "left_anti")
-    added = first_per_key(free, key, [F.col("seq")])
-
-    last = spans.where("until IS NULL AND seq >= 0").select(
-        "id", *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_changed")
-    )
-    kept = memories.join(last, "id", "left")
-    kept = kept.withColumns(
-        {f: F.when(F.col("_changed"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
-        | {"enabled": F.coalesce("_changed", "enabled")}
-    ).select("id", "agent_id", *fields, "source_message_id", "enabled")
-    fresh = added.select(
-        F.concat(F.lit("new-"), F.col("seq").cast("string")).alias("id"),
-        "agent_id",
-        *fields,
-        "source_message_id",
-        F.lit(True).alias("enabled"),
+    wanted = ["action", "existing_memory_id", "agent_id", "source_message_id", "at", *fields]
+    mine = materialise(mine.select(F.col("seq").cast("long"), *wanted), "operations")
+
+    named = mine.where("action = 'update'").withColumn("id", F.col("existing_memory_id"))
+    changes = named.join(memories.select("id", *owner), ["id", *owner], "left_semi")
+    changes = materialise(changes.select("id", "seq", "agent_id", "at", *fields), "changes")
+    creates = mine.where("action = 'create'").select("seq", "agent_id", "source_message_id", "at", *fields)
+
+    content = F.struct(*key)
+    first = F.lit(-1).cast("long").alias("seq")
+    originals = memories.select("id", first, content.alias("content_key"))
+    versions = changes.select("id", "seq", content.alias("content_key"))
+    changed = originals.join(changes.select("id").distinct(), "id", "left_semi")
+    asked = changes.select("id", "seq", F.lit(None).cast(changed.schema["content_key"].dataType).alias("content_key"))
+    steps = asked.withColumn("kind", F.lit(0)).unionByName(versions.unionByName(changed).withColumn("kind", F.lit(1)))
+    block = F.floor(F.col("seq") / SEQ_BLOCK)
+    closed = running(steps, ["id"], ["seq", "kind"], block, lasts={"before": F.col("content_key")}).where("kind = 0")
+
+    def moves(rows: DataFrame, name: str, opened: int) -> DataFrame:
+        return rows.select(f"{name}.*", "seq", F.lit(opened).alias("opened"), F.lit(False).alias("is_create"))
+
+    proposed = creates.select(*key, "seq", F.lit(0).alias("opened"), F.lit(True).alias("is_create"))
+    moved = moves(originals, "content_key", 1).unionByName(moves(versions, "content_key", 1)).unionByName(moves(closed, "before", -1))
+    events = moved.join(creates.select(*key).distinct(), key, "left_semi").unionByName(proposed)
+    counted = running(events, key, ["seq", "opened"], block, sums={"open_now": F.col("opened")})
+    firsts = counted.where("is_create AND open_now = 0").groupBy(*key).agg(F.min("seq").alias("seq")).select("seq")
+    added = creates.join(firsts, "seq", "left_semi").withColumn("id", F.concat(F.lit("new-"), F.col("seq").cast("string")))
+    added = materialise(added, "added")
+
+    last = changes.groupBy("id").agg(F.max_by(F.struct("at", *fields), "seq").alias("_v"))
+    renewed = {f: F.col(f"_v.{f}") for f in fields} | {"enabled": F.lit(True)}
+    given = {f: F.col(f) for f in ["id", "agent_id", "source_message_id", *fields]} | {"enabled": F.lit(True)}
+    for name, update, create in [
+        ("updated_at", F.col("_v.at"), F.col("at")),
+        ("created_at", None, F.col("at")),
+        ("priority", None, F.lit(0)),
+        ("confidence", F.lit(1), F.lit(1)),
+    ]:
+        if name in memories.columns:
+            renewed |= {name: update} if update is not None else {}
+            given[name] = create
+    types = {f.name: f.dataType for f in memories.schema}
+    touched = F.col("_v").isNotNull()
+    kept = memories.join(last, "id", "left").select(
+        *[F.when(touched, renewed[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in renewed else F.col(c) for c in memories.columns]
     )
-    return kept.unionByName(fresh)
+    fresh = added.select(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in memories.columns])
+    out = kept.unionByName(fresh)
+    if "embedding" not in memories.columns:
+        return out
+    texts = last.select("id", "_v.memory_scope", "_v.title", "_v.content").unionByName(fresh.select("id", "memory_scope", "title", "content"))
+    vectors = memory_embedding(texts, cache, model).select("id", F.struct("embedding").alias("_new"))
+    value = F.when(F.col("_new").isNotNull(), F.col("_new.embedding").cast(types["embedding"])).otherwise(F.col("embedding"))
+    return out.join(vectors, "id", "left").withColumn("embedding", value).select(memories.columns)
 
 
 def job_progress(state: DataFrame, finished: DataFrame, interval: int) -> DataFrame:
     """State rows are created where absent; each finished batch adds ``interval`` and moves the last position.
 
     ``state``: agent_id, session_id, processed, last_pos; ``finished``: agent_id, session_id, last_user_pos per batch.
+    Where both have last_message_id or last_message_at, these follow the last message, also to null.
     """
+    about = [c for c in ("last_message_id", "last_message_at") if c in state.columns and c in finished.columns]
+    newest = [F.max_by(F.struct(*about), "last_user_pos").alias("_message")] if about else []
     done = finished.groupBy("agent_id", "session_id").agg(
-        (F.count("*") * interval).alias("_more"), F.max("last_user_pos").alias("_last")
+        (F.count("*") * interval).alias("_more"), F.max("last_user_pos").alias("_last"), *newest
     )
     joined = state.join(done, ["agent_id", "session_id"], "full")
     return joined.select(
+        *[F.when(F.col("_more").isNotNull(), F.col(f"_message.{c}")).otherwise(F.col(c)).alias(c) for c in about],
         "agent_id",
         "session_id",
         (F.coalesce("processed", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("processed"),

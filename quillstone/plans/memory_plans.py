@@ -285,6 +285,79 @@ def apply_user_operations(spark, folder):
     return mm.apply_operations(accepted_operations(spark, folder), existing(spark, folder, "user"), "user")
 
 
+# One memory for each customer, with all columns; updates name memories of their agent, and some of another.
+STORED = [
+    "'m' || CAST(c_custkey AS STRING) AS id",
+    "CAST(c_custkey % 20 AS STRING) AS agent_id",
+    "CASE WHEN c_custkey % 3 = 0 THEN 'retrieved' ELSE 'core' END AS memory_scope",
+    "'fact' AS memory_type",
+    "CASE WHEN c_custkey % 2 = 0 THEN 'name' ELSE 'city' END AS title",
+    "'v' || CAST(c_custkey % 23 AS STRING) AS content",
+    "CAST(NULL AS STRING) AS source_message_id",
+    "c_custkey % 4 > 0 AS enabled",
+    "CAST(c_custkey % 5 AS INT) AS priority",
+    "CAST(c_custkey % 10 AS DOUBLE) / 10 AS confidence",
+    "CAST(-c_custkey AS BIGINT) AS created_at",
+    "CAST(-c_custkey AS BIGINT) AS updated_at",
+    "CAST(c_nationkey AS BIGINT) AS last_used_at",
+]
+TOUCHED = "'m' || CAST(CAST(agent_id AS INT) + 20 * (batch_id % 75) + CASE WHEN batch_id % 5 = 0 THEN 1 ELSE 0 END AS STRING)"
+
+
+def stored(spark, folder, target):
+    rows = derived(table(spark, folder, "customer"), STORED)
+    if target == "user":
+        none = F.lit(None).cast("string")
+        return rows.drop("priority").withColumns({"agent_id": none, "memory_scope": none})
+    return mm.memory_embedding(rows.drop("confidence"))
+
+
+def _duck_stored(target: str) -> str:
+    agent = target == "agent"
+    key = "agent_id, memory_scope, title, content" if agent else "title, content"
+    same = " AND ".join(f"f.{k} = v.{k}" for k in key.split(", "))
+    whose = "agent_id, memory_scope" if agent else "NULL::VARCHAR AS agent_id, NULL::VARCHAR AS memory_scope"
+    new, check = ("0", "round(list_sum(list_transform(list_zip(vector, range(64)), lambda z: z[1] * (z[2] + 1))), 6)") if agent else ("1", "")
+    mixed = "priority" if agent else "confidence"
+    changed = "k.priority" if agent else "CASE WHEN s.seq >= 0 THEN 1.0::DOUBLE ELSE k.confidence END"
+    vectors = f""",
+    vectors AS ({cp.duck_unit("(SELECT id, title || chr(10) || content AS body FROM result WHERE memory_scope = 'retrieved')", "id", "body")})
+    SELECT r.*, {check} AS vector_sum FROM result r LEFT JOIN vectors USING (id)""" if agent else " SELECT * FROM result"
+    return f"""
+    ops AS (SELECT batch_id * 10 + position AS seq, action, {TOUCHED} AS existing_memory_id, agent_id AS op_agent, {whose}, source_message_id, memory_type, title, content
+            FROM validated WHERE accepted AND action <> 'ignore' AND memory_target = '{target}'),
+    base AS ({duck_select(STORED, 'customer')}),
+    known AS (SELECT * REPLACE ({"agent_id AS agent_id" if agent else "NULL::VARCHAR AS agent_id, NULL::VARCHAR AS memory_scope"}) FROM base),
+    versions AS (SELECT id, -1 AS seq, agent_id, memory_scope, memory_type, title, content FROM known
+      UNION ALL SELECT m.id, o.seq, o.agent_id, o.memory_scope, o.memory_type, o.title, o.content FROM ops o JOIN known m ON m.id = o.existing_memory_id {"AND m.agent_id = o.agent_id" if agent else ""} WHERE o.action = 'update'),
+    spans AS (SELECT *, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS until FROM versions),
+    free AS (SELECT * FROM ops f WHERE action = 'create' AND NOT EXISTS (SELECT 1 FROM spans v WHERE {same} AND f.seq > v.seq AND f.seq < coalesce(v.until, {2**62}))),
+    added AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq) = 1),
+    result AS (
+      SELECT k.id, k.agent_id, s.memory_scope, s.memory_type, s.title, s.content, k.source_message_id, k.enabled OR s.seq >= 0 AS enabled, {changed} AS {mixed},
+             k.created_at, CASE WHEN s.seq >= 0 THEN s.seq ELSE k.updated_at END AS updated_at, k.last_used_at
+      FROM known k JOIN spans s ON s.id = k.id AND s.until IS NULL
+      UNION ALL SELECT 'new-' || seq, agent_id, memory_scope, memory_type, title, content, source_message_id, true, {new}, seq, seq, NULL FROM added){vectors}
+    """
+
+
+def _applied(spark, folder, target):
+    ops = accepted_operations(spark, folder).withColumns({"existing_memory_id": F.expr(TOUCHED), "at": F.col("seq")})
+    return mm.apply_operations(ops, stored(spark, folder, target), target)
+
+
+@query("apply_operations_all_columns", f"WITH {DUCK_VALID}, {_duck_stored('agent')}")
+def apply_operations_all_columns(spark, folder):
+    out = _applied(spark, folder, "agent")
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("vector_sum", F.round(weighted, 6)).drop("embedding")
+
+
+@query("apply_user_operations_all_columns", f"WITH {DUCK_VALID}, {_duck_stored('user')}")
+def apply_user_operations_all_columns(spark, folder):
+    return _applied(spark, folder, "user")
+
+
 @query(
     "job_progress",
     f"""

@@ -144,6 +144,57 @@ def test_operations_agree_with_a_loop(spark):
     assert {k: (r.title, r.content) for k, r in out.items()} == table
 
 
+def test_applied_operations_keep_all_columns(spark):
+    schema = MEMORY + ", priority int, embedding array<float>, created_at bigint, updated_at bigint, last_used_at bigint, note string"
+    rows = [
+        ("a", "agent-1", "core", "fact", "t", "c", None, False, 7, None, 1, 2, 3, "x"),
+        ("b", "agent-1", "retrieved", "fact", "t", "d", "old", True, 4, [9.0], 1, 2, 3, "y"),
+    ]
+    valid = operations(
+        spark,
+        [
+            operation(memoryTarget="agent", action="update", existingMemoryId="a", memoryScope="retrieved", title="n"),
+            operation(memoryTarget="agent", title="t"),
+            operation(memoryTarget="agent", memoryScope="retrieved", title="new"),
+        ],
+    )
+    ops = valid.where("accepted").withColumn("seq", F.col("batch_id") * 10 + F.col("position")).withColumn("at", F.col("seq") + 100)
+    out = {r.id: r for r in mm.apply_operations(ops, spark.createDataFrame(rows, schema), "agent").collect()}
+    assert out.keys() == {"a", "b", "new-1", "new-2"}
+    a, b, core, new = (out[k] for k in ("a", "b", "new-1", "new-2"))
+    assert (a.title, a.enabled, a.priority, a.created_at, a.updated_at, a.last_used_at, a.note) == ("n", True, 7, 1, 100, 3, "x")
+    assert a.embedding and new.embedding and core.embedding is None and b.embedding == [9.0] and b.updated_at == 2
+    assert (new.priority, new.created_at, new.updated_at, new.last_used_at, new.note) == (0, 102, 102, None, None)
+
+
+def test_a_hot_memory_and_a_hot_content_run_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mm, "SEQ_BLOCK", 3)
+    rng = random.Random(3)
+    base = [(f"m{i}", None, None, "fact", "t", f"c{i}", None, True) for i in range(2)]
+    batches = [[operation(action=rng.choice(["create", "update"]), existingMemoryId="m0", content=f"c{rng.randint(0, 2)}")] for _ in range(40)]
+    held = {r[0]: r[5] for r in base}
+    for b, (op,) in enumerate(batches):
+        if op["action"] == "update":
+            held["m0"] = op["content"]
+        elif op["content"] not in held.values():
+            held[f"new-{b * 10}"] = op["content"]
+    out = apply(spark, operations(spark, *batches), base, "user")
+    assert {k: r.content for k, r in out.items()} == held
+
+
+def test_progress_names_the_last_message(spark):
+    state = spark.createDataFrame(
+        [("a", "s1", 3, 9, "m9", 90), ("a", "s3", 3, 1, "m1", 10)],
+        "agent_id string, session_id string, processed bigint, last_pos bigint, last_message_id string, last_message_at bigint",
+    )
+    done = spark.createDataFrame(
+        [("a", "s1", 15, "m15", 150), ("a", "s1", 21, None, 210), ("a", "s2", 5, "m5", 50)],
+        "agent_id string, session_id string, last_user_pos bigint, last_message_id string, last_message_at bigint",
+    )
+    out = {r.session_id: (r.processed, r.last_pos, r.last_message_id, r.last_message_at) for r in mm.job_progress(state, done, 3).collect()}
+    assert out == {"s1": (9, 21, None, 210), "s2": (3, 5, "m5", 50), "s3": (3, 1, "m1", 10)}
+
+
 def test_progress_and_use(spark):
     state = spark.createDataFrame([("a", "s1", 3, 9)], "agent_id string, session_id string, processed bigint, last_pos bigint")
     done = spark.createDataFrame([("a", "s1", 15), ("a", "s1", 21), ("a", "s2", 5)], "agent_id string, session_id string, last_user_pos bigint")
