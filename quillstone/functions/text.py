@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,23 +146,61 @@ def shares_long_substring(left: Column | str, right: Column | str, limit: int) -
     return let(F.struct(compact_text(left).alias("a"), compact_text(right).alias("b")), search)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]))
+
+
+def _prefix_sums(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers(_BASE, len(codes))[:-1], out=sums[1:])
+    return sums
+
+
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common substring, by bisection over hashes of all substrings of one size.
+
+    The hashes of the shorter text are sorted, those of the longer one looked up; what is found is compared as text, so
+    equal hashes of different substrings do no harm. Memory grows with both lengths.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    sums = _prefix_sums(a), _prefix_sums(b)
+    inverse = _powers(_INVERSE, len(b))
+
+    def shared(size: int) -> bool:
+        here, there = ((s[size:] - s[: len(s) - size]) * inverse[: len(s) - size] for s in sums)
+        order = np.argsort(here, kind="stable")
+        ranked = here[order]
+        at = np.searchsorted(ranked, there)
+        for j in np.flatnonzero(ranked[np.minimum(at, len(ranked) - 1)] == there).tolist():
+            place = int(at[j])
+            while place < len(ranked) and ranked[place] == there[j]:
+                i = int(order[place])
+                if a[i : i + size] == b[j : j + size]:
+                    return True
+                place += 1
+        return False
+
+    low, high = 0, len(a)
+    while low < high:
+        size = (low + high + 1) // 2
+        if shared(size):
+            low = size
+        else:
+            high = size - 1
+    return low
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_substring_len(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common substring of the compacted texts; grows the answer by set look-ups."""
-
-    def longest(a: str | None, b: str | None) -> int:
-        a, b = "".join((a or "").split()), "".join((b or "").split())
-        low, high = 0, min(len(a), len(b))
-        while low < high:
-            size = (low + high + 1) // 2
-            grams = {a[i : i + size] for i in range(len(a) - size + 1)}
-            if any(b[i : i + size] in grams for i in range(len(b) - size + 1)):
-                low = size
-            else:
-                high = size - 1
-        return low
-
-    return pd.Series([longest(a, b) for a, b in zip(left, right)], dtype="int32")
+    """Length of the longest common substring of the compacted texts, 0 where one is null or empty."""
+    lengths = [longest_common("".join((a or "").split()), "".join((b or "").split())) for a, b in zip(left, right)]
+    return pd.Series(lengths, dtype="int32")
 
 
 def text_key(model: str, text: Column) -> Column:

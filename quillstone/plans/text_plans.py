@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone import fixed_values as fixed
 from quillstone.functions import agents, text as tx
+from quillstone.operators import overlap
 from quillstone.operators.chunking import trust_headings
 from quillstone.plans import duck
 from quillstone.plans.inputs import DUCK_MARKDOWN_DOCS, UPLOAD, derived, duck_select, markdown_docs
@@ -228,6 +229,35 @@ def lcs_substring_len(spark, folder):
     return docs.select("doc_id", tx.shares_long_substring(F.col("text"), middle, 10).alias("over_limit"))
 
 
+DUCK_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _duck_windows(words: str) -> str:
+    return f"list_transform(range(1, len({words}) - {overlap.WINDOW - 2}), lambda x: md5(array_to_string({words}[x:x + {overlap.WINDOW - 1}], ' ')))"
+
+
+# The longest common run is found here from equal 8-grams that follow each other on one diagonal.
+@query(
+    "passage_overlaps",
+    f"""
+    WITH pw AS (SELECT DISTINCT passage_id, unnest({_duck_windows("words")}) AS ws FROM (SELECT item_id AS passage_id, {DUCK_WORDS} AS words FROM benchmark)),
+    dw AS (SELECT DISTINCT doc_id, unnest({_duck_windows("words")}) AS ws FROM (SELECT doc_id, {DUCK_WORDS} AS words FROM documents)),
+    pairs AS (SELECT passage_id, doc_id, count(*) AS n_windows FROM pw JOIN dw USING (ws) GROUP BY ALL),
+    pc AS (SELECT item_id AS passage_id, {duck.compact('text')} AS c FROM benchmark WHERE item_id IN (SELECT passage_id FROM pairs)),
+    dc AS (SELECT doc_id, {duck.compact('text')} AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM pairs)),
+    pg AS (SELECT passage_id, unnest(list_transform(range(1, length(c) - 6), lambda x: {{'i': x, 'g': substr(c, x, 8)}}), recursive := true) FROM pc),
+    dg AS (SELECT doc_id, unnest(list_transform(range(1, length(c) - 6), lambda x: {{'j': x, 'g': substr(c, x, 8)}}), recursive := true) FROM dc),
+    met AS (SELECT passage_id, doc_id, j - i AS diagonal, j - row_number() OVER (PARTITION BY passage_id, doc_id, j - i ORDER BY j) AS run
+            FROM pairs JOIN pg USING (passage_id) JOIN dg USING (doc_id, g)),
+    runs AS (SELECT passage_id, doc_id, count(*) + 7 AS n FROM met GROUP BY passage_id, doc_id, diagonal, run)
+    SELECT passage_id, doc_id, any_value(n_windows) AS n_windows, max(n)::INTEGER AS longest FROM runs JOIN pairs USING (passage_id, doc_id) GROUP BY ALL
+    """,
+)
+def passage_overlaps(spark, folder):
+    passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    return overlap.passage_overlaps(passages, texts(spark, folder, "documents"))
+
+
 FENCED = "CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) WHEN 1 THEN '``` ' ELSE '' END || '{\"n\": ' || CAST(n_chars AS STRING) || '}' || CASE doc_id % 3 WHEN 2 THEN '' ELSE chr(10) || '```' END"
 
 

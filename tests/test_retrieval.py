@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quillstone.functions.text import lcs_substring_len, lexical_score, shares_l
 from quillstone.operators import metrics as mt
 from quillstone.operators import retrieval as rt
 from quillstone.operators.embedding import align_scores, embed_with_cache
+from quillstone.operators.overlap import passage_overlaps
 
 CANDIDATE = (
     "query_id string, query string, raw_rank int, chunk_id string, document_id string, document_title string, "
@@ -162,3 +165,34 @@ def test_embedding_cache_computes_only_missing(spark):
     marked = cache.withColumn("embedding", F.array(F.lit(9.0)))
     out = embed_with_cache(texts, marked).collect()
     assert sorted(len(r.embedding) for r in out) == [1, 64]
+
+
+def test_longest_common_run_agrees_with_a_table(spark):
+    rng = random.Random(5)
+    words = ["a", "bb", "ab", "ba", "Ω", "😀"]
+
+    def plain(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max(best, *row)
+        return best
+
+    pairs = [("", "x"), (None, "x"), (" ", "\u3000"), ("ab" * 700, "ba" * 600)]
+    pairs += [(" ".join(rng.choices(words, k=rng.randint(1, 30))), " ".join(rng.choices(words, k=rng.randint(1, 60)))) for _ in range(150)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.n for r in df.select("i", lcs_substring_len("a", "b").alias("n")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == plain("".join((a or "").split()), "".join((b or "").split())), (a, b)
+
+
+def test_passages_meet_documents(spark):
+    run = "one two three four five six seven eight"
+    passages = spark.createDataFrame([(1, f"x {run} nine"), (2, "too few words"), (3, None), (4, "")], "passage_id long, text string")
+    docs = spark.createDataFrame(
+        [(10, f"z {run} nine {run}"), (11, run), (12, run[4:]), (13, None), (14, ""), (15, "w " * 5000 + run)], "doc_id long, text string"
+    )
+    out = {(r.passage_id, r.doc_id): (r.n_windows, r.longest) for r in passage_overlaps(passages, docs).collect()}
+    n = len(run.replace(" ", ""))
+    assert out == {(1, 10): (2, n + 4), (1, 11): (1, n), (1, 15): (1, n)}
+    assert passage_overlaps(passages.limit(0), docs).count() == 0
