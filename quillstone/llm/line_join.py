@@ -36,6 +36,8 @@ BLOCK = 20_000
 # sets up to BITS bits of one word.
 PROBE_WORDS = 1 << 22
 BITS = 4
+# Slots that the three-grams of a line are counted in.
+GRAM_SLOTS = 512
 # Lines that a task remembers to look at repeated ones once.
 REMEMBERED = 1 << 18
 
@@ -232,22 +234,46 @@ def one_edit_pairs(lines: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip(o[same + 1].tolist(), o[same].tolist())
 
 
-def like_pairs(lines: list[str], threshold: int | None) -> Iterator[tuple[int, int]]:
-    """Pairs that lengths and letter counts leave: an edit changes the counts by two at most, so no pair is lost."""
-    if len(lines) < 4:
-        yield from ((i, j) for i in range(len(lines)) for j in range(i))
-        return
+def like_lines(
+    lines: list[str], threshold: int | None, groups: list[set[int]] | None = None, name: int = 0
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Each line's number with those of earlier lines that lengths, letter counts and counts of three-grams leave: an edit
+    changes the former by two and the latter by six at most, so no pair is lost. Counts that share a bucket or are cut off
+    only come nearer. Where the groups of each line are given, lines that share a group below ``name`` with it are left
+    out, since they meet there."""
     size = np.array([len(x) for x in lines], np.int64)
     most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
     counts = np.zeros((len(lines), 64), np.int32)
+    grams = np.zeros((len(lines), GRAM_SLOTS), np.int16)
     for i, line in enumerate(lines):
         codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
         counts[i] = np.bincount(codes & 63, minlength=64)
+        mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+        grams[i] = np.minimum(np.bincount((mixed >> 16) % GRAM_SLOTS, minlength=GRAM_SLOTS), 32767)
+    lower: dict[int, list[int]] = {}
+    for i, among in enumerate(groups or []):
+        for g in among:
+            if g < name:
+                lower.setdefault(g, []).append(i)
+    # groups of each line, those with most lines first, so that a few of them mostly cover all
+    covers: list[list[np.ndarray]] = [[] for _ in lines]
+    for members in sorted((m for m in lower.values() if len(m) > 1), key=len, reverse=True):
+        held = np.array(members, np.int64)
+        for i in members:
+            covers[i].append(held)
     for i in range(1, len(lines)):
         edits = np.minimum(most[:i], most[i])
-        near = np.flatnonzero(np.abs(size[:i] - size[i]) <= edits)
-        near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * edits[near]]
-        yield from ((i, j) for j in near.tolist())
+        open_ = np.abs(size[:i] - size[i]) <= edits
+        left = int(open_.sum())
+        for held in covers[i]:
+            if not left:
+                break
+            open_[held[: np.searchsorted(held, i)]] = False
+            left = int(open_.sum())
+        if left:
+            near = np.flatnonzero(open_)
+            near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * edits[near]]
+            yield i, near[np.abs(grams[near] - grams[i]).sum(axis=1, dtype=np.int64) <= 6 * edits[near]]
 
 
 def group_links(
@@ -255,26 +281,28 @@ def group_links(
 ) -> list[tuple[int, int]]:
     """Verified links of a group, without those inside a part that is connected already. Where the groups of each line are
     given, a pair is compared only in the least group that both are in, so once in all."""
-    root = list(range(len(lines)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    pairs = one_edit_pairs(lines) if threshold == 1 and len(lines) > PAIRWISE else like_pairs(lines, threshold)
+    part = np.arange(len(lines))
     out = []
-    for i, j in pairs:
-        if groups is not None and min(groups[i] & groups[j]) != name:
-            continue
-        a, b = find(i), find(j)
-        if a == b:
-            continue
+
+    def link(i: int, j: int) -> bool:
         most = edits_for(min(len(lines[i]), len(lines[j])), threshold)
-        if edit_distance(lines[i], lines[j], most) <= most:
-            root[max(a, b)] = min(a, b)
-            out.append((keys[i], keys[j]))
+        if edit_distance(lines[i], lines[j], most) > most:
+            return False
+        part[part == part[i]] = part[j]
+        out.append((keys[i], keys[j]))
+        return True
+
+    if threshold == 1 and len(lines) > PAIRWISE:
+        for i, j in one_edit_pairs(lines):
+            if part[i] != part[j] and (groups is None or min(groups[i] & groups[j]) == name):
+                link(i, j)
+        return out
+    for i, near in like_lines(lines, threshold, groups, name):
+        near = near[part[near] != part[i]]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            if link(i, j):
+                near = near[part[near] != part[i]]
     return out
 
 

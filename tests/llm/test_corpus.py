@@ -741,3 +741,49 @@ def test_queries_against_sql(spark, folder, name):
     from tests.oracle import compare, connect
 
     assert compare(__spark_entry__.queries()[name](spark, folder), connect(folder), __spark_entry__.oracle_sql()[name]) == []
+
+
+def test_groups_of_lines_link_like_all_pairs():
+    draw = random.Random(17)
+    words = ["".join(draw.choices("abcdeé", k=draw.randint(2, 6))) for _ in range(40)]
+    lines = []
+    for _ in range(6):
+        line = " ".join(draw.choices(words, k=draw.randint(12, 60)))
+        for _ in range(15):
+            cut = list(line)
+            for _ in range(draw.randint(0, 5)):
+                cut[draw.randrange(len(cut))] = draw.choice("abcxyz ")
+            lines.append("".join(cut))
+    lines = sorted(set(lines))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    def parts(links, n):
+        part = list(range(n))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return sorted(sorted(i for i in range(n) if part[i] == p) for p in set(part))
+
+    near = []
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = line_join.edits_for(min(len(a), len(lines[j])), None)
+            if abs(len(a) - len(lines[j])) <= most and plain(a, lines[j]) <= most:
+                near.append((i, j))
+    n = len(lines)
+    assert near and parts(line_join.group_links(list(range(n)), lines, None), n) == parts(near, n)
+    # Each pair meets in the least group of both alone; together the groups link what all pairs link.
+    among = [{draw.randrange(4) for _ in range(3)} | {9} for _ in lines]
+    found = []
+    for g in (0, 1, 2, 3, 9):
+        held = [i for i in range(n) if g in among[i]]
+        links = line_join.group_links(held, [lines[i] for i in held], None, [among[i] for i in held], g)
+        assert all(min(among[a] & among[b]) == g for a, b in links)
+        found += links
+    assert parts(found, n) == parts(near, n)
