@@ -241,6 +241,10 @@ def like_lines(
     changes the former by two and the latter by six at most, so no pair is lost. Counts that share a bucket or are cut off
     only come nearer. Where the groups of each line are given, lines that share a group below ``name`` with it are left
     out, since they meet there."""
+    if len(lines) < 4:  # dearer to count than to compare
+        for i in range(1, len(lines)):
+            yield i, np.array([j for j in range(i) if groups is None or min(groups[i] & groups[j]) == name], np.int64)
+        return
     size = np.array([len(x) for x in lines], np.int64)
     most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
     counts = np.zeros((len(lines), 64), np.int32)
