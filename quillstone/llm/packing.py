@@ -18,10 +18,11 @@ END_ID = 0
 # Pieces packed together: a random share of all pieces, so every shard has the corpus's mix of lengths.
 SHARD_PIECES = 50_000
 # Partial fillings looked at per largest piece, fillings kept of them and sizes tried for each next piece in the first
-# search; every further search widens them. The nodes of all searches of a shard beyond its first descent are bounded.
+# search; every further search widens them. The sizes tried in all searches of a shard beyond the first descent of the
+# first search are bounded; a wider search that runs out of them before its first bins are done gives way to the best.
 FILLING_NODES, FILLINGS_KEPT, OPTIONS = 96, 4, 8
 WIDER = 8
-SEARCH_NODES = 400_000
+SEARCH_TRIALS = 1_500_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -90,9 +91,9 @@ def best_fit(counts: list[int], capacity: int) -> list[list[int]]:
 class Fillings:
     """Undominated fillings of the room beside a largest piece, within limits; remembers whether a limit left any out."""
 
-    def __init__(self, nodes: int, kept: int, options: int) -> None:
-        self.nodes, self.kept, self.options = nodes, kept, options
-        self.used, self.cut = 0, False
+    def __init__(self, nodes: int, kept: int, options: int, trials: float = float("inf")) -> None:
+        self.nodes, self.kept, self.options, self.trials = nodes, kept, options, trials
+        self.used, self.cut = 0, False  # sizes tried so far; whether a limit left a filling out
 
     def of(self, counts: list[int], there: int, room: int) -> list[tuple[int, tuple[int, ...]]]:
         """(waste, sizes) of fillings, least waste first.
@@ -104,12 +105,14 @@ class Fillings:
         found: list[tuple[int, tuple[int, ...]]] = []
         nodes = self.nodes
         stack = [(room, room, ())]
-        while stack and nodes:
+        while stack and nodes and self.used <= self.trials:
             nodes -= 1
+            self.used += 1
             left, top, chosen = stack.pop()
             fits = there & ((1 << (min(left, top) + 1)) - 1)
             options = []
             while fits:
+                self.used += 1
                 size = fits.bit_length() - 1
                 if counts[size] > chosen.count(size):
                     if len(options) == self.options:
@@ -127,7 +130,6 @@ class Fillings:
             if used & ((1 << (left + 1)) - 1) or any((used >> (s + 1)) & ((1 << left) - 1) for s in set(chosen)):
                 continue
             found.append((left, chosen))
-        self.used += self.nodes - nodes
         self.cut |= bool(stack) or len(found) > self.kept
         found.sort(key=lambda f: (f[0], len(f[1])))
         if not found:  # the search ended before any: the largest pieces that fit
@@ -144,18 +146,21 @@ class Fillings:
         return found[: self.kept]
 
 
-def search(sizes: np.ndarray, capacity: int, incumbent: list[list[int]], least: int, limits: Fillings, budget: int) -> list[list[int]]:
+def search(
+    sizes: np.ndarray, capacity: int, incumbent: list[list[int]], least: int, limits: Fillings, budget: int, descent_free: bool = True
+) -> list[list[int]]:
     """Branch and bound over fillings: the best bins found, and the incumbent where none is better.
 
     A bin is filled around the largest piece left; fillings are tried by waste, and the search turns back once the waste
-    of the open bins exceeds what one bin less than the incumbent allows.
+    of the open bins exceeds what one bin less than the incumbent allows. ``budget`` bounds the sizes tried, after the
+    first descent where that is free.
     """
     count = np.bincount(sizes, minlength=capacity + 1).tolist()
     volume = int(sizes.sum())
     there = sum(1 << s for s in range(1, capacity + 1) if count[s])
     path: list[tuple[list, int, int, int]] = []  # fillings left to try, largest piece, waste before, filling in use
     open_bins: list[tuple[int, ...]] = []
-    waste, descended = 0, False
+    waste, descended = 0, not descent_free
 
     def take(chosen: tuple[int, ...], sign: int) -> None:
         nonlocal there
@@ -196,21 +201,21 @@ def search(sizes: np.ndarray, capacity: int, incumbent: list[list[int]], least:
             return incumbent
 
 
-def complete_bins(sizes: np.ndarray, capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
+def complete_bins(sizes: np.ndarray, capacity: int, trials: int = SEARCH_TRIALS) -> list[list[int]]:
     """Bins for the sizes, as few as the searches find.
 
     Best-fit decreasing is the first incumbent. Bin completion searches with few fillings per bin first; while a limit
-    left fillings out and nodes are left, it searches again with wider limits. A search that no limit cut proves its
+    left fillings out and trials are left, it searches again with wider limits. A search that no limit cut proves its
     bins to be the fewest, as do bins at the lower bound; else the best ones found stand.
     """
     counts = np.bincount(sizes, minlength=capacity + 1)
     least = lower_bound(counts, capacity)
     incumbent = best_fit(counts.tolist(), capacity)
     width = 1
-    while len(sizes) and len(incumbent) > least and nodes > 0:
-        limits = Fillings(FILLING_NODES * width, FILLINGS_KEPT * width, OPTIONS * width)
-        incumbent = search(sizes, capacity, incumbent, least, limits, nodes)
-        nodes -= limits.used
+    while len(sizes) and len(incumbent) > least and trials > 0:
+        limits = Fillings(FILLING_NODES * width, FILLINGS_KEPT * width, OPTIONS * width, *([trials] if width > 1 else []))
+        incumbent = search(sizes, capacity, incumbent, least, limits, trials, descent_free=width == 1)
+        trials -= limits.used
         if not limits.cut:
             break
         width *= WIDER
