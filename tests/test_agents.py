@@ -422,3 +422,12 @@ def test_vector_text(spark):
     df = spark.createDataFrame([("[1.5,-2,3e-2]",), ("[]",), ("",), (None,)], "t string")
     got = [r.v for r in df.select(parse_vector_text("t").alias("v")).collect()]
     assert got[0] == [1.5, -2.0, pytest.approx(0.03)] and got[1:] == [[], [], None]
+
+
+def test_trace_lines_are_parsed_once(spark):
+    """The filter on the reason of a refusal does not take the parser into its conditions."""
+    lines = spark.createDataFrame([("{}", 1), (None, 2), ("{broken", 3)], "value string, arrival long")
+    plan = tr.parse_trace(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1, plan
+    assert sorted((r.value, r.reject_reason) for r in tr.rejected_lines(lines.where("arrival <> 2")).collect()) == [("{broken", "malformed"), ("{}", "schema_version")]
+    assert [r.reject_reason for r in tr.rejected_lines(lines.where("arrival = 2")).collect()] == ["malformed"]
