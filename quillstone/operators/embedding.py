@@ -16,6 +16,8 @@ from quillstone.functions.vector import hashed_embedding
 # Batches in, batches out; a model is loaded inside, once per task.
 Embedder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 DIM = 64
+# Texts whose features are Python objects at a time; an Arrow batch has up to 10 000.
+FEATURE_ROWS = 512
 
 
 def embed_features(df: DataFrame, keys: list[str], features: Column, dim: int = DIM) -> DataFrame:
@@ -23,7 +25,7 @@ def embed_features(df: DataFrame, keys: list[str], features: Column, dim: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots_of: dict[str, int] = {}
-        for batch in batches:
+        for batch in (b.slice(at, FEATURE_ROWS) for b in batches for at in range(0, b.num_rows, FEATURE_ROWS)):
             vectors = hashed_embedding(batch.column("_features").to_pylist(), dim, slots_of)
             flat = pa.array(vectors.reshape(-1))
             offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))

@@ -22,12 +22,16 @@ from quillstone.session import fits
 
 MAX_QUERIES = 4096
 BLOCK_CHUNKS = 50_000
-CELLS = 4_000_000
+# Costs in memory at a time, rows whose distances are taken exactly at a time, and rows of a block looked at together.
+CELLS = 1_000_000
+PAIRS = 1 << 16
+BLOCK_ROWS = 8192
 # Distances keep this many places, so that equal distances tie on every platform and the chunk id decides.
 PLACES = 9
 
-# (chunk batch) -> (query index, row index, cost) of all rows that may be among the best k.
-Scorer = Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+# (chunk batch, bound) -> pieces of (query index, row index, cost) with all rows that may be among the best k. The bound is
+# read anew for every piece, so what one piece adds to the best rows leaves rows out of the next.
+Scorer = Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 class Best:
@@ -87,7 +91,7 @@ def vector_scorer(matrix: np.ndarray, partitions: list | None, k: int) -> Scorer
             wanted = pd.Series(np.arange(len(partitions))).groupby(pd.Series(partitions, dtype=object)).indices
             present = pd.Series(np.arange(len(part))).groupby(pd.Series(part)).indices
             groups = [(wanted[p], rows) for p, rows in present.items() if p in wanted]
-        found = []
+        slack = 1e-9 * (1.0 + float(norms.max(initial=0.0)))
         for queries, all_rows in groups:
             q = matrix[queries]
             step = max(1, CELLS // max(1, len(q)))
@@ -96,15 +100,13 @@ def vector_scorer(matrix: np.ndarray, partitions: list | None, k: int) -> Scorer
                 rows = all_rows[at : at + step]
                 x = vectors[rows]
                 squares = np.square(x).sum(axis=1)[:, None] + norms[queries][None, :] - 2.0 * (x @ q.T)
-                slack = 1e-9 * (1.0 + float(norms.max(initial=0.0)))
                 with np.errstate(invalid="ignore"):
-                    cap = np.square(bound[ids])
+                    cap = np.square(bound[ids] + 10.0**-PLACES)  # bounds are rounded
                 qj, chosen, _ = _within_bound(squares, rows, cap, k, slack)
-                exact = np.round(np.sqrt(np.square(vectors[chosen] - q[qj]).sum(axis=1)), PLACES)
-                found.append((ids[qj], chosen, exact))
-        if not found:
-            return np.empty(0, int), np.empty(0, int), np.empty(0)
-        return tuple(np.concatenate(part_) for part_ in zip(*found))
+                # many rows at one distance are many pairs
+                for first in range(0, len(qj), PAIRS):
+                    query, row = qj[first : first + PAIRS], chosen[first : first + PAIRS]
+                    yield ids[query], row, np.round(np.sqrt(np.square(vectors[row] - q[query]).sum(axis=1)), PLACES)
 
     return score
 
@@ -125,7 +127,6 @@ def lexical_scorer(features: list[list[str]], k: int) -> Scorer:
         row = np.repeat(np.arange(len(column)), sizes)
         known = ~np.asarray(code.is_null())
         row, code = row[known], code.drop_null().to_numpy(zero_copy_only=False)
-        found = []
         step = max(1, CELLS // width)
         for at in range(0, len(column), step):
             rows = np.arange(at, min(at + step, len(column)))
@@ -137,12 +138,18 @@ def lexical_scorer(features: list[list[str]], k: int) -> Scorer:
             cost = -np.bincount(cell, minlength=len(rows) * width).reshape(len(rows), width).astype(np.float64)
             cost[cost == 0] = np.inf
             query, chosen, local = _within_bound(cost, rows, bound, k, 0.0)
-            found.append((query, chosen, cost[local, query]))
-        return tuple(np.concatenate(part) for part in zip(*found)) if found else (np.empty(0, int),) * 3
+            yield query, chosen, cost[local, query]
 
     return score
 
 
+def _add_batch(best: Best, score: Scorer, batch: pa.RecordBatch) -> None:
+    if batch.num_rows:
+        ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+        for query, row, cost in score(batch, best.bound):
+            best.add(query, cost, ids[row])
+
+
 def _scan(chunks: DataFrame, rows: pd.DataFrame, id_type: str, make: Callable[[pd.DataFrame], Scorer], k: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(rows)
 
@@ -150,9 +157,7 @@ def _scan(chunks: DataFrame, rows: pd.DataFrame, id_type: str, make: Callable[[p
         ids, score = shared.value["query_id"].tolist(), make(shared.value)
         best = Best(len(ids), k)
         for batch in batches:
-            if batch.num_rows:
-                query, row, cost = score(batch, best.bound)
-                best.add(query, cost, batch.column("chunk_id").to_numpy(zero_copy_only=False)[row])
+            _add_batch(best, score, batch)
         kind = pa.string() if id_type == "string" else pa.int64()
         yield pa.RecordBatch.from_pydict(
             {
@@ -178,25 +183,26 @@ def _blocked(chunks: DataFrame, queries: DataFrame, id_type: str, make: Callable
 
     left = chunks.withColumn("_cell", slot("chunk_id", cells)).withColumn("_block", every(blocks))
     right = queries.withColumn("_block", slot("query_id", blocks)).withColumn("_cell", every(cells))
-    list_columns = [c for c in ("vector", "features") if c in chunks.columns]
-
-    def pair(chunk_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "chunk_id", "cost"]
-        if chunk_rows.empty or query_rows.empty:
-            return pd.DataFrame({n: [] for n in names})
-        best = Best(len(query_rows), k)
-        for name in list_columns:
-            chunk_rows[name] = chunk_rows[name].map(list)
-        batch = pa.RecordBatch.from_pandas(chunk_rows, preserve_index=False)
-        query, row, cost = make(query_rows)(batch, best.bound)
-        best.add(query, cost, chunk_rows["chunk_id"].to_numpy()[row])
-        ids = query_rows["query_id"].to_numpy()
-        return pd.DataFrame({"query_id": ids[best.query], "chunk_id": best.chunk, "cost": best.cost})
+    kind = pa.string() if id_type == "string" else pa.int64()
+
+    def pair(chunk_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        best, ids = Best(query_rows.num_rows, k), query_rows.column("query_id").to_pylist()
+        if chunk_rows.num_rows and query_rows.num_rows:
+            score = make(query_rows.to_pandas())
+            for batch in chunk_rows.to_batches(max_chunksize=BLOCK_ROWS):
+                _add_batch(best, score, batch)
+        return pa.Table.from_pydict(
+            {
+                "query_id": pa.array([ids[q] for q in best.query], type=kind),
+                "chunk_id": pa.array(best.chunk, type=pa.int64()),
+                "cost": pa.array(best.cost, type=pa.float64()),
+            }
+        )
 
     return (
         left.groupBy("_cell", "_block")
         .cogroup(right.groupBy("_cell", "_block"))
-        .applyInPandas(pair, f"query_id {id_type}, chunk_id bigint, cost double")
+        .applyInArrow(pair, f"query_id {id_type}, chunk_id bigint, cost double")
     )
 
 

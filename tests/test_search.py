@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,18 @@ def test_labelled_pairs_need_all_candidates(spark):
     assert mt.labelled_pairs(questions, rows, 2).where("positive").count() == 1
     with pytest.raises(Exception, match="expected 20"):
         mt.labelled_pairs(questions, rows).collect()
+
+
+def test_rows_at_one_distance_come_in_pieces(monkeypatch):
+    """Equal vectors are all within the bound: no more than PAIRS of them are taken at once, and the lowest ids stay."""
+    monkeypatch.setattr(nn, "PAIRS", 64)
+    monkeypatch.setattr(nn, "CELLS", 1000)
+    rows = pa.array([[1.0, 0.0]] * 600, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600, 0, -1)), rows], names=["chunk_id", "vector"])
+    score, best = nn.vector_scorer(np.array([[0.0, 0.0], [1.0, 0.0]] * 5), None, 3), nn.Best(10, 3)
+    sizes = []
+    for query, row, cost in score(batch, best.bound):
+        sizes.append(len(query))
+        best.add(query, cost, batch.column("chunk_id").to_numpy()[row])
+    assert 0 < max(sizes) <= 64
+    assert best.chunk.tolist() == [1, 2, 3] * 10 and best.cost.tolist() == [1.0] * 3 + [0.0] * 3 + ([1.0] * 3 + [0.0] * 3) * 4
