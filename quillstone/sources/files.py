@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,17 +58,15 @@ def converted_name(filename: Column) -> Column:
     return F.concat(F.regexp_replace(name, r'[\\/:*?"<>|]', "_"), F.lit(".converted.md"))
 
 
-def empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the files of length zero below a folder, which Spark's file scan does not list."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    out = []
-    while listed.hasNext():
-        status = listed.next()
-        if status.getLen() == 0 and status.getPath().getName()[0] not in "._":
-            out.append(status.getPath().toString())
-    return out
+def empty_files(found: DataFrame) -> list[str]:
+    """Paths of the files of length zero behind a file scan, which lists them and leaves them out of its rows.
+
+    Names come over one by one, without the round trips that ask each file for its length.
+    """
+    # the list is of URLs, some with an empty host; the scan tells plain paths without one
+    listed = [re.sub(r"^([^/:]+):///", r"\1:/", unquote(url)) for url in found.inputFiles()]
+    paths = found.sparkSession.createDataFrame(pd.DataFrame({"path": listed}, dtype=object), "path string")
+    return [r.path for r in paths.join(found.select("path"), "path", "left_anti").collect()]
 
 
 def ingest_files(spark: SparkSession, path: str, max_mb: float = fixed.MAX_FILE_MB) -> DataFrame:
@@ -86,7 +85,7 @@ def ingest_files(spark: SparkSession, path: str, max_mb: float = fixed.MAX_FILE_
 
     kind = file_type(F.substring_index("path", "/", -1))
     taken = (F.col("length") <= limit) & kind.isin(readable)
-    empty = spark.createDataFrame([(p, 0) for p in empty_files(spark, path)], "path string, length long")
+    empty = spark.createDataFrame([(p, 0) for p in empty_files(found)], "path string, length long")
     rest = named(found.where(~taken).select("path", "length").unionByName(empty)).withColumnRenamed("length", "size")
     columns = ["doc_id", "filename", "filetype", "size"]
     judged = gate_format(rest, max_mb=max_mb).select(

@@ -204,3 +204,19 @@ def test_plans_stay_narrow_or_limited(spark, folder):
     assert limited.count("WindowGroupLimit") == 2
     searched = plan(QUERIES["knn_topk"](spark, folder))
     assert "NestedLoop" not in searched and "Cartesian" not in searched and "WindowGroupLimit" in searched
+
+
+def test_empty_files_have_any_name_and_no_round_trips(spark, tmp_path):
+    """The empty ones come from one list; their names are told as the scan tells others."""
+    for name in ("a b+c%é.md", "plain.txt", "e +%20.txt", "ü.html", "full.md"):
+        (tmp_path / name).write_text("# x" if name in ("a b+c%é.md", "full.md") else "", encoding="utf-8")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "none.exe").write_text("")
+    (tmp_path / "_hidden.txt").write_text("")
+    got = sorted((r.filename, r.size, r.error) for r in files.ingest_files(spark, str(tmp_path)).collect())
+    empty = [(name, 0, "empty_file") for name in ("e +%20.txt", "none.exe", "plain.txt", "ü.html")]
+    assert got == sorted([*empty, ("a b+c%é.md", 3, None), ("full.md", 3, None)])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    told = files.empty_files(found)
+    assert {path.rsplit("/", 1)[1] for path in told} == {name for name, *_ in empty}
+    assert {path[: path.index(str(tmp_path))] for path in [*told, *(r.path for r in found.collect())]} == {"file:"}
