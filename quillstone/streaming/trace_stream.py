@@ -46,30 +46,45 @@ def stream_trace_source(spark: SparkSession, path: str, files_per_trigger: int =
     return placed.mapInArrow(number, "value string, file_time long, file_path string, split_start long, line_no long")
 
 
+# Accepted events of a trace that its state holds as one value; more of them go to maps, which are asked key by key.
+RECENT = 512
+
+
 class _Accepted(StatefulProcessor):
-    """Accepts the events of one trace in their order of arrival, each id and each number once."""
+    """Accepts the events of one trace in their order of arrival, each id and each number once.
+
+    Every call on the state is a round trip. A short trace takes three for all of its events in a batch; of a long one
+    the value stays short, and the maps are asked for the events that it does not refuse.
+    """
 
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    def __init__(self, columns: list[str], recent: int = RECENT):
+        self.columns, self.limit = columns, recent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.recent = handle.getValueState("recent", "event_ids array<string>, numbers array<int>, spilled boolean")
         self.ids = handle.getMapState("event_ids", "event_id string", "place int")
         self.numbers = handle.getMapState("numbers", "sequence_no int", "place int")
 
     def accepted(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(PLACE, ignore_index=True)
-        kept, ids, numbers = [], set(), set()
+        old_ids, old_numbers, spilled = self.recent.get() if self.recent.exists() else ([], [], False)
+        kept, ids, numbers = [], dict.fromkeys(old_ids), dict.fromkeys(int(n) for n in old_numbers)
         for i, (event_id, number) in enumerate(zip(batch["event_id"].tolist(), batch["sequence_no"].tolist())):
+            number = int(number)
             if event_id in ids or number in numbers:
                 continue
-            if self.ids.containsKey((event_id,)) or self.numbers.containsKey((int(number),)):
+            if spilled and (self.ids.containsKey((event_id,)) or self.numbers.containsKey((number,))):
                 continue
-            ids.add(event_id)
-            numbers.add(number)
-            self.ids.updateValue((event_id,), (0,))
-            self.numbers.updateValue((int(number),), (0,))
+            ids[event_id] = numbers[number] = None
             kept.append(i)
+        if len(ids) > self.limit:
+            for event_id, number in zip(ids, numbers):
+                self.ids.updateValue((event_id,), (0,))
+                self.numbers.updateValue((number,), (0,))
+            self.recent.update(([], [], True))
+        elif kept:
+            self.recent.update((list(ids), list(numbers), spilled))
         return batch.iloc[kept]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -81,11 +96,11 @@ class _Accepted(StatefulProcessor):
         pass
 
 
-def accepted_events(events: DataFrame) -> DataFrame:
+def accepted_events(events: DataFrame, recent: int = RECENT) -> DataFrame:
     """Parsed events, placed in their files, that are the first of their trace with their id and with their number."""
     rocksdb(events.sparkSession)
     return events.groupBy("trace_id").transformWithStateInPandas(
-        statefulProcessor=_Accepted(events.columns), outputStructType=events.schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_Accepted(events.columns, recent), outputStructType=events.schema, outputMode="Append", timeMode="None"
     )
 
 

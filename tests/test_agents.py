@@ -431,3 +431,20 @@ def test_trace_lines_are_parsed_once(spark):
     assert plan.count("from_json") == 1, plan
     assert sorted((r.value, r.reject_reason) for r in tr.rejected_lines(lines.where("arrival <> 2")).collect()) == [("{broken", "malformed"), ("{}", "schema_version")]
     assert [r.reject_reason for r in tr.rejected_lines(lines.where("arrival = 2")).collect()] == ["malformed"]
+
+
+def test_long_traces_go_on_in_maps(spark, tmp_path):
+    """With room for three accepted events in the value, the others are in the maps: conflicts with both are found."""
+    source = tmp_path / "in"
+    source.mkdir()
+    run, sent = run_events("t"), []
+    parts = [run[:2], [*run[1:3], run[0] | {"sequenceNo": 90}], [*run[2:7], run[1] | {"eventId": "z"}], [*run, run[4] | {"sequenceNo": 91}, run[5] | {"eventId": "y"}]]
+    for part, rows in enumerate(parts):
+        told(rows, source / f"{part}.json")
+        sent += [e | {"arrival": len(sent) + i} for i, e in enumerate(rows)]
+        parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, str(source)))
+        writer = trace_stream.accepted_events(parsed, recent=3).writeStream.format("parquet").option("path", str(tmp_path / "o"))
+        writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    kept = tr.dedup_trace(tr.parse_trace(lines(spark, sent)))
+    key = lambda df: sorted((r.event_id, r.sequence_no) for r in df.select("event_id", "sequence_no").collect())
+    assert key(spark.read.parquet(str(tmp_path / "o"))) == key(kept) and len(key(kept)) == len(run)
