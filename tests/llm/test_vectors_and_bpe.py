@@ -284,3 +284,24 @@ def test_queries_over_whole_tables(spark, folder, library):
     moved = [(i, (label + 1) % 10 if i % 7 == 0 else label, *rest) for i, label, *rest in vectors]
     assert sorted(map(tuple, queries["op11_hard_negatives"](spark, folder).collect())) == brute_negatives(moved)
     assert ordered(queries["op13_resident_codes"](spark, folder).collect()) == ordered(brute_codes(vectors))
+
+
+def test_new_words_skip_the_search_for_pre_tokens(library, monkeypatch):
+    from quillstone.llm import byte_pieces
+
+    enc = byte_pieces.PieceEncoder(tokenizer_file())
+    searched: list[str] = []
+    lines, whole = enc._lines, enc.whole
+    monkeypatch.setattr(enc, "_lines", lambda words: searched.extend(words) or lines(words))
+    monkeypatch.setattr(enc, "whole", lambda texts: searched.extend(texts) or whole(texts))
+
+    def ids(text):
+        return struct.pack(f"<{len(i := library.encode(text, add_special_tokens=False).ids)}I", *i)
+
+    plain = "an erthea rean***\nÉLE!! geüß hareat. thoution&&&\nEst andhahaed, équeré ɏz"
+    assert enc.encode([plain]) == [ids(plain)] and set(searched) <= {".", ","}
+    rng = random.Random(5)
+    chars = "abZéßÀǀɏ×÷ªº'’-_.,!<|>endoftext12 \n　中ʰ"
+    odd = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    odd += ["a <|endoftext|> b", "x<|endoftext|>y", "a |endoftext|> b<| c", "I don't it's!'s I'll", "a'$ b$'s"]
+    assert enc.encode(odd) == [ids(t) for t in odd]
