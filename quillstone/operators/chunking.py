@@ -265,32 +265,102 @@ def strip_inline_markup(c: Column | str) -> Column:
     return F.array_join(lines, "\n")
 
 
-# Pages, and characters, per block of the running values over a document.
+# Pages, and characters, per block of the running values over a document; characters of a document gathered in one row.
 PAGE_BLOCK, CHAR_BLOCK = 64, 1 << 18
+GATHERED_CHARS = 1 << 18
 
 
 def page_range_chunks(
     pages: DataFrame,
     target_chars: int = fixed.PAGE_TARGET_CHARS,
     overlap_chars: int = fixed.PAGE_OVERLAP_CHARS,
+    gathered_chars: int = GATHERED_CHARS,
 ) -> DataFrame:
     """Chunks over the pages of documents: (doc_id, page, text) in.
 
     Paragraphs are gathered until a chunk has ``target_chars``; the next one starts with the last ``overlap_chars`` of
     it, without blanks in front, on the page where the last one ended. What is left at the end is a chunk too.
 
-    With its paragraphs one below the other, a document is one text, and every chunk a span of it. Where a chunk that
-    ends at a paragraph is followed by one that begins there, and where that one ends, follows from lengths alone, so
-    the next end of every paragraph is looked up for all at once; the ends that the first chunk leads to are found by
-    doubling these pointers. Texts are put together from the chosen spans only.
+    The paragraphs of a document of up to ``gathered_chars`` characters are brought together once and gathered in one
+    fold. Longer documents are not put into one row: their chunks are found as spans.
     """
     if not 0 <= overlap_chars < target_chars:
         raise ValueError("the overlap must be shorter than a chunk")
-    ordered = (
+    rows = pages.where("doc_id IS NOT NULL").select("doc_id", "page", "text")
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.length("text") + 1).alias("chars"))
+    long = materialise(sizes.where(F.col("chars") > gathered_chars).select("doc_id"), "long")
+    if long.isEmpty():
+        chunks = _gathered(rows, target_chars, overlap_chars)
+    else:
+        chunks = _gathered(rows.join(long, "doc_id", "left_anti"), target_chars, overlap_chars).unionByName(
+            _spanned(rows.join(long, "doc_id", "left_semi"), target_chars, overlap_chars)
+        )
+    digest = F.substring(F.sha1(F.concat_ws(":", F.col("page_start"), F.col("page_end"), F.col("content"))), 1, 12)
+    return chunks.select(
+        "doc_id",
+        F.concat(F.lit("chunk-"), F.lpad(F.col("ordinal").cast("string"), 4, "0"), F.lit("-"), digest).alias("chunk_id"),
+        F.col("ordinal").cast("int").alias("ordinal"),
+        F.col("page_start").cast("int").alias("page_start"),
+        F.col("page_end").cast("int").alias("page_end"),
+        "content",
+    )
+
+
+def _paragraphs(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, paragraph) without empty ones."""
+    return (
         pages.select("doc_id", "page", F.posexplode(F.split(normalize_text("text"), r"\n+")).alias("pos", "paragraph"))
-        .withColumn("paragraph", normalize_text("paragraph"))
+        .withColumn("paragraph", strip("paragraph"))
         .where(F.length("paragraph") > 0)
     )
+
+
+def _gathered(pages: DataFrame, target: int, overlap: int) -> DataFrame:
+    """(doc_id, ordinal, page_start, page_end, content): one fold over the paragraphs of each document."""
+    ordered = _paragraphs(pages)
+    page = ordered.schema["page"].dataType.simpleString()
+    pieces = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "pos", "paragraph"))).alias("_p"))
+
+    def chunk(start: Column, end: Column, content: Column) -> Column:
+        return F.array(F.struct(start.alias("page_start"), end.alias("page_end"), content.alias("content")))
+
+    def add(seen: Column, x: Column) -> Column:
+        start = F.when(seen["n"] == 0, x["page"]).otherwise(seen["start"])
+
+        def with_buffer(text: Column) -> Column:
+            full = F.length(text) >= target
+            return F.struct(
+                (seen["n"] + 1).alias("n"),
+                F.when(full, F.right(text, F.lit(overlap))).otherwise(text).alias("buffer"),
+                F.when(full, x["page"]).otherwise(start).alias("start"),
+                x["page"].alias("page"),
+                F.when(full, F.concat(seen["chunks"], chunk(start, x["page"], text))).otherwise(seen["chunks"]).alias("chunks"),
+            )
+
+        return let(strip(F.concat(seen["buffer"], F.lit("\n"), x["paragraph"])), with_buffer)
+
+    def close(seen: Column) -> Column:
+        rest = chunk(seen["start"], seen["page"], strip(seen["buffer"]))
+        return F.when(has_text(seen["buffer"]), F.concat(seen["chunks"], rest)).otherwise(seen["chunks"])
+
+    none = F.lit(None).cast(page)
+    begin = F.struct(
+        F.lit(0).alias("n"), F.lit("").alias("buffer"), none.alias("start"), none.alias("page"),
+        F.array().cast(f"array<struct<page_start:{page},page_end:{page},content:string>>").alias("chunks"),
+    )
+    chunks = pieces.select("doc_id", F.posexplode(F.aggregate("_p", begin, add, close)).alias("_at", "_c"))
+    return chunks.select("doc_id", (F.col("_at") + 1).cast("long").alias("ordinal"), "_c.page_start", "_c.page_end", "_c.content")
+
+
+def _spanned(pages: DataFrame, target_chars: int, overlap_chars: int) -> DataFrame:
+    """The same for documents of any length.
+
+    With its paragraphs one below the other, a document is one text, and every chunk a span of it. Where a chunk that
+    ends at a paragraph is followed by one that begins there, and where that one ends, follows from lengths alone, so
+    the next end of every paragraph is looked up for all at once; the ends that the first chunk leads to are found by
+    doubling these pointers. Texts are put together from the chosen spans only.
+    """
+    ordered = _paragraphs(pages)
     counted = running(
         ordered, ["doc_id"], ["page", "pos"], F.floor(F.col("page") / PAGE_BLOCK),
         sums={"j": F.lit(1), "upto": F.length("paragraph") + 1},
@@ -314,15 +384,7 @@ def page_range_chunks(
     )
     at = paragraphs.select("doc_id", F.col("j").alias("_at"), F.col("page").alias("page_start"))
     begun = spans.select("doc_id", "ordinal", F.greatest("j", F.lit(1)).alias("_at")).join(at, ["doc_id", "_at"])
-    digest = F.substring(F.sha1(F.concat_ws(":", F.col("page_start"), F.col("page_end"), F.col("content"))), 1, 12)
-    return texts.join(begun, ["doc_id", "ordinal"]).select(
-        "doc_id",
-        F.concat(F.lit("chunk-"), F.lpad(F.col("ordinal").cast("string"), 4, "0"), F.lit("-"), digest).alias("chunk_id"),
-        F.col("ordinal").cast("int").alias("ordinal"),
-        F.col("page_start").cast("int").alias("page_start"),
-        F.col("page_end").cast("int").alias("page_end"),
-        "content",
-    )
+    return texts.join(begun, ["doc_id", "ordinal"]).select("doc_id", "ordinal", "page_start", "page_end", "content")
 
 
 def _next_ends(paragraphs: DataFrame, target: int, overlap: int) -> DataFrame:

@@ -135,6 +135,20 @@ def test_page_ranges_follow_the_rule(spark, target, overlap):
         assert got.get(d, []) == want
 
 
+def test_page_ranges_of_short_and_long_documents_are_the_same(spark, monkeypatch):
+    """Documents that fit are gathered without the passes over spans; longer ones are not, and give the same chunks."""
+    rng = random.Random(4)
+    rows = [(d, p, "\n".join(" ".join(["word", "\u00a0x", "ab cd"][rng.randrange(3)] for _ in range(rng.randint(0, 9))) for _ in range(3))) for d in range(30) for p in range(rng.randint(1, 40))]
+    rows += [(None, 1, "no id " * 50), (77, 1, None), (78, None, "first"), (78, 5, "then " * 30)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, page int, text string")
+    key = lambda r: (r.doc_id, r.ordinal)
+    long = sorted(ck.page_range_chunks(pages, 90, 30, gathered_chars=0).collect(), key=key)
+    some = sorted(ck.page_range_chunks(pages, 90, 30, gathered_chars=900).collect(), key=key)
+    assert long and some == long
+    monkeypatch.setattr(ck, "_spanned", None)
+    assert sorted(ck.page_range_chunks(pages, 90, 30).collect(), key=key) == long
+
+
 def test_tables_survive_inline_stripping(spark):
     text = "a **bold** [link](http://x) `code`\n| a | **b** |\n> quoted"
     got = spark.createDataFrame([(text,)], "t string").select(ck.strip_inline_markup("t")).first()[0]
