@@ -104,7 +104,7 @@ def number_rows(df: DataFrame, order: list[str], block: Column) -> DataFrame:
 
 def good_chunk_filter(content: Column, min_chars: int = 180, min_han: int = 80, max_code_share: float = 0.55) -> Column:
     lines = F.split(content, LINE_BREAK)
-    code = F.size(F.filter(lines, lambda line: _starts_with(strip(line), fixed.CODE_LINE_STARTS)))
+    code = _code_lines(lines, fixed.CODE_LINE_STARTS)
     return (
         (F.length(content) >= min_chars)
         & (count_cjk(content) >= min_han)
@@ -119,18 +119,32 @@ def _starts_with(c: Column, starts: list[str]) -> Column:
     return out
 
 
+def _code_lines(lines: Column, starts: list[str]) -> Column:
+    # Each line is stripped once, not once for each start.
+    return F.size(F.filter(F.transform(lines, strip), lambda line: _starts_with(line, starts)))
+
+
+def _table_lines(lines: Column) -> Column:
+    bars = lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    return F.size(F.filter(lines, lambda line: bars(line) >= 2))
+
+
+def _block_lines(block: Column) -> Column:
+    # A block that ends in a line break has no empty last line.
+    return F.split(F.regexp_replace(block, r"\n\z", ""), LINE_BREAK)
+
+
 def blocks_of(content: Column) -> Column:
     return F.filter(F.split(content, r"\n{2,}"), lambda b: F.length(strip(b)) > 0)
 
 
 def block_measures(block: Column) -> Column:
-    # A block that ends in a line break has no empty last line.
-    lines = F.split(F.regexp_replace(block, r"\n\z", ""), LINE_BREAK)
+    lines = _block_lines(block)
     return F.struct(
         F.length(block).alias("chars"),
         count_cjk(block).alias("cjk"),
-        F.size(F.filter(lines, lambda x: _starts_with(strip(x), fixed.BLOCK_CODE_STARTS))).alias("code_lines"),
-        F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"[^|]", "")) >= 2)).alias("table_lines"),
+        _code_lines(lines, fixed.BLOCK_CODE_STARTS).alias("code_lines"),
+        _table_lines(lines).alias("table_lines"),
         F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^\s*([-*+]|[0-9]+\.)\s+")))).alias("bullet_lines"),
         F.size(lines).alias("line_count"),
     )
@@ -144,19 +158,27 @@ def block_stats(chunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def technical_chunk_filter(content: Column, min_chars: int = 80, min_han: int = 25, share: float = 0.55) -> Column:
-    """True when a chunk is too short, has too little Han text, or is mostly code or tables."""
-    measured = F.transform(blocks_of(content), block_measures)
-    half = lambda m, least: F.greatest(F.lit(least), F.floor(m["line_count"] / 2))
-    code = F.size(F.filter(measured, lambda m: m["code_lines"] >= half(m, 2)))
-    tables = F.size(F.filter(measured, lambda m: m["table_lines"] >= half(m, 3)))
-    total = F.greatest(F.size(measured), F.lit(1))
-    return (
-        (F.length(content) < min_chars)
-        | (count_cjk(content) < min_han)
-        | (F.size(measured) == 0)
-        | (code / total >= share)
-        | (tables / total >= share)
+    """True when a chunk is too short, has too little Han text, or is mostly code or tables.
+
+    One pass over the blocks takes the measures that are asked for, and each block is cut into lines once.
+    """
+    half = lambda lines, least: F.greatest(F.lit(least), F.floor(F.size(lines) / 2))
+    kinds = lambda lines: F.struct(
+        (_code_lines(lines, fixed.BLOCK_CODE_STARTS) >= half(lines, 2)).cast("int").alias("code"),
+        (_table_lines(lines) >= half(lines, 3)).cast("int").alias("tables"),
+    )
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("code"), F.lit(0).alias("tables"))
+    add = lambda seen, kind: F.struct(
+        (seen["n"] + 1).alias("n"), (seen["code"] + kind["code"]).alias("code"), (seen["tables"] + kind["tables"]).alias("tables")
+    )
+    technical = lambda seen: (
+        (seen["n"] == 0) | (seen["code"] / F.greatest(seen["n"], F.lit(1)) >= share) | (seen["tables"] / F.greatest(seen["n"], F.lit(1)) >= share)
     )
+    lined = F.transform(blocks_of(content), _block_lines)
+    short = F.length(content) < min_chars
+    if min_han > 0:
+        short = short | (count_cjk(content) < min_han)
+    return short | F.aggregate(F.transform(lined, kinds), none, add, technical)
 
 
 def answer_source(

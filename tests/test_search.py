@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -243,3 +244,35 @@ def test_rows_at_one_distance_come_in_pieces(monkeypatch):
         best.add(query, cost, batch.column("chunk_id").to_numpy()[row])
     assert 0 < max(sizes) <= 64
     assert best.chunk.tolist() == [1, 2, 3] * 10 and best.cost.tolist() == [1.0] * 3 + [0.0] * 3 + ([1.0] * 3 + [0.0] * 3) * 4
+
+
+def test_technical_filter_takes_each_line_once(spark):
+    from quillstone import fixed_values as fixed
+    from quillstone.operators import evalset as ev
+
+    texts = [
+        "import a\nimport b\n\n| a | b |\n|--|--|\n| c | d |\n\n  \n\nplain text " + "w" * 80,
+        " import a\n  def f\n\n" + "# x\n" * 30, "word " * 40, "import " * 30, "short", "\n\n" + " " * 90, "", None,
+        "a | b\n" * 20, "a || b\n| c | d |\n|e|\n\n" * 9, "```\n~~~\n\nfrom x\n@tool\n\n" * 6, "漢字" * 50 + "\n\nimport",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+
+    def blocks(text):
+        for block in filter(lambda b: b.strip(), re.split(r"\n{2,}", text)):
+            lines = re.sub(r"\n\Z", "", block).split("\n")
+            code = sum(x.strip().startswith(tuple(fixed.BLOCK_CODE_STARTS)) for x in lines)
+            yield code >= max(2, len(lines) // 2), sum(x.count("|") >= 2 for x in lines) >= max(3, len(lines) // 2)
+
+    for han in (0, 25):
+        asked = df.select("i", ev.technical_chunk_filter(F.col("content"), min_han=han).alias("technical"))
+        for r in asked.collect():
+            text = texts[r.i]
+            if text is None:
+                assert r.technical is None
+                continue
+            kinds = list(blocks(text))
+            share = max((sum(k) / len(kinds) for k in zip(*kinds)), default=1)
+            few = len(re.findall("[一-鿿]", text)) < han
+            assert r.technical == (len(text) < 80 or few or share >= 0.55), r.i
+        plan = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("trim(") <= 2 and plan.count("split(") <= 2
