@@ -153,7 +153,7 @@ def search(
 
     A bin is filled around the largest piece left; fillings are tried by waste, and the search turns back once the waste
     of the open bins exceeds what one bin less than the incumbent allows. ``budget`` bounds the sizes tried, after the
-    first descent where that is free.
+    first descent where that is free; the descent ends where the search first turns back.
     """
     count = np.bincount(sizes, minlength=capacity + 1).tolist()
     volume = int(sizes.sum())
@@ -197,6 +197,8 @@ def search(
                 waste = before + options[used][0]
                 break
             take((largest,), -1)
+            if not descended:  # no filling of this bin is within the allowance
+                descended, budget = True, budget + limits.used
         if not path:
             return incumbent
 

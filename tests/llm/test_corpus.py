@@ -466,6 +466,22 @@ def test_bin_completion_stays_within_its_trials(monkeypatch):
         assert sum(m.used for m in made) <= first + packing.SEARCH_TRIALS + 2048
 
 
+def test_first_descent_ends_where_the_search_turns_back():
+    """No filling of a bin is within the allowance before all pieces are placed: what is tried from there on is bounded."""
+
+    class Bounded(packing.Fillings):
+        def of(self, *args):
+            assert self.used <= 5000
+            return super().of(*args)
+
+    for seed in (46, 94, 99):
+        sizes = np.minimum(1000, np.random.default_rng(seed).lognormal(5.5, 0.9, 300).astype(int) + 1)
+        first = packing.best_fit(np.bincount(sizes, minlength=1001).tolist(), 1000)
+        bins = packing.search(sizes, 1000, first, len(first) - 1, Bounded(4, 2, 2), 200)
+        assert sorted(s for b in bins for s in b) == sorted(sizes.tolist()) and all(sum(b) <= 1000 for b in bins)
+        assert len(bins) <= len(first)
+
+
 def test_mixing(docs, none):
     rows = clean(docs).collect()
     size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
