@@ -4,7 +4,8 @@ How many edits make a near-equal line follows from the length of the shorter one
 share one of k + 1 segments of the shorter line, at a place that the lengths and the segment's number narrow down. Each
 line indexes its own segments; its other substrings that may equal a segment of a line up to k shorter are probes. Probes
 are held against a bit filter of the index keys where the texts lie, so that few of them are shuffled. Lines that meet at
-a key are verified by banded bit-parallel edit distance.
+a key are compared by their lengths and letter counts first; those left get their texts and are verified by banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ LONG, WIDTH, FAR = 200, 40, 32
 PAIRWISE = 48
 # Lines of a group that meet in one task, at most twice as many.
 BLOCK = 20_000
-# The filter of index keys has 16 bits for each key up to this many words of 64 bits (32 MB), and is fuller beyond. A key
-# sets up to BITS bits of one word.
-PROBE_WORDS = 1 << 22
+# The filter of index keys has 16 bits for each key up to this many words of 64 bits (128 MB), and from there on down to 8.
+# More keys are taken in slices, each with its own filter and pass over the probes. A key sets up to BITS bits of one word.
+PROBE_WORDS = 1 << 24
 BITS = 4
+# Bins that the characters of a line are counted in, modulo 256, before its text is looked at.
+BINS = 32
 # Slots that the three-grams of a line are counted in.
 GRAM_SLOTS = 512
+# Groups of up to this many lines have all their pairs looked at together.
+FEW = 128
 # Lines that a task remembers to look at repeated ones once.
 REMEMBERED = 1 << 18
 
@@ -234,6 +239,40 @@ def one_edit_pairs(lines: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip(o[same + 1].tolist(), o[same].tolist())
 
 
+def gram_counts(line: str) -> np.ndarray:
+    """A line's three-grams, counted in GRAM_SLOTS slots; counts are cut off at 32767."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+    return np.minimum(np.bincount((mixed >> 16) % GRAM_SLOTS, minlength=GRAM_SLOTS), 32767).astype(np.int16)
+
+
+def like_few(
+    lines: list[str], threshold: int | None, groups: list[set[int]] | None, name: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """What :func:`like_lines` gives, for at most FEW lines: all pairs by lengths and letter counts at once, then the
+    groups, and three-grams only of lines that still have a pair."""
+    size = np.array([len(x) for x in lines], np.int64)
+    most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
+    counts = letter_counts(lines)
+    edits = np.minimum(most[:, None], most[None, :])
+    high, low = np.nonzero(np.tril(np.abs(size[:, None] - size[None, :]) <= edits, -1))
+    x, y = counts[high], counts[low]
+    near = np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64) <= 2 * edits[high, low]
+    lower = [{g for g in among if g < name} for among in groups or []]
+    grams: dict[int, np.ndarray] = {}
+    found: dict[int, list[int]] = {}
+    for i, j in zip(high[near].tolist(), low[near].tolist()):
+        if lower and not lower[i].isdisjoint(lower[j]):
+            continue
+        for k in (i, j):
+            if k not in grams:
+                grams[k] = gram_counts(lines[k])
+        if np.abs(grams[i] - grams[j]).sum(dtype=np.int64) <= 6 * edits[i, j]:
+            found.setdefault(i, []).append(j)
+    for i, js in found.items():
+        yield i, np.array(js, np.int64)
+
+
 def like_lines(
     lines: list[str], threshold: int | None, groups: list[set[int]] | None = None, name: int = 0
 ) -> Iterator[tuple[int, np.ndarray]]:
@@ -245,6 +284,9 @@ def like_lines(
         for i in range(1, len(lines)):
             yield i, np.array([j for j in range(i) if groups is None or min(groups[i] & groups[j]) == name], np.int64)
         return
+    if len(lines) <= FEW:
+        yield from like_few(lines, threshold, groups, name)
+        return
     size = np.array([len(x) for x in lines], np.int64)
     most = np.array([edits_for(len(x), threshold) for x in lines], np.int64)
     counts = np.zeros((len(lines), 64), np.int32)
@@ -252,8 +294,7 @@ def like_lines(
     for i, line in enumerate(lines):
         codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
         counts[i] = np.bincount(codes & 63, minlength=64)
-        mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
-        grams[i] = np.minimum(np.bincount((mixed >> 16) % GRAM_SLOTS, minlength=GRAM_SLOTS), 32767)
+        grams[i] = gram_counts(line)
     lower: dict[int, list[int]] = {}
     for i, among in enumerate(groups or []):
         for g in among:
@@ -310,6 +351,38 @@ def group_links(
     return out
 
 
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """A row of BINS bytes for each line: its characters by their last bits, counted modulo 256."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & BINS - 1
+    codes += np.repeat(np.arange(len(lines)) * BINS, np.array([len(x) for x in lines], np.int64))
+    return np.bincount(codes, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.uint8)
+
+
+def with_partner(group: np.ndarray, size: np.ndarray, counts: np.ndarray, threshold: int | None) -> np.ndarray:
+    """Marks lines that may be within their edits of another line of their group, by lengths and letter counts alone.
+
+    Rows lie by group and size. An edit changes the counts by two at most, and counts modulo 256 only come nearer, so no
+    line with a partner is lost.
+    """
+    most = np.maximum(np.minimum(3, size // 20), size // 50) if threshold is None else np.full(len(size), threshold, np.int64)
+    found = np.zeros(len(size), bool)
+    low = np.arange(len(size))
+    step = 0
+    while len(low):
+        step += 1
+        low = low[low < len(size) - step]
+        high = low + step
+        # sizes grow within a group: what is out of reach here stays so further on
+        low = low[(group[low] == group[high]) & (size[high] - size[low] <= most[low])]
+        open_ = low[~(found[low] & found[low + step])]
+        for at in range(0, len(open_), 1 << 16):
+            a = open_[at : at + (1 << 16)]
+            x, y = counts[a], counts[a + step]
+            near = a[np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64) <= 2 * most[a]]
+            found[near] = found[near + step] = True
+    return found
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line): lines with a visible character, numbered from 0 in their text."""
     cut = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
@@ -321,43 +394,51 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("key"))
 
 
-def segment_rows(docs: DataFrame, threshold: int | None, shortest: int, words: np.ndarray | None = None) -> DataFrame:
+def segment_rows(
+    docs: DataFrame, threshold: int | None, shortest: int, words: np.ndarray | None = None, part: tuple[int, int] = (0, 1)
+) -> DataFrame:
     """(seg, key): the segments of each line of ``shortest`` or more characters; or, where the words of a bit filter are
-    given, the line's probes that pass it. Lines repeated within a task come once as far as it remembers them."""
+    given, the line's probes of slice ``part`` (number, of how many) that pass it. Lines repeated within a task come once
+    as far as it remembers them."""
     told = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
+    def passing(found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, slices = part
+        if slices > 1:
+            mine = (found >> np.uint64(24) & np.uint64(0xFFFF)) % np.uint64(slices) == number
+            found, owner = found[mine], owner[mine]
+        bits = told.value
+        held = bits[(found & np.uint64(len(bits) - 1)).view(np.int64)]
+        for b in range(BITS):  # most go at the first bits
+            there = np.flatnonzero(held >> (found >> np.uint64(58 - 6 * b) & np.uint64(63)) & np.uint64(1))
+            found, owner, held = found[there], owner[there], held[there]
+        order = np.lexsort((found, owner))  # a line that repeats itself has few different keys
+        found, owner = found[order], owner[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+        return found[new], owner[new]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in in_blocks(batch, "line"):
+            for block in in_blocks(batch, "line"):
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                fresh = {k: x for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if k not in seen}
+                fresh = {k: x for k, x in zip(block.column(0).to_pylist(), block.column(1).to_pylist()) if k not in seen}
                 seen.update(fresh)
                 found, many = keys_at(list(fresh.values()), told is not None, threshold)
                 owner = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), many)
                 if told is not None and len(found):
-                    bits = told.value
-                    mask = np.zeros(len(found), np.uint64)
-                    for b in range(BITS):
-                        mask |= np.uint64(1) << (found >> np.uint64(58 - 6 * b) & np.uint64(63))
-                    there = bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] & mask == mask
-                    found, owner = found[there], owner[there]
-                    order = np.lexsort((found, owner))  # a line that repeats itself has few different keys
-                    found, owner = found[order], owner[order]
-                    new = np.ones(len(found), bool)
-                    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-                    found, owner = found[new], owner[new]
+                    found, owner = passing(found, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(owner)], names=["seg", "key"])
 
     long = lines_of(docs).where(F.length("line") >= shortest).select(F.xxhash64("line").alias("key"), "line")
     return long.mapInArrow(tidy(run), "seg long, key long")
 
 
-def filter_words(index: DataFrame) -> np.ndarray:
-    """The words of a bit filter over ``seg``: 16 bits for each row, PROBE_WORDS words at most."""
+def filter_words(index: DataFrame, rows: int) -> np.ndarray:
+    """The words of a bit filter over ``seg`` of about ``rows`` rows: 16 bits for each, PROBE_WORDS words at most."""
     size = 1024
-    rows = index.count()
     while size < PROBE_WORDS and size * 4 < rows:
         size *= 2
     bits = F.lit(0).cast("long")
@@ -370,16 +451,81 @@ def filter_words(index: DataFrame) -> np.ndarray:
     return words
 
 
+def probe_rows(docs: DataFrame, index: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
+    """(seg, key): the probes that pass the filter of the index keys, in as many slices of keys as keep it from filling."""
+    rows = index.count()
+    slices = max(1, -(-rows // (PROBE_WORDS * 8)))
+    place = F.shiftrightunsigned("seg", 24).bitwiseAND(F.lit(0xFFFF)) % slices
+    out = []
+    for number in range(slices):
+        words = filter_words(index.where(place == number) if slices > 1 else index, rows // slices)
+        out.append(materialise(segment_rows(docs, threshold, shortest, words, (number, slices)), "probes"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+PLACE = ["seg", "_i", "_j"]
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """(key, line, size, counts) of (key, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in in_blocks(batch, "line"):
+                texts = block.column(1).to_pylist()
+                counts = pa.array([x.tobytes() for x in letter_counts(texts)], pa.binary())
+                columns = [*block.columns, pa.array([len(x) for x in texts], pa.int64()), counts]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "line", "size", "counts"])
+
+    return lines.select("key", "line").mapInArrow(tidy(run), "key long, line string, size long, counts binary")
+
+
+def near_rows(rows: DataFrame, threshold: int | None) -> DataFrame:
+    """The places and keys of ``rows`` (place, size, key, counts) that :func:`with_partner` leaves. A task holds one group
+    and one batch of numbers, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept = batch if kept is None else pa.concat_batches([kept, batch])
+            last = group_of(kept)
+            whole = int(last[-1])  # rows before the last group
+            if whole:
+                yield left(kept.slice(0, whole))
+                kept = pa.concat_batches([kept.slice(whole)])
+        if kept is not None:
+            yield left(kept)
+
+    def group_of(batch: pa.RecordBatch) -> np.ndarray:
+        """Number of the first row of each row's group."""
+        new = np.zeros(batch.num_rows, bool)
+        for i in range(3):
+            column = batch.column(i).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+    def left(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+        found = with_partner(group_of(batch), batch.column(3).to_numpy(), counts, threshold)
+        return batch.select([0, 1, 2, 4]).filter(pa.array(found))
+
+    placed = rows.select(*PLACE, "size", "key", "counts").repartition(*PLACE).sortWithinPartitions(*PLACE, "size")
+    return placed.mapInArrow(tidy(run), "seg long, _i int, _j int, key long")
+
+
 def line_links(docs: DataFrame, threshold: int | None, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between line keys.
 
     Index keys are written first; probes that pass the filter of them follow. Keys that only one line has are dropped by
     a minimum and a maximum, summed before the shuffle. Keys with the same lines are looked at once. A group beyond
-    ``block`` lines is cut into blocks and each two of them meet, so no task holds more than two blocks.
+    ``block`` lines is cut into blocks and each two of them meet, so no task holds more than two blocks. Groups first meet
+    without texts, by lengths and letter counts; texts go only to where a line may have a partner.
     """
     with text_batches(docs.sparkSession, 10_000):
         index = materialise(segment_rows(docs, threshold, shortest), "index")
-        probes = materialise(segment_rows(docs, threshold, shortest, filter_words(index)), "probes")
+        probes = probe_rows(docs, index, threshold, shortest)
     met = index.unionByName(probes)
     several = met.groupBy("seg").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low < _high")
     several = materialise(several.select("seg"), "several")
@@ -403,7 +549,13 @@ def line_links(docs: DataFrame, threshold: int | None, shortest: int = SHORTEST,
     texts = lines_of(docs).select(F.xxhash64("line").alias("key"), "line")
     flagged = flag_by_filter(texts, F.col("key"), bit_filter(lists, F.col("key"))).where("__maybe").select("key", "line")
     # one copy of each line: equal keys are equal lines, and the group needs no text but as its key
-    rows = flagged.distinct().join(lists, "key").withColumn("_at", F.explode("places"))
+    with text_batches(docs.sparkSession, 10_000):
+        told = materialise(sketched(flagged.distinct()), "texts")
+        placed = told.join(lists, "key").select(F.explode("places").alias("_at"), "key", "size", "counts")
+        near = near_rows(placed.select("_at.*", "key", "size", "counts"), threshold)
+        lists = materialise(near.groupBy("key").agg(F.collect_list(F.struct(*PLACE)).alias("places")), "near")
+    # lines that may be near meet in all groups that both are in, so the least of them is still among those left
+    rows = told.select("key", "line").join(lists, "key").withColumn("_at", F.explode("places"))
     rows = rows.select("_at.*", "key", "line", F.array_distinct("places.seg").alias("groups"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,8 +580,7 @@ def line_links(docs: DataFrame, threshold: int | None, shortest: int = SHORTEST,
         a, b = zip(*found) if found else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    names = ["seg", "_i", "_j"]
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long").distinct()
+    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def line_classes(docs: DataFrame, threshold: int | None = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:

@@ -324,6 +324,43 @@ def test_line_dedup_by_length(spark):
     assert {r.doc_id: r.n_dropped for r in line_join.line_dedup(near).collect()} == {1: 0, 2: 1}
 
 
+def test_lines_of_one_segment_without_a_partner_get_no_text():
+    own = random.Random(11)
+    shared = "".join(own.choice("abcdef ") for _ in range(60))
+    lines = [shared + "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)) for _ in range(40)]
+    lines += [lines[3][:200] + "Z" + lines[3][201:], lines[7] + "zé", "\ud800" + lines[7]]
+    group = np.zeros(len(lines), np.int64)
+    group[20:40] = 1
+    order = sorted(range(len(lines)), key=lambda i: (group[i], len(lines[i])))
+    group, lines = group[order], [lines[i] for i in order]
+    size = np.array([len(x) for x in lines])
+    found = line_join.with_partner(group, size, line_join.letter_counts(lines), None)
+    near = set()
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        most = line_join.edits_for(min(size[a], size[b]), None)
+        if group[a] == group[b] and line_join.edit_distance(lines[a], lines[b], most) <= most:
+            near |= {a, b}
+    assert len(near) == 5 and set(np.flatnonzero(found).tolist()) == near
+    assert line_join.with_partner(group[:0], size[:0], line_join.letter_counts([]), None).tolist() == []
+
+
+def test_probes_in_slices_are_those_of_one_pass(spark, monkeypatch):
+    own = random.Random(12)
+    lines = []
+    for n in (25, 50, 80, 150, 230, 400):
+        base = "".join(own.choice("abcdef ") for _ in range(n)) + "end"
+        for _ in range(8):
+            at = own.randrange(n)
+            lines.append(base[:at] + own.choice("xyz") + base[at + own.randrange(2) :])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    index = line_join.materialise(line_join.segment_rows(df, None, 20), "index")
+    exact = index.select("seg").distinct()
+    once = line_join.probe_rows(df, index, None, 20).join(exact, "seg", "left_semi").distinct().collect()
+    monkeypatch.setattr(line_join, "PROBE_WORDS", index.count() // 20)
+    sliced = line_join.probe_rows(df, index, None, 20)
+    assert once and sorted(sliced.join(exact, "seg", "left_semi").distinct().collect()) == sorted(once)
+
+
 @pytest.fixture(scope="module")
 def tokens():
     from tokenizers import Tokenizer
