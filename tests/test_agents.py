@@ -253,6 +253,15 @@ def test_gaps(spark):
     assert out["head"].head_missing and not out["head"].trace_incomplete and out["tail"].tail_missing
 
 
+def test_completeness_names_every_missing_range(spark):
+    """All ranges come out, not their count and first number alone; a null trace is one like others."""
+    numbers = {"t": [2, 3, 7, 8, 12, 20_000], "whole": [1, 2, 3], None: [1, 5]}
+    rows = [(t, n, "RUN_STARTED") for t, ns in numbers.items() for n in ns]
+    got = {r.trace_id: r for r in tr.trace_completeness(spark.createDataFrame(rows, "trace_id string, sequence_no int, event_type string")).collect()}
+    assert {t: [tuple(x) for x in r.missing] for t, r in got.items()} == {"t": [(4, 6), (9, 11), (13, 19_999)], "whole": [], None: [(2, 4)]}
+    assert {t: (r.missing_count, r.first_missing) for t, r in got.items()} == {"t": (19_993, 4), "whole": (0, None), None: (3, 2)}
+
+
 def test_strict_dedup_agrees_with_inserts(spark):
     rng = random.Random(9)
     rows = [(f"e{rng.randint(0, 25)}", f"t{rng.randint(0, 3)}", rng.randint(1, 8), i) for i in range(120)]
