@@ -1,7 +1,7 @@
 """Trace lines as a stream: numbered as they lie in their files, each event accepted once, run summaries kept up to date.
 
-The state is keyed by trace and holds the event ids and numbers that were accepted, so no stored event is read again and
-a conflict is found however long ago the other event came. An id belongs to one run: the batch form also looks across
+The state holds, trace by trace within buckets of traces, the event ids and numbers that were accepted, so no stored event
+is read again and a conflict is found however long ago the other event came. An id belongs to one run: the batch form also looks across
 traces, the stream does not. State and output of a micro-batch are fixed by its files, so a repeated batch overwrites
 itself.
 """
@@ -9,10 +9,11 @@ itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -48,13 +49,28 @@ def stream_trace_source(spark: SparkSession, path: str, files_per_trigger: int =
 
 # Accepted events of a trace that its state holds as one value; more of them go to maps, which are asked key by key.
 RECENT = 512
+# Traces are dealt out to this many keys of the state, so that a call handles the events of many short traces. The number
+# is part of the state's form.
+BUCKETS = 1024
+
+
+@dataclass
+class _Run:
+    """What the state holds of a trace, with the events of a batch that were accepted added."""
+
+    ids: dict[str, None] = field(default_factory=dict)
+    numbers: dict[int, None] = field(default_factory=dict)
+    spilled: bool = False
+    last_ms: int | None = None
+    ended: bool = False
+    kept: list[int] = field(default_factory=list)
 
 
 class _Accepted(StatefulProcessor):
-    """Accepts the events of one trace in their order of arrival, each id and each number once.
+    """Accepts the events of a bucket of traces in their order of arrival, each id and each number of a trace once.
 
-    Every call on the state is a round trip. A short trace takes three for all of its events in a batch; of a long one
-    the value stays short, and the maps are asked for the events that it does not refuse.
+    Every call on the state is a round trip. A short trace takes two for all of its events in a batch; of a long one the
+    value stays short, and the maps are asked for the events that it does not refuse.
     """
 
     def __init__(self, columns: list[str], recent: int = RECENT):
@@ -62,44 +78,61 @@ class _Accepted(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getValueState("recent", "event_ids array<string>, numbers array<int>, spilled boolean")
-        self.ids = handle.getMapState("event_ids", "event_id string", "place int")
-        self.numbers = handle.getMapState("numbers", "sequence_no int", "place int")
-
-    def accepted(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        value = "event_ids array<string>, numbers array<int>, spilled boolean, last_ms bigint, ended boolean"
+        self.recent = handle.getMapState("recent", "trace_id string", value)
+        self.ids = handle.getMapState("event_ids", "trace_id string, event_id string", "place int")
+        self.numbers = handle.getMapState("numbers", "trace_id string, sequence_no int", "place int")
+
+    def held(self, trace: str) -> _Run:
+        found = self.recent.getValue((trace,))
+        if found is None:
+            return _Run()
+        ids, numbers, spilled, last, ended = found
+        return _Run(dict.fromkeys(ids), dict.fromkeys(int(n) for n in numbers), spilled, last, ended)
+
+    def hold(self, trace: str, run: _Run) -> None:
+        if len(run.ids) > self.limit:
+            for event_id, number in zip(run.ids, run.numbers):
+                self.ids.updateValue((trace, event_id), (0,))
+                self.numbers.updateValue((trace, number), (0,))
+            run.ids, run.numbers, run.spilled = {}, {}, True
+        self.recent.updateValue((trace,), (list(run.ids), list(run.numbers), run.spilled, run.last_ms, run.ended))
+
+    def accepted(self, rows: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, dict[str, _Run]]:
+        """The rows in their order of arrival, and the traces of which some were accepted; they are not held yet."""
         batch = pd.concat(list(rows), ignore_index=True).sort_values(PLACE, ignore_index=True)
-        old_ids, old_numbers, spilled = self.recent.get() if self.recent.exists() else ([], [], False)
-        kept, ids, numbers = [], dict.fromkeys(old_ids), dict.fromkeys(int(n) for n in old_numbers)
-        for i, (event_id, number) in enumerate(zip(batch["event_id"].tolist(), batch["sequence_no"].tolist())):
-            number = int(number)
-            if event_id in ids or number in numbers:
+        runs: dict[str, _Run] = {}
+        for i, (trace, event_id, number) in enumerate(zip(*(batch[c].tolist() for c in ("trace_id", "event_id", "sequence_no")))):
+            run, number = runs.get(trace), int(number)
+            if run is None:
+                run = runs[trace] = self.held(trace)
+            if event_id in run.ids or number in run.numbers:
                 continue
-            if spilled and (self.ids.containsKey((event_id,)) or self.numbers.containsKey((number,))):
+            if run.spilled and (self.ids.containsKey((trace, event_id)) or self.numbers.containsKey((trace, number))):
                 continue
-            ids[event_id] = numbers[number] = None
-            kept.append(i)
-        if len(ids) > self.limit:
-            for event_id, number in zip(ids, numbers):
-                self.ids.updateValue((event_id,), (0,))
-                self.numbers.updateValue((number,), (0,))
-            self.recent.update(([], [], True))
-        elif kept:
-            self.recent.update((list(ids), list(numbers), spilled))
-        return batch.iloc[kept]
+            run.ids[event_id] = run.numbers[number] = None
+            run.kept.append(i)
+        return batch, {trace: run for trace, run in runs.items() if run.kept}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = self.accepted(rows)
-        if len(batch):
-            yield batch[self.columns]
+        batch, runs = self.accepted(rows)
+        for trace, run in runs.items():
+            self.hold(trace, run)
+        if runs:
+            yield batch[self.columns].iloc[sorted(i for run in runs.values() for i in run.kept)]
 
     def close(self) -> None:
         pass
 
 
+def by_bucket(events: DataFrame) -> GroupedData:
+    return events.withColumn("_bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
+
+
 def accepted_events(events: DataFrame, recent: int = RECENT) -> DataFrame:
     """Parsed events, placed in their files, that are the first of their trace with their id and with their number."""
     rocksdb(events.sparkSession)
-    return events.groupBy("trace_id").transformWithStateInPandas(
+    return by_bucket(events).transformWithStateInPandas(
         statefulProcessor=_Accepted(events.columns, recent), outputStructType=events.schema, outputMode="Append", timeMode="None"
     )
 
@@ -136,34 +169,69 @@ def dedup_stream(lines: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return once.dropDuplicatesWithinWatermark(["trace_id", "sequence_no"])
 
 
+# Open runs of a bucket that were last heard of within the same span of event time share a timer.
+SPAN_MS = 86_400_000
+
+
 class _Stale(_Accepted):
-    """Closes a run that has no end once event time has passed its last event by the patience of the watermark."""
+    """Closes a run that has no end once event time has passed its last event by the patience of the watermark.
+
+    ``due`` lists the open runs of a span with the times of their last events; its timer stands at the earliest of them. A
+    run heard of again stays in the list of its former time, where it no longer counts.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.run = handle.getValueState("run", "last_ms bigint, ended boolean")
+        self.due = handle.getMapState("due", "span bigint", "times array<bigint>, trace_ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = self.accepted(rows)
-        if len(batch):
-            before = self.run.get() if self.run.exists() else None
-            # rounded up: a run is not stale before the watermark is past its last event
-            last = int(-(-batch["occurred_at"].max().value // 1_000_000))
-            last, ended = max(last, before[0] if before else last), bool(before and before[1])
-            ended = ended or bool(batch["event_type"].isin(TERMINAL).any())
-            if before and not before[1]:
-                self.handle.deleteTimer(before[0])
-            if not ended:
-                self.handle.registerTimer(last)
-            self.run.update((last, ended))
+        batch, runs = self.accepted(rows)
+        # rounded up: a run is not stale before the watermark is past its last event
+        times = (-(-batch["occurred_at"].to_numpy("datetime64[ns]").astype("int64") // 1_000_000)).tolist()
+        ends = batch["event_type"].isin(TERMINAL).tolist()
+        spans: dict[int, list[tuple[int, str]]] = {}
+        for trace, run in runs.items():
+            before = run.last_ms
+            last = max(times[i] for i in run.kept)
+            run.last_ms = last if before is None else max(last, before)
+            run.ended = run.ended or any(ends[i] for i in run.kept)
+            if not run.ended and run.last_ms != before:
+                spans.setdefault(run.last_ms // SPAN_MS, []).append((run.last_ms, trace))
+            self.hold(trace, run)
+        for span, added in spans.items():
+            self.await_(span, self.awaited(span), added)
         yield from ()
 
+    def awaited(self, span: int) -> list[tuple[int, str]]:
+        found = self.due.getValue((span,))
+        return list(zip(*found)) if found else []
+
+    def await_(self, span: int, old: list[tuple[int, str]], added: list[tuple[int, str]]) -> None:
+        """Lists ``old`` and ``added`` runs, where ``old`` ones have their timer."""
+        times, traces = zip(*old, *added)
+        self.due.updateValue((span,), (list(times), list(traces)))
+        first = min(at for at, _ in added)
+        if not old or first < min(at for at, _ in old):
+            self.handle.registerTimer(first)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, ended = self.run.get()
-        if not ended:
-            self.run.update((last, True))
-            row = {"trace_id": key[0], "status": "FAILED", "finish_reason": "INTERNAL_ERROR", "trace_incomplete": True, "last_event_ms": last}
-            yield pd.DataFrame([row])
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        past = max(expired, timerValues.getCurrentWatermarkInMs() - 1)
+        span, rows = expired // SPAN_MS, []
+        listed = self.awaited(span)
+        for last, trace in (x for x in listed if x[0] <= past):
+            run = self.held(trace)
+            if run.last_ms == last and not run.ended:
+                run.ended = True
+                self.hold(trace, run)
+                rows.append({"trace_id": trace, "status": "FAILED", "finish_reason": "INTERNAL_ERROR", "trace_incomplete": True, "last_event_ms": last})
+        left = [x for x in listed if x[0] > past]
+        if left and len(left) < len(listed):
+            self.await_(span, [], left)
+        elif listed and not left:
+            self.due.removeKey((span,))
+        if rows:
+            yield pd.DataFrame(rows)
 
 
 def stale_run_stream(events: DataFrame, patience: str) -> DataFrame:
@@ -174,7 +242,7 @@ def stale_run_stream(events: DataFrame, patience: str) -> DataFrame:
     """
     rocksdb(events.sparkSession)
     wanted = ["event_id", "trace_id", "sequence_no", "event_type", "occurred_at", *PLACE]
-    return events.select(wanted).withWatermark("occurred_at", patience).groupBy("trace_id").transformWithStateInPandas(
+    return by_bucket(events.select(wanted).withWatermark("occurred_at", patience)).transformWithStateInPandas(
         statefulProcessor=_Stale(wanted),
         outputStructType="trace_id string, status string, finish_reason string, trace_incomplete boolean, last_event_ms long",
         outputMode="Append",

@@ -457,3 +457,43 @@ def test_long_traces_go_on_in_maps(spark, tmp_path):
     kept = tr.dedup_trace(tr.parse_trace(lines(spark, sent)))
     key = lambda df: sorted((r.event_id, r.sequence_no) for r in df.select("event_id", "sequence_no").collect())
     assert key(spark.read.parquet(str(tmp_path / "o"))) == key(kept) and len(key(kept)) == len(run)
+
+
+def test_traces_of_one_bucket_do_not_meet(spark, tmp_path, monkeypatch):
+    """One key of the state for all traces: ids and numbers that another trace has are free, in the value and in the maps."""
+    monkeypatch.setattr(trace_stream, "BUCKETS", 1)
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [e | {"eventId": f"e{e['sequenceNo']}"} for t in ("a", "b", "c") for e in run_events(t)]
+    for part, sent in enumerate([rows[:2] + rows[9:14], rows[::-1], rows]):
+        told(sent, source / f"{part}.json")
+        parsed = tr.parse_trace(trace_stream.stream_trace_source(spark, str(source)))
+        writer = trace_stream.accepted_events(parsed, recent=3).writeStream.format("parquet").option("path", str(tmp_path / "o"))
+        query = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    kept = [(r.trace_id, r.sequence_no) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert sorted(kept) == sorted((e["traceId"], e["sequenceNo"]) for e in rows)
+
+
+def test_silent_runs_of_one_bucket_and_day_are_closed_in_their_turn(spark, tmp_path, monkeypatch):
+    """Runs that share a timer: one is closed, one later of the same day waits, one is heard again, one ends."""
+    monkeypatch.setattr(trace_stream, "BUCKETS", 1)
+    source = tmp_path / "in"
+    source.mkdir()
+    at = lambda trace, number, time, kind="STEP_STARTED": event(trace, number, kind, timestamp=f"2024-01-{time}:00:00Z")
+    batches = [
+        [at("early", 1, "01T01"), at("late", 1, "01T20"), at("back", 1, "01T02"), at("over", 1, "01T03"), at("over", 2, "01T04", "RUN_FAILED")],
+        [at("busy", 1, "11T10"), at("back", 2, "08T02"), at("late", 2, "01T19")],
+        [at("busy", 2, "11T11")],
+        [at("busy", 3, "12T11")],
+        [at("busy", 4, "12T12")],
+    ]
+    closed = []
+    for i, rows in enumerate(batches):
+        told(rows, source / f"{i}.json")
+        failed = trace_stream.stale_run_stream(tr.parse_trace(trace_stream.stream_trace_source(spark, str(source))), "10 days")
+        writer = failed.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        closed.append(sorted((r.trace_id, r.last_event_ms) for r in spark.read.schema(failed.schema).parquet(str(tmp_path / "o")).collect()))
+    one, two = ("early", 1_704_070_800_000), ("late", 1_704_139_200_000)
+    assert closed == [[], [one], [one], [one, two], [one, two]]
