@@ -234,3 +234,23 @@ def test_empty_files_have_any_name_and_no_round_trips(spark, tmp_path):
     told = files.empty_files(found)
     assert {path.rsplit("/", 1)[1] for path in told} == {name for name, *_ in empty}
     assert {path[: path.index(str(tmp_path))] for path in [*told, *(r.path for r in found.collect())]} == {"file:"}
+
+
+def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Beyond the reader's number no scan of files is planned, and the rows are those of the reader."""
+    for folder in ("", "sub", "sub/deep=1", "_hid", ".dot", "a b%20c"):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for name, body in {
+            "é +%20*.md": b"# x", "plain.txt": "caf\u00e9".encode(), "none.html": b"", "bad.md": b"\xff", "p.html": b"<h1>T</h1><p>x", "large.txt": b"x" * 5000,
+            "c.exe": b"zz", "_hid.txt": b"x", "_a=1.txt": b"y", ".dot.md": b"x", "d.txt._COPYING_": b"x",
+        }.items():
+            (tmp_path / folder / name).write_bytes(body)
+    key = lambda df: sorted(map(str, df.collect()))
+    by_reader = files.ingest_files(spark, str(tmp_path), max_mb=0.004)
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        by_tasks = files.ingest_files(spark, path, max_mb=0.004, reader_files=0)
+        assert "binaryFile" not in by_tasks._jdf.queryExecution().toString()
+        assert key(by_tasks) == key(by_reader) and by_tasks.count() == 8 * 4
+    listed = {r.path: r.length for r in files.listed_files(spark, str(tmp_path)).collect()}
+    assert len(listed) == 8 * 4 and sum(x == 0 for x in listed.values()) == 4
+    assert files.listed_files(spark, str(tmp_path / "*")) is None and files.listed_files(spark, str(tmp_path / "plain.txt")) is None
