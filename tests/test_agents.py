@@ -16,6 +16,7 @@ from quillstone.operators import conversation as cv
 from quillstone.operators import guard
 from quillstone.operators import memory as mm
 from quillstone.operators import trace as tr
+from quillstone.plans import trace_plans
 from quillstone.streaming import memory_trigger, trace_stream
 
 MESSAGE = "session_id int, pos bigint, role string, content string, call_ids array<string>, tool_id string"
@@ -497,3 +498,22 @@ def test_silent_runs_of_one_bucket_and_day_are_closed_in_their_turn(spark, tmp_p
         closed.append(sorted((r.trace_id, r.last_event_ms) for r in spark.read.schema(failed.schema).parquet(str(tmp_path / "o")).collect()))
     one, two = ("early", 1_704_070_800_000), ("late", 1_704_139_200_000)
     assert closed == [[], [one], [one], [one, two], [one, two]]
+
+
+def test_days_of_the_stale_runs_fit_a_micro_batch(spark, tmp_path):
+    """A condition has no more files than a micro-batch takes, however many lines; each run lies in one, in its order."""
+    rows = [(f"{i % 500}:{i}", i, str(i % 500)) for i in range(40_000)]
+    lines_ = spark.createDataFrame(rows, "value string, arrival long, run string")
+    wide = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        trace_plans.line_files(lines_, ["arrival < 30000", "arrival >= 30000"], str(tmp_path / "in"), files=trace_plans.FILES)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = list((tmp_path / "in").glob("part-*"))
+    assert len(parts) == 2 * trace_plans.FILES
+    told_ = [[tuple(map(int, x.split(":"))) for x in p.read_text().split()] for p in parts]
+    assert sorted(n for part in told_ for _, n in part) == list(range(40_000)) and all(part == sorted(part) or len({r for r, _ in part}) == len([1 for a, b in zip(part, part[1:]) if a[0] != b[0]]) + 1 for part in told_)
